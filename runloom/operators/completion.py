@@ -30,24 +30,41 @@ def attach_recorded(runs: DataFrame, responses: DataFrame, asked: list[str]) ->
     """Add ``reply_{stage}_{flow}`` columns from recorded (run key, stage, flow, response).
 
     One aggregate and one join for all stages of a run instead of a join per stage.
+    The temperature is compared as text: a floating-point join key is normalised
+    again for the join, which would send the responses through a second exchange.
     """
-    slot = F.concat_ws("_", "stage", "flow")
-    wide = responses.groupBy(*RUN_KEY).agg(
-        *[F.max(F.when(slot == name, F.col("response"))).alias(f"reply_{name}") for name in asked]
+    temperature = (F.col("temperature") + F.lit(0.0)).cast("string")
+    key = [*[name for name in RUN_KEY if name != "temperature"], "_temperature"]
+
+    def reply(name: str) -> Column:
+        stage, flow = name.rsplit("_", 1)
+        answered = (F.col("stage") == stage) & (F.col("flow") == flow)
+        return F.max(F.when(answered, F.col("response"))).alias(f"reply_{name}")
+
+    wide = (
+        responses.withColumn("_temperature", temperature)
+        .groupBy(*key)
+        .agg(*[reply(name) for name in asked])
     )
-    return runs.join(wide, RUN_KEY, "left")
+    return runs.withColumn("_temperature", temperature).join(wide, key, "left").drop("_temperature")
 
 
 def complete(
-    df: DataFrame, prompts: Mapping[str, Column], make_client: Callable[[], Complete]
+    df: DataFrame,
+    prompts: Mapping[str, Column],
+    make_client: Callable[[], Complete],
+    calls: int | None = None,
 ) -> DataFrame:
     """Add ``reply_{name}`` for each prompt by calling the user's function.
 
     ``df`` has ``llm_provider``, ``api_id`` and ``temperature``. ``make_client`` runs
     once per task. A NULL prompt gives a NULL reply; a ``lookup_error`` or an exception
-    becomes the reply text, so that one bad request does not end the job. Repartition ``df`` to set how
-    many calls run at a time, and make the result durable before reading it twice.
+    becomes the reply text, so that one bad request does not end the job. ``calls``
+    spreads the rows over that many tasks, which is how many calls run at a time;
+    make the result durable before reading it twice.
     """
+    if calls is not None:
+        df = df.repartition(calls, *RUN_KEY)
     names = list(prompts)
     asked = df.select("*", *[prompts[name].alias(f"_prompt_{name}") for name in names])
     schema = T.StructType(

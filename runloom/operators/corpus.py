@@ -68,17 +68,21 @@ def insert_if_absent(
     """The rows of ``new`` to append: not yet present and the first of their copies.
 
     Keys compare with plain equality, so a row with NULL in any of them always goes
-    in. Digests stand for the long texts; both sides are reduced to distinct digests
-    before they meet, so a large group of copies costs one row per map task. The
-    text is read again only for the survivors. ``row_id`` is unique in ``new``;
+    in. Digests stand for the long texts. Both sides' digests are stacked and grouped
+    once, combined map-side, so a large group of copies costs one row per map task;
+    the text is read again only for the survivors. ``row_id`` is unique in ``new``;
     ``existing`` may bring its digests along in a ``row_key`` column.
     """
     digests = new.select(row_id, row_key(keys).alias("row_key"))
-    first = (
-        digests.where(F.col("row_key").isNotNull()).groupBy("row_key").agg(F.min(row_id).alias(row_id))
-    )
     stored = F.col("row_key") if "row_key" in existing.columns else row_key(keys)
-    present = existing.select(stored.alias("row_key")).where(F.col("row_key").isNotNull()).distinct()
-    fresh = first.join(present, "row_key", "left_anti").select(row_id)
+    present = existing.select(stored.alias("row_key"), F.lit(True).alias("_present"))
+    fresh = (
+        digests.unionByName(present, allowMissingColumns=True)
+        .where(F.col("row_key").isNotNull())
+        .groupBy("row_key")
+        .agg(F.max("_present").alias("_present"), F.min(row_id).alias(row_id))
+        .where(F.col("_present").isNull())
+        .select(row_id)
+    )
     never_equal = digests.where(F.col("row_key").isNull()).select(row_id)
     return new.join(fresh.unionByName(never_equal), row_id, "left_semi")

@@ -88,31 +88,54 @@ def latest_runs_by_rank(
     )
 
 
+def _requested(keys: DataFrame, log: DataFrame) -> DataFrame:
+    """(run key, run_count, id) of every distinct requested key; id is NULL without a run.
+
+    Requests and runs are stacked and grouped once instead of being joined: one
+    exchange, combined map-side, so neither side may have a hot key that hurts.
+    """
+    wanted = keys.select(
+        *RUN_KEY,
+        F.lit(True).alias("_wanted"),
+        F.lit(None).cast("long").alias("id"),
+        F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    runs = log.where(has_key()).select(
+        *RUN_KEY, F.lit(None).cast("boolean").alias("_wanted"), "id", "created_at"
+    )
+    return (
+        wanted.unionByName(runs)
+        .groupBy(*RUN_KEY)
+        .agg(
+            F.max("_wanted").alias("_wanted"),
+            F.count("id").alias("run_count"),
+            F.max_by("id", recency()).alias("id"),
+        )
+        .where(F.col("_wanted"))
+        .drop("_wanted")
+    )
+
+
 def lookup_latest(
     keys: DataFrame, log: DataFrame, payload: Sequence[str] = tuple(BACKFEED_PAYLOAD)
 ) -> DataFrame:
     """Every distinct requested key with its newest run; NULLs and 0 without one.
 
-    Both sides hold one row per key when they meet, and both are already
-    partitioned by it. Keys without a run take a branch of their own, or they would
-    all travel to the payload join under the same NULL id.
+    Keys without a run take a branch of their own, or they would all travel to the
+    payload join under the same NULL id.
     """
-    wanted = keys.select(*RUN_KEY).distinct()
-    latest = latest_ids(log)
-    found = wanted.join(latest, RUN_KEY).join(log.select("id", *payload), "id")
-    missing = wanted.join(latest.select(*RUN_KEY), RUN_KEY, "left_anti")
-    return found.unionByName(missing, allowMissingColumns=True).withColumn(
-        "run_count", F.coalesce("run_count", F.lit(0))
-    )
+    latest = _requested(keys, log)
+    found = latest.where(F.col("id").isNotNull()).join(log.select("id", *payload), "id")
+    missing = latest.where(F.col("id").isNull())
+    return found.unionByName(missing, allowMissingColumns=True)
 
 
 def backfeed_work(
     keys: DataFrame, log: DataFrame, payload: Sequence[str] = tuple(BACKFEED_PAYLOAD)
 ) -> DataFrame:
     """Requested keys that have a newest run with an original text."""
-    wanted = keys.select(*RUN_KEY).distinct()
     texts = log.select("id", *payload).where(F.col("original_srs_text").isNotNull())
-    return wanted.join(latest_ids(log), RUN_KEY).join(texts, "id")
+    return _requested(keys, log).join(texts, "id")
 
 
 def iteration_labels(log: DataFrame) -> DataFrame:
@@ -167,7 +190,7 @@ def side_by_side(
     """Per run key the newest run of two event types, columns suffixed _left and _right.
 
     One aggregate picks both ids; each event type's payload is then read once, with
-    the event filter pushed into its scan.
+    the event filter pushed into its scan. ``how`` is ``inner`` or ``full``.
     """
 
     def newest(event: str, name: str) -> Column:
@@ -180,14 +203,19 @@ def side_by_side(
     )
 
     def side(event: str, suffix: str) -> DataFrame:
-        rows = log.where(F.col("event_type") == event).select(
+        return log.where(F.col("event_type") == event).select(
             F.col("id").alias(f"id_{suffix}"),
             *[F.col(name).alias(f"{name}_{suffix}") for name in payload],
         )
-        chosen = picked.select(*RUN_KEY, f"id_{suffix}").where(F.col(f"id_{suffix}").isNotNull())
-        return chosen.join(rows, f"id_{suffix}")
 
-    return side(left_event, "left").join(side(right_event, "right"), RUN_KEY, how)
+    left, right = side(left_event, "left"), side(right_event, "right")
+    if how == "inner":
+        both = picked.where(F.col("id_left").isNotNull() & F.col("id_right").isNotNull())
+        return both.join(left, "id_left").join(right, "id_right")
+    # Keys with one side only would meet under a NULL id, so each side is fetched alone.
+    found_left = picked.select(*RUN_KEY, "id_left").join(left, "id_left")
+    found_right = picked.select(*RUN_KEY, "id_right").join(right, "id_right")
+    return found_left.join(found_right, RUN_KEY, how)
 
 
 def image_lookup(log: DataFrame, ids: DataFrame, flow: str = "orig") -> DataFrame:

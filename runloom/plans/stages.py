@@ -25,11 +25,11 @@ def ask_recorded(runs: DataFrame, prompts: Mapping[str, Column]) -> DataFrame:
     return runs.withColumns({name: F.lit(None).cast("string") for name in absent})
 
 
-def ask_function(make_client: Callable[[], Complete]) -> Ask:
+def ask_function(make_client: Callable[[], Complete], calls: int | None = None) -> Ask:
     """Ask the user's function; its answers are written down before anyone reads them."""
 
     def ask(runs: DataFrame, prompts: Mapping[str, Column]) -> DataFrame:
-        return durable(complete(runs, prompts, make_client))
+        return durable(complete(runs, prompts, make_client, calls))
 
     return ask
 

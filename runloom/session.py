@@ -45,13 +45,13 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and continue from there.
+    """Write ``df`` as a table in the shared folder and continue from there.
 
     Used where a second evaluation could differ from the first: sampled range
-    bounds, and answers from a completion function.
+    bounds, and answers from a completion function. A parquet table is evaluated
+    once, compressed, and later readers only load the columns they use.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = new_folder(spark, "durable")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

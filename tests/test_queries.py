@@ -1,0 +1,67 @@
+"""Every registered query against its SQL, and the plans they must not have."""
+
+from __future__ import annotations
+
+import pytest
+
+import __spark_entry__ as contract
+from tests.check import TABLES, compare, connect
+from tests.helpers import plan_of
+from workloads import facade, queries
+
+SF = str(TABLES / "sf0.001")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect(SF)
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_query_equals_sql(spark, con, name):
+    assert compare(spark, con, name, SF) == ""
+
+
+def test_every_query_has_sql():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+def test_entry(spark):
+    assert contract.entry(spark).count() > 0
+
+
+STREAMS = {"stream_latest", "stream_responses", "stream_insert"}
+PYTHON = {"completion_map", "first_pass_completed"}
+
+
+@pytest.mark.parametrize("name", sorted(set(contract.queries()) - STREAMS))
+def test_plan_has_no_cross_join_and_no_python(spark, name):
+    plan = plan_of(contract.queries()[name](spark, SF))
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert unwanted not in plan
+    if name not in PYTHON:
+        assert "Python" not in plan and "MapInArrow" not in plan
+
+
+def test_grouping_reads_key_columns_only(spark):
+    from runloom.operators import runlog
+
+    log = spark.read.parquet(f"{SF}/events.parquet")
+    plan = plan_of(runlog.latest_ids(facade.run_log(spark, SF)))
+    assert log.schema["props"] is not None and "props" not in plan
+    assert "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_id_list_is_pushed_down(spark):
+    assert "PushedFilters: [In(doc_id" in plan_of(queries.corpus_by_id_list(spark, SF))
+
+
+def test_rank_is_limited_before_the_exchange(spark):
+    plan = plan_of(queries.latest_run_by_rank(spark, SF))
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_lookup_has_one_aggregate_exchange(spark):
+    plan = plan_of(queries.backfeed_work(spark, SF))
+    keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning(srs_id" in line]
+    assert len(keyed) == 1

@@ -534,7 +534,12 @@ def digest_client():
 @query
 def completion_map(spark, sf):
     runs = catalog.fan_out(facade.batch_documents(spark, sf), facade.MODELS, 0.5)
-    asked = completion.complete(runs, {"distil": prompts.distil(F.col("original_srs_text"))}, digest_client)
+    asked = completion.complete(
+        runs,
+        {"distil": prompts.distil(F.col("original_srs_text"))},
+        digest_client,
+        spark.sparkContext.defaultParallelism,
+    )
     return asked.select("srs_id", "llm_model", F.col("reply_distil").alias("response"))
 
 
@@ -542,7 +547,8 @@ def completion_map(spark, sf):
 def first_pass_completed(spark, sf):
     """First pass with the function instead of recorded answers."""
     runs = catalog.fan_out(facade.batch_documents(spark, sf), facade.MODELS, 0.5)
-    results = first_pass.first_pass(runs, stages.ask_function(digest_client))
+    ask = stages.ask_function(digest_client, spark.sparkContext.defaultParallelism)
+    results = first_pass.first_pass(runs, ask)
     return results.select(
         "srs_id", "llm_provider", "llm_model", "temperature", "plantuml_script_orig_srs",
         "distilled_srs_text", "plantuml_script_dist_srs", "similarity_score_orig_srs",
