@@ -33,6 +33,9 @@ def parse_report(df: DataFrame, reply: str, out: str = "report") -> DataFrame:
     The JSON reader ignores words after a complete value. The reply is therefore
     read inside an envelope whose own last key must still be reached: trailing
     words break the envelope, and a second value makes its list longer than one.
+
+    The parse stands behind a one-row generator. As a plain column it would be copied
+    into every filter on the report that the optimizer moves down, once per use.
     """
     body = F.concat(F.lit('{"report":['), unfence(F.col(reply)), F.lit('],"closed":true}'))
     raw = F.col("_raw")
@@ -55,7 +58,7 @@ def parse_report(df: DataFrame, reply: str, out: str = "report") -> DataFrame:
         ],
     )
     return (
-        df.withColumn("_raw", F.from_json(body, _ENVELOPE, _OPTIONS))
+        df.withColumn("_raw", F.explode(F.array(F.from_json(body, _ENVELOPE, _OPTIONS))))
         .withColumn(out, parsed)
         .drop("_raw")
     )

@@ -66,20 +66,37 @@ def _literal(model: Model) -> Column:
 
 
 def with_models(df: DataFrame, models: Sequence[Model]) -> DataFrame:
-    """Every row of ``df`` once per model, without a cross join."""
+    """Every row of ``df`` once per model, without a cross join.
+
+    A usual catalogue is a literal array in the plan. A longer one is cut into arrays
+    that are joined on their number and a salt, so that rows spread over all tasks
+    and only meet the single models after the shuffle.
+    """
     if len(models) <= INLINE_MODELS:
         entries = F.array(*[_literal(m) for m in models])
         return df.withColumn("_model", F.explode(entries)).select(*df.columns, "_model.*")
+    spark = df.sparkSession
     slots = -(-len(models) // INLINE_MODELS)
-    table = catalog(df.sparkSession, models).select(
-        (F.col("pos") % slots).alias("_slot"),
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entry = F.struct(
         F.col("provider").alias("llm_provider"),
         F.col("model").alias("llm_model"),
         "api_id",
         "fixed_temperature",
     )
-    spread = df.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return spread.join(table, "_slot").drop("_slot")
+    arrays = (
+        catalog(spark, models)
+        .groupBy((F.col("pos") % slots).cast("int").alias("_slot"))
+        .agg(F.collect_list(entry).alias("_models"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    spread = spread.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return (
+        spread.join(arrays, ["_slot", "_salt"])
+        .withColumn("_model", F.explode("_models"))
+        .select(*df.columns, "_model.*")
+    )
 
 
 def fan_out(corpus: DataFrame, models: Sequence[Model], temperature: float) -> DataFrame:

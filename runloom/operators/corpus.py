@@ -86,3 +86,9 @@ def insert_if_absent(
     )
     never_equal = digests.where(F.col("row_key").isNull()).select(row_id)
     return new.join(fresh.unionByName(never_equal), row_id, "left_semi")
+
+
+def skipped(new: DataFrame, fresh: DataFrame, row_id: str) -> DataFrame:
+    """Origin and title of the rows that ``insert_if_absent`` left out."""
+    rows = new.select(row_id, "srs_origin", "srs_title")
+    return rows.join(fresh.select(row_id), row_id, "left_anti")

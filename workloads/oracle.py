@@ -244,6 +244,12 @@ SQL: dict[str, str] = {
         """AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.srs_origin = triples.srs_origin
         AND s.srs_title = triples.srs_title AND s.srs_content = triples.srs_content)"""
     ),
+    "insert_skipped": f"""WITH {TRIPLES}, numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY srs_origin, srs_title, srs_content ORDER BY id) AS copy,
+            bool_or(id IN (SELECT doc_id FROM labels)) OVER (
+                PARTITION BY srs_origin, srs_title, srs_content) AS present FROM triples)
+        SELECT id, srs_origin, srs_title FROM numbered
+        WHERE srs_title IS NOT NULL AND (copy > 1 OR present)""",
     "import_corpus": f"""WITH {ENTRIES} SELECT row_number() OVER (ORDER BY pos) AS id, origin AS srs_origin,
         title AS srs_title, content AS srs_content FROM last_entry""",
     "artifact_keys": "SELECT doc_id AS id, doc_id || '_' || lang || 'doc' || doc_id AS srs_id FROM documents",

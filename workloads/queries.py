@@ -77,6 +77,13 @@ def insert_if_absent(spark, sf):
     )
 
 
+@query
+def insert_skipped(spark, sf):
+    new = facade.triples(spark, sf)
+    fresh = corpus.insert_if_absent(new, facade.labelled_triples(spark, sf), "id")
+    return corpus.skipped(new, fresh, "id")
+
+
 @query
 def import_corpus(spark, sf):
     """Imported twice: the second import finds everything present."""
@@ -560,8 +567,9 @@ def first_pass_completed(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream; the pattern matches one file as well as a folder of files."""
     schema = facade.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query
