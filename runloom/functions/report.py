@@ -27,8 +27,8 @@ _OPTIONS = {
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def parse_report(df: DataFrame, reply: str, out: str = "report") -> DataFrame:
-    """Add struct ``out``: ``ok`` plus the five report fields with their defaults.
+def parse_report(df: DataFrame, reply: Column, out: str = "report") -> DataFrame:
+    """Add struct ``out``: ``ok`` plus the five fields of the report in ``reply``, with defaults.
 
     The JSON reader ignores words after a complete value. The reply is therefore
     read inside an envelope whose own last key must still be reached: trailing
@@ -37,7 +37,7 @@ def parse_report(df: DataFrame, reply: str, out: str = "report") -> DataFrame:
     The parse stands behind a one-row generator. As a plain column it would be copied
     into every filter on the report that the optimizer moves down, once per use.
     """
-    body = F.concat(F.lit('{"report":['), unfence(F.col(reply)), F.lit('],"closed":true}'))
+    body = F.concat(F.lit('{"report":['), unfence(reply), F.lit('],"closed":true}'))
     raw = F.col("_raw")
     fields = F.get(raw["report"], F.lit(0))
     ok = (
@@ -57,10 +57,9 @@ def parse_report(df: DataFrame, reply: str, out: str = "report") -> DataFrame:
             for name in SECTIONS
         ],
     )
-    return (
-        df.withColumn("_raw", F.explode(F.array(F.from_json(body, _ENVELOPE, _OPTIONS))))
-        .withColumn(out, parsed)
-        .drop("_raw")
+    raw_json = F.from_json(body, _ENVELOPE, _OPTIONS)
+    return df.select("*", F.explode(F.array(raw_json)).alias("_raw")).select(
+        *df.columns, parsed.alias(out)
     )
 
 

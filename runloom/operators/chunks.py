@@ -40,7 +40,9 @@ def response_text(chunks: DataFrame) -> DataFrame:
 def running_text(chunks: DataFrame) -> DataFrame:
     """(request_id, seq, running): chunk i shows chunks 1..i.
 
-    The text before a block is put together once per block, not once per chunk.
+    The text before a block is put together once per block, not once per chunk. The
+    result itself grows with the square of a reply's length; ``chunk_offsets`` holds
+    the same information in linear space.
     """
     earlier = (
         Window.partitionBy("request_id")

@@ -59,9 +59,6 @@ def with_report(runs: DataFrame, flow: str) -> DataFrame:
     """Add the flow's report columns and ``state_{flow}``, the reason why a flow failed."""
     similarity = F.col(f"reply_similarity_{flow}")
     generated = F.col(f"reply_generate_{flow}")
-    parsed = parse_report(
-        runs.withColumn("_reply", usable(f"reply_similarity_{flow}")), "_reply", "_report"
-    )
     report = F.col("_report")
     state = (
         F.when(is_blank(F.col(TEXT_OF[flow])), "blank_text")
@@ -73,14 +70,17 @@ def with_report(runs: DataFrame, flow: str) -> DataFrame:
         .when(~report["ok"], "rejected_report")
         .otherwise("ok")
     )
-    return parsed.withColumns(
-        {
-            f"extracted_uml_descr_{flow}_srs": report[DESCRIPTION],
-            f"similarity_score_{flow}_srs": report[SCORE],
-            f"similarity_descr_{flow}_srs": analysis_text(report),
-            f"state_{flow}": state,
-        }
-    ).drop("_reply", "_report")
+    added = {
+        f"extracted_uml_descr_{flow}_srs": report[DESCRIPTION],
+        f"similarity_score_{flow}_srs": report[SCORE],
+        f"similarity_descr_{flow}_srs": analysis_text(report),
+        f"state_{flow}": state,
+    }
+    parsed = parse_report(runs, usable(f"reply_similarity_{flow}"), "_report")
+    return parsed.select(
+        *[name for name in runs.columns if name not in added],
+        *[column.alias(name) for name, column in added.items()],
+    )
 
 
 def chat_of_run() -> Column:

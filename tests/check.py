@@ -22,7 +22,8 @@ SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double"
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in Path(sf).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
+        files = f"{path}/*.parquet" if path.is_dir() else path
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 

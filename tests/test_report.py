@@ -14,7 +14,7 @@ SECTIONS = rep.SECTIONS
 
 def parse(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "at int, reply string")
-    found = {row.at: row.report for row in rep.parse_report(rows, "reply").collect()}
+    found = {row.at: row.report for row in rep.parse_report(rows, F.col("reply")).collect()}
     return [found[at] for at in range(len(texts))]
 
 
@@ -79,13 +79,13 @@ def test_numbers_in_lists_become_text(spark):
 def test_analysis_text(spark):
     texts = ['{"discrepancies": ["a", "b"], "additional_elements": ["x"]}']
     rows = spark.createDataFrame([(text,) for text in texts], "reply string")
-    made = rep.parse_report(rows, "reply").select(rep.analysis_text(F.col("report")).alias("a"))
+    made = rep.parse_report(rows, F.col("reply")).select(rep.analysis_text(F.col("report")).alias("a"))
     assert made.first().a == "discrepancies:\na\nb\n\nmissing_elements:\n\n\nadditional_elements:\nx"
 
 
 def test_split_keeps_every_row(spark):
     rows = spark.createDataFrame([(text,) for text in ACCEPTED + REJECTED], "reply string")
-    accepted, rejected = rep.split_reports(rep.parse_report(rows, "reply"))
+    accepted, rejected = rep.split_reports(rep.parse_report(rows, F.col("reply")))
     assert accepted.count() == len(ACCEPTED) and rejected.count() == len(REJECTED)
 
 

@@ -350,10 +350,11 @@ SQL: dict[str, str] = {
         FROM conversations""",
     "response_text": """SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS response
         FROM conversations GROUP BY conv_id""",
-    "chunk_running": """SELECT conv_id AS request_id, turn AS seq,
+    "chunk_running": """WITH shown AS (SELECT conv_id AS request_id, turn AS seq,
         string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn
             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-        FROM conversations WHERE text <> ''""",
+        FROM conversations WHERE text <> '')
+        SELECT request_id, seq, length(running) AS n_chars, md5(running) AS digest FROM shown""",
     "chunk_offsets": """SELECT conv_id AS request_id, turn AS seq, CAST(sum(length(text)) OVER (
             PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
             AS end_at FROM conversations""",

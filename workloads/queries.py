@@ -327,7 +327,7 @@ def reply_status(spark, sf):
 
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
-    return rep.parse_report(facade.replies(spark, sf).select("id", "reply"), "reply")
+    return rep.parse_report(facade.replies(spark, sf).select("id", "reply"), F.col("reply"))
 
 
 @query
@@ -385,7 +385,12 @@ def response_text(spark, sf):
 
 @query
 def chunk_running(spark, sf):
-    return chunks.running_text(chunks.drop_empty(facade.chunks(spark, sf)))
+    """Whole running texts, reported by length and digest: written out they would
+    take the square of a reply's length."""
+    shown = chunks.running_text(chunks.drop_empty(facade.chunks(spark, sf)))
+    return shown.select(
+        "request_id", "seq", F.length("running").cast("long").alias("n_chars"), F.md5("running").alias("digest")
+    )
 
 
 @query
