@@ -62,21 +62,21 @@ def row_key(keys: Sequence[str] = tuple(CORPUS_KEY)) -> Column:
     return F.sha2(F.concat(*[F.sha2(F.col(name), 256) for name in keys]), 256)
 
 
-def insert_if_absent(
+def fresh_ids(
     new: DataFrame, existing: DataFrame, row_id: str, keys: Sequence[str] = tuple(CORPUS_KEY)
 ) -> DataFrame:
-    """The rows of ``new`` to append: not yet present and the first of their copies.
+    """``row_id`` of the rows of ``new`` to insert: absent, and the first of their copies.
 
     Keys compare with plain equality, so a row with NULL in any of them always goes
     in. Digests stand for the long texts. Both sides' digests are stacked and grouped
-    once, combined map-side, so a large group of copies costs one row per map task;
-    the text is read again only for the survivors. ``row_id`` is unique in ``new``;
-    ``existing`` may bring its digests along in a ``row_key`` column.
+    once, combined map-side, so a large group of copies costs one row per map task.
+    ``row_id`` is unique in ``new``; ``existing`` may bring its digests along in a
+    ``row_key`` column.
     """
     digests = new.select(row_id, row_key(keys).alias("row_key"))
     stored = F.col("row_key") if "row_key" in existing.columns else row_key(keys)
     present = existing.select(stored.alias("row_key"), F.lit(True).alias("_present"))
-    fresh = (
+    first = (
         digests.unionByName(present, allowMissingColumns=True)
         .where(F.col("row_key").isNotNull())
         .groupBy("row_key")
@@ -85,7 +85,14 @@ def insert_if_absent(
         .select(row_id)
     )
     never_equal = digests.where(F.col("row_key").isNull()).select(row_id)
-    return new.join(fresh.unionByName(never_equal), row_id, "left_semi")
+    return first.unionByName(never_equal)
+
+
+def insert_if_absent(
+    new: DataFrame, existing: DataFrame, row_id: str, keys: Sequence[str] = tuple(CORPUS_KEY)
+) -> DataFrame:
+    """The rows of ``new`` to append; their text is read again for the survivors only."""
+    return new.join(fresh_ids(new, existing, row_id, keys), row_id, "left_semi")
 
 
 def skipped(new: DataFrame, fresh: DataFrame, row_id: str) -> DataFrame:

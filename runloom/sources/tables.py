@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.operators.corpus import from_entries, insert_if_absent, row_key
+from runloom.operators.corpus import fresh_ids, from_entries, row_key
 from runloom.operators.numbering import positions
 from runloom.schemas import CORPUS, RUN_LOG
 
@@ -63,17 +63,13 @@ def conform_runs(rows: DataFrame, row_id: str) -> DataFrame:
     )
 
 
-def number_rows(rows: DataFrame, row_id: str, last_id: int) -> DataFrame:
-    """Replace unique ``row_id`` by consecutive ids after ``last_id``, in its order.
+def number_rows(rows: DataFrame, ids: DataFrame, row_id: str, after: int) -> DataFrame:
+    """The rows named in ``ids``, with consecutive ids after ``after`` in ``row_id`` order.
 
-    Ids are settled on ``row_id`` alone; the wide rows join them once.
+    Places are settled on ``row_id`` alone; the wide rows join them once.
     """
-    placed = positions(rows.select(row_id), row_id, [row_id])
-    return (
-        rows.join(placed, row_id)
-        .withColumn("id", F.lit(last_id + 1) + F.col("position"))
-        .drop(row_id, "position")
-    )
+    placed = positions(ids, row_id, [row_id])
+    return rows.join(placed, row_id).withColumn("id", F.lit(after + 1) + F.col("position"))
 
 
 def last_id(table: DataFrame) -> int:
@@ -84,9 +80,12 @@ def last_id(table: DataFrame) -> int:
 def append_runs(spark: SparkSession, rows: DataFrame, root: str, row_id: str) -> None:
     """Append run rows; id is the next integer and created_at is now unless given.
 
-    One writer at a time, as with any append to a plain parquet table.
+    One writer at a time, as with any append to a plain parquet table. ``rows`` is
+    read twice, for the ids and for the rows: make an expensive input durable first.
     """
-    numbered = number_rows(conform_runs(rows, row_id), "_row", last_id(run_log(spark, root)))
+    conformed = conform_runs(rows, row_id)
+    last = last_id(run_log(spark, root))
+    numbered = number_rows(conformed, conformed.select("_row"), "_row", last)
     numbered.select(*RUN_LOG.names).write.mode("append").parquet(run_log_path(root))
 
 
@@ -99,6 +98,6 @@ def import_corpus(spark: SparkSession, entries: DataFrame, root: str) -> None:
     """Append the entries whose (origin, title, content) is not stored yet."""
     ensure_tables(spark, root)
     stored = spark.read.schema(STORED_CORPUS).parquet(corpus_path(root))
-    fresh = insert_if_absent(from_entries(entries), stored, "pos")
-    numbered = number_rows(fresh.withColumn("row_key", row_key()), "pos", last_id(stored))
+    new = from_entries(entries).withColumn("row_key", row_key())
+    numbered = number_rows(new, fresh_ids(new, stored, "pos"), "pos", last_id(stored))
     numbered.select(*STORED_CORPUS.names).write.mode("append").parquet(corpus_path(root))
