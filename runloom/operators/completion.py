@@ -21,9 +21,8 @@ def match_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``request_id`` is unique on both sides.
     """
-    return requests.join(responses.select("request_id", "response"), "request_id", "left").withColumn(
-        "response_status", reply_status(F.col("response"))
-    )
+    answered = requests.join(responses.select("request_id", "response"), "request_id", "left")
+    return answered.withColumn("response_status", reply_status(F.col("response")))
 
 
 def attach_recorded(runs: DataFrame, responses: DataFrame, asked: list[str]) -> DataFrame:

@@ -219,23 +219,22 @@ def side_by_side(
 
 
 def image_lookup(log: DataFrame, ids: DataFrame, flow: str = "orig") -> DataFrame:
-    """(id, status, n_bytes, image) for every distinct requested id."""
-    images = log.select(
-        "id", F.lit(True).alias("_found"), F.col(f"uml_image_data_{flow}_srs").alias("image")
-    )
-    return (
-        ids.select("id")
-        .distinct()
-        .join(images, "id", "left")
-        .select(
-            "id",
-            F.when(F.col("_found").isNull(), "not_found")
-            .when(F.col("image").isNull(), "null_image")
-            .otherwise("ok")
-            .alias("status"),
-            F.octet_length("image").cast("long").alias("n_bytes"),
-            "image",
-        )
+    """(id, status, n_bytes, image) for every distinct requested id.
+
+    The images meet the ids in an inner join first, where a small id table can be
+    broadcast; an outer join alone would always move every image of the log.
+    """
+    asked = ids.select("id").distinct()
+    image = F.col(f"uml_image_data_{flow}_srs").alias("image")
+    found = log.select("id", F.lit(True).alias("_found"), image).join(asked, "id")
+    return asked.join(found, "id", "left").select(
+        "id",
+        F.when(F.col("_found").isNull(), "not_found")
+        .when(F.col("image").isNull(), "null_image")
+        .otherwise("ok")
+        .alias("status"),
+        F.octet_length("image").cast("long").alias("n_bytes"),
+        "image",
     )
 
 

@@ -47,6 +47,12 @@ def run_log(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(RUN_LOG).parquet(run_log_path(root))
 
 
+def create_views(spark: SparkSession, root: str) -> None:
+    """Temporary views ``srs_data`` and ``usage_logs`` for plain SQL."""
+    corpus(spark, root).createOrReplaceTempView("srs_data")
+    run_log(spark, root).createOrReplaceTempView("usage_logs")
+
+
 def conform_runs(rows: DataFrame, row_id: str) -> DataFrame:
     """Run rows in the log's columns and types, absent ones NULL, ``row_id`` kept."""
 

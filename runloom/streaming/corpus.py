@@ -11,13 +11,34 @@ from runloom.operators.corpus import insert_if_absent, row_key
 from runloom.streaming.sinks import write_batch
 
 
+def unseen(entries: DataFrame, row_id: str, salts: int = 32) -> DataFrame:
+    """The stream without copies of what it has brought before.
+
+    Digests are kept as state, so a micro-batch costs what it brings and not what is
+    stored. Streaming de-duplication has no map-side step; a first pass on digest and
+    salt spreads a large group of copies over ``salts`` tasks and lets at most that
+    many of them on to the second. Rows with NULL in a key part never equal another
+    row and pass by.
+    """
+    keyed = entries.withColumns(
+        {"row_key": row_key(), "_salt": F.pmod(F.xxhash64(row_id), F.lit(salts))}
+    )
+    first = (
+        keyed.where(F.col("row_key").isNotNull())
+        .dropDuplicates(["row_key", "_salt"])
+        .dropDuplicates(["row_key"])
+    )
+    return first.unionByName(keyed.where(F.col("row_key").isNull())).drop("row_key", "_salt")
+
+
 def insert_stream(
     spark: SparkSession, entries: DataFrame, row_id: str, folder: str, checkpoint: str
 ) -> StreamingQuery:
     """Append unseen (origin, title, content) rows of the stream to ``folder``.
 
     Each batch is compared with the digests of the earlier batches only, so a replay
-    after a failure writes the same rows to the same sub-folder.
+    after a failure writes the same rows to the same sub-folder. It reads all stored
+    digests; a stream that runs for long is better served by ``unseen``.
     """
     schema = StructType([*entries.schema.fields]).add("row_key", "string").add("batch", "long")
 

@@ -15,7 +15,8 @@ def block_states(chunks: DataFrame) -> DataFrame:
 
     State is kept per block, so no state row grows with the length of a reply.
     """
-    pieces = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("chunk", F.lit("")).alias("chunk"))))
+    chunk = F.coalesce("chunk", F.lit("")).alias("chunk")
+    pieces = F.sort_array(F.collect_list(F.struct("seq", chunk)))
     return chunks.groupBy("request_id", block_of("seq").alias("block")).agg(
         F.array_join(F.transform(pieces, lambda piece: piece["chunk"]), "").alias("block_text")
     )

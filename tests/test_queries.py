@@ -30,7 +30,7 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-STREAMS = {"stream_latest", "stream_responses", "stream_insert"}
+STREAMS = {"stream_latest", "stream_responses", "stream_insert", "stream_unseen"}
 PYTHON = {"completion_map", "first_pass_completed"}
 
 

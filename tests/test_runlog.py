@@ -155,3 +155,19 @@ def test_hot_key_in_log_and_requests(spark):
     hot = one(found.where("srs_id = 'hot'"))
     assert (hot.run_count, hot.id, hot.original_srs_text) == (13334, 39999, "39999")
     assert found.count() == 501
+
+
+def test_plain_sql_over_the_stored_tables(spark, tmp_path):
+    root = str(tmp_path / "root")
+    tables.ensure_tables(spark, root)
+    rows = log_frame(spark, [{"id": at, "srs_id": f"s{at % 2}", "at": at} for at in range(5)])
+    tables.append_runs(spark, rows.withColumnRenamed("id", "event"), root, "event")
+    tables.create_views(spark, root)
+    assert column(spark.sql("SELECT DISTINCT srs_id FROM usage_logs ORDER BY srs_id"), "srs_id") == ["s0", "s1"]
+    newest = spark.sql(
+        "SELECT id FROM usage_logs WHERE srs_id = :srs_id AND temperature = :temperature "
+        "ORDER BY created_at DESC LIMIT 1",
+        {"srs_id": "s0", "temperature": 0.5},
+    )
+    assert one(newest).id == 5
+    assert spark.sql("SELECT id, srs_title FROM srs_data").count() == 0

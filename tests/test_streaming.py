@@ -10,7 +10,7 @@ from runloom.operators.corpus import insert_if_absent
 from runloom.operators.numbering import BLOCK
 from runloom.schemas import RUN_LOG
 from runloom.streaming import corpus as corpus_stream
-from runloom.streaming import replies, runs
+from runloom.streaming import replies, runs, sinks
 from tests.helpers import log_frame
 
 
@@ -73,11 +73,25 @@ def test_corpus_stream_inserts_each_triple_once(spark, tmp_path):
     assert same(found.drop("id"), in_batch.drop("id"))
 
 
-def test_replayed_batch_replaces_itself(spark, tmp_path):
+def test_unseen_keeps_digests_across_batches(spark, tmp_path):
+    docs = spark.range(300).select(
+        "id",
+        F.lit("o").alias("srs_origin"),
+        F.when(F.col("id") % 10 != 0, F.lit("t")).alias("srs_title"),
+        (F.col("id") % 4).cast("string").alias("srs_content"),
+    )
+    stream = files_of(docs, str(tmp_path / "in"), 5)
     folder = str(tmp_path / "out")
-    from runloom.streaming.sinks import write_batch
+    rows = corpus_stream.unseen(stream, "id")
+    sinks.start(rows, "append", folder, str(tmp_path / "state")).awaitTermination()
+    found = corpus_stream.inserted(spark, docs.schema, folder)
+    assert same(found.drop("id"), insert_if_absent(docs, docs.limit(0), "id").drop("id"))
 
-    rows = spark.createDataFrame([(1, None, "t", "x")], "id long, srs_origin string, srs_title string, srs_content string")
+
+def test_replayed_batch_replaces_itself(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    schema = "id long, srs_origin string, srs_title string, srs_content string"
+    rows = spark.createDataFrame([(1, None, "t", "x")], schema)
     for _ in range(2):
-        write_batch(rows, 0, folder)
+        sinks.write_batch(rows, 0, folder)
     assert corpus_stream.inserted(spark, rows.schema, folder).count() == 1

@@ -447,3 +447,4 @@ SQL: dict[str, str] = {
     "stream_insert": f"WITH {TRIPLES} {INSERTED.format('')}",
 }
 SQL["stream_responses"] = SQL["response_text"]
+SQL["stream_unseen"] = f"SELECT srs_origin, srs_title, srs_content FROM ({SQL['stream_insert']})"

@@ -18,6 +18,7 @@ from runloom.sources import tables
 from runloom.streaming import corpus as corpus_stream
 from runloom.streaming import replies as reply_stream
 from runloom.streaming import runs as run_stream
+from runloom.streaming import sinks
 from workloads import facade
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,14 +600,27 @@ def stream_responses(spark, sf):
     )
 
 
-@query
-def stream_insert(spark, sf):
-    rows = _stream(spark, sf, "documents").selectExpr(
-        "doc_id as id", "source as srs_origin", "if(n_chars >= 200, lang, null) as srs_title",
+def _stream_triples(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream(spark, sf, "documents").selectExpr(
+        "doc_id as id",
+        "source as srs_origin",
+        "if(n_chars >= 200, lang, null) as srs_title",
         "text as srs_content",
     )
-    folder = new_folder(spark, "inserted")
+
+
+@query
+def stream_insert(spark, sf):
+    rows, folder = _stream_triples(spark, sf), new_folder(spark, "inserted")
     corpus_stream.insert_stream(
         spark, rows, "id", folder, new_folder(spark, "inserted-state")
     ).awaitTermination()
     return corpus_stream.inserted(spark, rows.schema, folder)
+
+
+@query
+def stream_unseen(spark, sf):
+    rows = corpus_stream.unseen(_stream_triples(spark, sf), "id")
+    folder = new_folder(spark, "unseen")
+    sinks.start(rows, "append", folder, new_folder(spark, "unseen-state")).awaitTermination()
+    return corpus_stream.inserted(spark, rows.schema, folder).drop("id")
