@@ -31,8 +31,12 @@ def is_blank(text: Column) -> Column:
 
 
 def artifact_key(doc_id: Column, title: Column) -> Column:
-    """``{id}_{title}`` with plain blanks taken out of the title."""
-    return F.concat(doc_id.cast("string"), F.lit("_"), F.replace(title, F.lit(" "), F.lit("")))
+    """``{id}_{title}`` with plain blanks taken out of the title.
+
+    A missing title counts as empty: the key stays unique per document.
+    """
+    bare = F.replace(F.coalesce(title, F.lit("")), F.lit(" "), F.lit(""))
+    return F.concat(doc_id.cast("string"), F.lit("_"), bare)
 
 
 def unfence(text: Column) -> Column:

@@ -84,16 +84,17 @@ def with_report(runs: DataFrame, flow: str) -> DataFrame:
 
 
 def chat_of_run() -> Column:
-    """The run's chat: one (user, assistant) pair per flow, the dist flow continuing."""
-    return F.array(
+    """The run's chat: a (user, assistant) pair per flow with a text, orig before dist."""
+    pairs = F.array(
         *[
             F.struct(
-                F.coalesce(F.col(TEXT_OF[flow]), F.lit("")).alias("user"),
+                F.col(TEXT_OF[flow]).alias("user"),
                 F.coalesce(F.col(f"reply_generate_{flow}"), F.lit("")).alias("assistant"),
             )
             for flow in FLOWS
         ]
     )
+    return F.filter(pairs, lambda pair: ~is_blank(pair["user"]))
 
 
 def with_images(runs: DataFrame) -> DataFrame:

@@ -52,6 +52,11 @@ def test_chat_continues_from_orig_to_dist(spark):
     ]
 
 
+def test_chat_leaves_out_a_flow_without_text(spark):
+    assert [pair.user for pair in one(run_with(spark, distil_orig=" ")).chat] == ["text"]
+    assert [pair.user for pair in one(run_with(spark, distil_orig=None)).chat] == ["text"]
+
+
 @pytest.mark.parametrize(
     ("changes", "orig", "dist"),
     [

@@ -82,9 +82,10 @@ def test_wrap_script(spark):
 
 
 def test_artifact_key(spark):
-    rows = spark.createDataFrame([(7, "Blue  Door"), (8, "a\tb")], "id long, title string")
+    titles = [(7, "Blue  Door"), (8, "a\tb"), (9, None)]
+    rows = spark.createDataFrame(titles, "id long, title string")
     keys = rows.select(txt.artifact_key(F.col("id"), F.col("title")).alias("k")).collect()
-    assert [row.k for row in keys] == ["7_BlueDoor", "8_a\tb"]
+    assert [row.k for row in keys] == ["7_BlueDoor", "8_a\tb", "9_"]
 
 
 def test_reply_status(spark):

@@ -382,7 +382,8 @@ SQL: dict[str, str] = {
         FROM runs WHERE NOT (state_orig = 'ok' AND state_dist = 'ok')""",
     "first_pass_chat": f"""WITH {RUNS} SELECT srs_id, llm_model, 0::BIGINT AS pair, original_srs_text AS "user",
             gen_orig AS assistant FROM runs
-        UNION ALL SELECT srs_id, llm_model, 1, coalesce(distilled_srs_text, ''), gen_dist FROM runs""",
+        UNION ALL SELECT srs_id, llm_model, 1, distilled_srs_text, gen_dist FROM runs
+            WHERE coalesce({strip('distilled_srs_text')}, '') <> ''""",
     "batch_summary": f"""WITH {RUNS} SELECT srs_id, llm_provider AS provider, llm_model AS model, script_orig,
         sim_orig AS similarity_orig, distilled_srs_text AS distilled_text, script_dist,
         sim_dist AS similarity_dist FROM runs""",
