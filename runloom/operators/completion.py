@@ -75,6 +75,17 @@ def complete(
         for name in ("lookup_error", "llm_provider", "api_id", "temperature")
     ]
 
+    # Nested, so that it travels by value: executors need not have this package.
+    def ask(client, prompt, lookup_error, provider, api_id, temperature):
+        if prompt is None:
+            return None
+        if lookup_error is not None:
+            return lookup_error
+        try:
+            return client(prompt, api_id, temperature)
+        except Exception as problem:
+            return f"Error processing {provider} request: {problem}"
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
         for batch in batches:
@@ -85,26 +96,10 @@ def complete(
             columns = [batch.column(name) for name in kept]
             for name in names:
                 texts = batch.column(f"_prompt_{name}").to_pylist()
-                replies = [_ask(client, *row) for row in zip(texts, *context)]
+                replies = [ask(client, *row) for row in zip(texts, *context)]
                 columns.append(pa.array(replies, pa.string()))
             yield pa.RecordBatch.from_arrays(
                 columns, names=[*kept, *[f"reply_{name}" for name in names]]
             )
 
     return asked.mapInArrow(answer, schema)
-
-
-def _ask(
-    client: Complete,
-    prompt: str | None,
-    lookup_error: str | None,
-    provider: str,
-    api_id: str,
-    temperature: float,
-) -> str | None:
-    if prompt is None or lookup_error is not None:
-        return None if prompt is None else lookup_error
-    try:
-        return client(prompt, api_id, temperature)
-    except Exception as problem:
-        return f"Error processing {provider} request: {problem}"

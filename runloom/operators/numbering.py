@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from runloom.session import durable
 
-# Rows of one group that share a window task in running_sum.
-BLOCK = 1024
+# Consecutive numbers of one group that are handled together: at most 1,024 rows.
+BLOCK_BITS = 10
+BLOCK = 1 << BLOCK_BITS
 
 
 def positions(
@@ -56,7 +57,7 @@ def positions(
 
 
 def block_of(seq: str) -> Column:
-    return F.floor(F.col(seq) / F.lit(BLOCK)).cast("long")
+    return F.shiftright(F.col(seq).cast("long"), BLOCK_BITS)
 
 
 def running_sum(df: DataFrame, group: str, seq: str, value: Column, out: str) -> DataFrame:

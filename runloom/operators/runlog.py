@@ -165,12 +165,12 @@ def facets(log: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     rows = log.where(F.col("srs_id").isNotNull())
     if ids is not None:
         rows = rows.join(ids, "srs_id", "left_semi")
-    text = "cast(null as double)"
+    no_number = "cast(null as double)"
     return rows.selectExpr(
         "srs_id",
-        f"stack(4, 'llm_provider', llm_provider, {text}, 'llm_model', llm_model, {text}, "
+        f"stack(4, 'llm_provider', llm_provider, {no_number}, 'llm_model', llm_model, {no_number}, "
         "'temperature', cast(temperature as string), temperature, "
-        f"'event_type', event_type, {text}) as (facet, value, number)",
+        f"'event_type', event_type, {no_number}) as (facet, value, number)",
     ).distinct()
 
 

@@ -533,15 +533,18 @@ def backfeed_results(spark, sf):
 def digest_client():
     """A stand-in for a model client: its answer depends on the whole prompt alone."""
 
-    def answer(prompt: str, api_id: str, temperature: float) -> str:
-        digest = hashlib.md5(prompt.encode()).hexdigest()
-        if "similarity_score" in prompt:
-            return f'{{"similarity_score": {len(prompt)}, "discrepancies": ["{digest}"]}}'
-        if "diagram script only" in prompt:
-            return f"@startuml\n' {digest}\n@enduml"
-        return f"{api_id} {temperature} {digest}"
+    def make_client():
+        def answer(prompt: str, api_id: str, temperature: float) -> str:
+            digest = hashlib.md5(prompt.encode()).hexdigest()
+            if "similarity_score" in prompt:
+                return f'{{"similarity_score": {len(prompt)}, "discrepancies": ["{digest}"]}}'
+            if "diagram script only" in prompt:
+                return f"@startuml\n' {digest}\n@enduml"
+            return f"{api_id} {temperature} {digest}"
 
-    return answer
+        return answer
+
+    return make_client
 
 
 @query
@@ -550,7 +553,7 @@ def completion_map(spark, sf):
     asked = completion.complete(
         runs,
         {"distil": prompts.distil(F.col("original_srs_text"))},
-        digest_client,
+        digest_client(),
         spark.sparkContext.defaultParallelism,
     )
     return asked.select("srs_id", "llm_model", F.col("reply_distil").alias("response"))
@@ -560,7 +563,7 @@ def completion_map(spark, sf):
 def first_pass_completed(spark, sf):
     """First pass with the function instead of recorded answers."""
     runs = catalog.fan_out(facade.batch_documents(spark, sf), facade.MODELS, 0.5)
-    ask = stages.ask_function(digest_client, spark.sparkContext.defaultParallelism)
+    ask = stages.ask_function(digest_client(), spark.sparkContext.defaultParallelism)
     results = first_pass.first_pass(runs, ask)
     return results.select(
         "srs_id", "llm_provider", "llm_model", "temperature", "plantuml_script_orig_srs",
