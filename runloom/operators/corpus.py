@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.schemas import CORPUS_KEY
 
+# Ids written into the plan as literals; a longer list becomes a table.
+LISTED_IDS = 1000
+
 
 def by_ids(corpus: DataFrame, ids: Sequence[int] | DataFrame) -> DataFrame:
     """Documents with the given ids; none for an empty list.
 
-    A list becomes a pushed-down IN filter. A DataFrame with an ``id`` column may
-    be of any size.
+    A short list becomes a pushed-down IN filter, a long one a table. A DataFrame
+    with an ``id`` column may be of any size.
     """
+    if not isinstance(ids, DataFrame) and len(ids) > LISTED_IDS:
+        ids = corpus.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64())}))
     if isinstance(ids, DataFrame):
         chosen = corpus.join(ids, "id", "left_semi")
     else:

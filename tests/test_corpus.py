@@ -23,6 +23,7 @@ def test_ids_repeat_and_miss(spark):
     assert corpus.select_for_batch(docs).columns == ["id", "srs_title", "srs_content"]
     many = spark.createDataFrame([(2,), (2,), (999,)], "id long")
     assert column(corpus.by_ids(docs, many), "id") == [2]
+    assert column(corpus.by_ids(docs, list(range(2, 3 * corpus.LISTED_IDS)) * 2), "id") == [2]
 
 
 def test_last_entry_wins_and_keeps_the_first_place(spark):
