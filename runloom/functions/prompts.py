@@ -59,7 +59,10 @@ def fill(template: str, **slots: Column) -> Column:
 
 
 def distil(text: Column, template: str = DISTIL) -> Column:
-    return strip(fill(template, text=text))
+    """The filled template, stripped; on the driver if both its ends are literal."""
+    bare = template.strip()
+    prompt = fill(bare, text=text)
+    return strip(prompt) if bare.startswith("{") or bare.endswith("}") else prompt
 
 
 def generate(text: Column, template: str = GENERATE) -> Column:

@@ -25,9 +25,14 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITESPACE))
 
 
+def strip_left(text: Column) -> Column:
+    """Remove whitespace of any kind at the start; stops at the first other character."""
+    return F.ltrim(text, F.lit(WHITESPACE))
+
+
 def is_blank(text: Column) -> Column:
     """True for NULL, empty and whitespace-only text."""
-    return F.coalesce(strip(text) == "", F.lit(True))
+    return F.coalesce(strip_left(text) == "", F.lit(True))
 
 
 def artifact_key(doc_id: Column, title: Column) -> Column:
@@ -68,7 +73,7 @@ def extract_script(reply: Column) -> Column:
 
 def wrap_script(script: Column) -> Column:
     """Add the marker lines unless the stripped script already starts with one."""
-    return F.when(F.startswith(strip(script), F.lit(SCRIPT_START)), script).otherwise(
+    return F.when(F.startswith(strip_left(script), F.lit(SCRIPT_START)), script).otherwise(
         F.concat(F.lit(SCRIPT_START + "\n"), script, F.lit("\n" + SCRIPT_END))
     )
 

@@ -101,7 +101,8 @@ def test_slot_values_are_not_expanded(spark):
 
 def test_null_slot_is_empty_and_distil_is_stripped(spark):
     assert apply(spark, [None], lambda c: prompts.generate(c, "<{text}>")) == ["<>"]
-    assert apply(spark, ["t"], lambda c: prompts.distil(c, "\n {text} \n")) == ["t"]
+    assert apply(spark, [" t "], lambda c: prompts.distil(c, "\n {text} \n")) == ["t"]
+    assert apply(spark, [" t "], lambda c: prompts.distil(c, "\n <{text}> \n")) == ["< t >"]
 
 
 @pytest.mark.parametrize("flow", ["orig", "dist"])
