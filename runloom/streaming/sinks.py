@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def write_batch(rows: DataFrame, batch_id: int, folder: str) -> None:
@@ -27,6 +27,7 @@ def newest_version(
     spark: SparkSession, folder: str, schema: StructType, key: list[str]
 ) -> DataFrame:
     """Per key the row of the last batch that changed it."""
-    rows = spark.read.schema(schema.add("batch", "long")).parquet(folder)
+    versioned = StructType([*schema.fields, StructField("batch", LongType())])
+    rows = spark.read.schema(versioned).parquet(folder)
     last = rows.groupBy(*key).agg(F.max("batch").alias("batch"))
     return rows.join(last, [*key, "batch"]).drop("batch")
