@@ -54,8 +54,11 @@ def from_entries(entries: DataFrame) -> DataFrame:
     ``pos`` in the result is the title's first position, which is its place in the
     import. Only title and pos are aggregated; the long text is fetched afterwards.
     """
-    spans = entries.groupBy("title").agg(F.min("pos").alias("_first"), F.max("pos").alias("pos"))
-    return entries.join(spans, ["title", "pos"]).select(
+    spans = entries.groupBy(F.col("title").alias("_title")).agg(
+        F.min("pos").alias("_first"), F.max("pos").alias("_last")
+    )
+    same = F.col("title").eqNullSafe(F.col("_title")) & (F.col("pos") == F.col("_last"))
+    return entries.join(spans, same).select(
         F.col("_first").alias("pos"),
         F.col("origin").alias("srs_origin"),
         F.col("title").alias("srs_title"),

@@ -11,7 +11,7 @@ from runloom.operators.corpus import insert_if_absent, row_key
 from runloom.streaming.sinks import write_batch
 
 
-def unseen(entries: DataFrame, row_id: str, salts: int = 32) -> DataFrame:
+def unseen(entries: DataFrame, row_id: str, salts: int = 256) -> DataFrame:
     """The stream without copies of what it has brought before.
 
     Digests are kept as state, so a micro-batch costs what it brings and not what is
@@ -32,22 +32,29 @@ def unseen(entries: DataFrame, row_id: str, salts: int = 32) -> DataFrame:
 
 
 def insert_stream(
-    spark: SparkSession, entries: DataFrame, row_id: str, folder: str, checkpoint: str
+    entries: DataFrame,
+    row_id: str,
+    folder: str,
+    checkpoint: str,
+    existing: DataFrame | None = None,
 ) -> StreamingQuery:
     """Append unseen (origin, title, content) rows of the stream to ``folder``.
 
-    Each batch is compared with the digests of the earlier batches only, so a replay
-    after a failure writes the same rows to the same sub-folder. It reads all stored
-    digests; a stream that runs for long is better served by ``unseen``.
+    ``existing`` are rows stored elsewhere that count as seen. Each batch is compared
+    with them and with the digests of the earlier batches only, so a replay after a
+    failure writes the same rows to the same sub-folder. It reads all stored digests;
+    a stream that runs for long is better served by ``unseen``.
     """
-    schema = StructType([*entries.schema.fields]).add("row_key", "string").add("batch", "long")
 
     def insert(rows: DataFrame, batch_id: int) -> None:
         session = rows.sparkSession
-        if batch_id == 0:
-            stored = session.createDataFrame([], schema)
-        else:
-            stored = session.read.schema(schema).parquet(folder).where(F.col("batch") < batch_id)
+        stored = session.createDataFrame([], "row_key string")
+        if existing is not None:
+            known = F.col("row_key") if "row_key" in existing.columns else row_key()
+            stored = stored.union(existing.select(known))
+        if batch_id > 0:
+            earlier = session.read.schema("row_key string, batch long").parquet(folder)
+            stored = stored.union(earlier.where(F.col("batch") < batch_id).select("row_key"))
         fresh = insert_if_absent(rows.withColumn("row_key", row_key()), stored, row_id)
         write_batch(fresh, batch_id, folder)
 

@@ -28,11 +28,16 @@ def test_ids_repeat_and_miss(spark):
 
 def test_last_entry_wins_and_keeps_the_first_place(spark):
     entries = spark.createDataFrame(
-        [("a", 1, "old", "o1"), ("b", 2, "only", "o2"), ("a", 3, "new", "o3"), ("A", 4, "case", "o4")],
+        [("a", 1, "old", "o1"), ("b", 2, "only", "o2"), ("a", 3, "new", "o3"), ("A", 4, "case", "o4"), (None, 5, "no title", "o5")],
         "title string, pos long, content string, origin string",
     )
     found = sorted(tuple(row) for row in corpus.from_entries(entries).collect())
-    assert found == [(1, "o3", "a", "new"), (2, "o2", "b", "only"), (4, "o4", "A", "case")]
+    assert found == [
+        (1, "o3", "a", "new"),
+        (2, "o2", "b", "only"),
+        (4, "o4", "A", "case"),
+        (5, "o5", None, "no title"),
+    ]
 
 
 def test_entries_of_maps(spark):

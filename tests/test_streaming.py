@@ -65,7 +65,7 @@ def test_corpus_stream_inserts_each_triple_once(spark, tmp_path):
     )
     stream = files_of(docs, str(tmp_path / "in"), 5)
     folder = str(tmp_path / "out")
-    corpus_stream.insert_stream(spark, stream, "id", folder, str(tmp_path / "state")).awaitTermination()
+    corpus_stream.insert_stream(stream, "id", folder, str(tmp_path / "state")).awaitTermination()
     found = corpus_stream.inserted(spark, docs.schema, folder)
     assert found.where("srs_title is null").count() == 30
     assert found.where("srs_title is not null").count() == 4
@@ -73,6 +73,16 @@ def test_corpus_stream_inserts_each_triple_once(spark, tmp_path):
     assert same(found.drop("id"), in_batch.drop("id"))
 
 
+def test_corpus_stream_knows_existing_rows(spark, tmp_path):
+    schema = "id long, srs_origin string, srs_title string, srs_content string"
+    docs = spark.createDataFrame([(1, "o", "t", "x"), (2, "o", "t", "y"), (3, "o", "t", "y")], schema)
+    stream, folder = files_of(docs, str(tmp_path / "in"), 3), str(tmp_path / "out")
+    stored = spark.createDataFrame([(9, "o", "t", "x")], schema)
+    corpus_stream.insert_stream(stream, "id", folder, str(tmp_path / "state"), stored).awaitTermination()
+    found = corpus_stream.inserted(spark, docs.schema, folder).collect()
+    assert [row.srs_content for row in found] == ["y"]
+
+
 def test_unseen_keeps_digests_across_batches(spark, tmp_path):
     docs = spark.range(300).select(
         "id",

@@ -445,7 +445,8 @@ SQL: dict[str, str] = {
             'm' || (event_id % 5) AS llm_model, (event_id % 2) * 0.5::DOUBLE AS temperature, ts FROM events)
         SELECT srs_id, llm_provider, llm_model, temperature, count(*) AS run_count,
             arg_max(id, (ts, id)) AS id FROM log GROUP BY ALL""",
-    "stream_insert": f"WITH {TRIPLES} {INSERTED.format('')}",
 }
 SQL["stream_responses"] = SQL["response_text"]
-SQL["stream_unseen"] = f"SELECT srs_origin, srs_title, srs_content FROM ({SQL['stream_insert']})"
+SQL["stream_insert"] = SQL["insert_if_absent"]
+SQL["stream_unseen"] = f"""WITH {TRIPLES}
+    SELECT srs_origin, srs_title, srs_content FROM ({INSERTED.format('')})"""

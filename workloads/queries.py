@@ -616,7 +616,7 @@ def _stream_triples(spark: SparkSession, sf: str) -> DataFrame:
 def stream_insert(spark, sf):
     rows, folder = _stream_triples(spark, sf), new_folder(spark, "inserted")
     corpus_stream.insert_stream(
-        spark, rows, "id", folder, new_folder(spark, "inserted-state")
+        rows, "id", folder, new_folder(spark, "inserted-state"), facade.labelled_triples(spark, sf)
     ).awaitTermination()
     return corpus_stream.inserted(spark, rows.schema, folder)
 
