@@ -32,7 +32,8 @@ def parse_report(df: DataFrame, reply: Column, out: str = "report") -> DataFrame
 
     The JSON reader ignores words after a complete value. The reply is therefore
     read inside an envelope whose own last key must still be reached: trailing
-    words break the envelope, and a second value makes its list longer than one.
+    words break the envelope, and a second value makes its list longer than one. (Only
+    a reply that closes the envelope's list and opens another one would slip through.)
 
     The parse stands behind a one-row generator. As a plain column it would be copied
     into every filter on the report that the optimizer moves down, once per use.

@@ -76,6 +76,16 @@ def test_numbers_in_lists_become_text(spark):
     assert report.missing_elements == ["1", "a"]
 
 
+def test_keys_are_case_sensitive_and_unknown_keys_ignored(spark):
+    (report,) = parse(spark, ['{"Discrepancies": ["x"], "SIMILARITY_SCORE": 3, "_corrupt": "y", "closed": false}'])
+    assert report.ok and report.discrepancies == [] and report.similarity_score is None
+
+
+def test_not_a_number(spark):
+    (report,) = parse(spark, ['{"similarity_score": NaN}'])
+    assert report.ok and report.similarity_score is None
+
+
 def test_analysis_text(spark):
     texts = ['{"discrepancies": ["a", "b"], "additional_elements": ["x"]}']
     rows = spark.createDataFrame([(text,) for text in texts], "reply string")
