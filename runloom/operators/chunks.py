@@ -1,8 +1,9 @@
 """Reply chunks and chat turns: (request, seq) rows to texts and pairs.
 
-``seq`` is an integer and unique within its request. All grouping goes through
-blocks of consecutive numbers, so the rows of one long request are spread over
-many tasks; what is finally put together is one text per block.
+``seq`` counts up within its request and is unique there; gaps are allowed, but wide
+ones leave the blocks nearly empty. All grouping goes through blocks of consecutive
+numbers, so the rows of one long request are spread over many tasks; what is finally
+put together is one text per block.
 """
 
 from __future__ import annotations

@@ -71,20 +71,31 @@ def row_key(keys: Sequence[str] = tuple(CORPUS_KEY)) -> Column:
     return F.sha2(F.concat(*[F.sha2(F.col(name), 256) for name in keys]), 256)
 
 
+def stored_digests(existing: DataFrame, keys: Sequence[str] = tuple(CORPUS_KEY)) -> DataFrame:
+    """(row_key) of stored rows: as stored, else computed from the texts.
+
+    Rows without a stored digest are a branch of their own. Its filter reaches the
+    row groups' null counts, so texts are only read where digests are missing.
+    """
+    if "row_key" not in existing.columns:
+        return existing.select(row_key(keys).alias("row_key"))
+    missing = F.col("row_key").isNull()
+    computed = existing.where(missing).select(row_key(keys).alias("row_key"))
+    return existing.where(~missing).select("row_key").union(computed)
+
+
 def fresh_ids(
-    new: DataFrame, existing: DataFrame, row_id: str, keys: Sequence[str] = tuple(CORPUS_KEY)
+    new: DataFrame, stored: DataFrame, row_id: str, keys: Sequence[str] = tuple(CORPUS_KEY)
 ) -> DataFrame:
     """``row_id`` of the rows of ``new`` to insert: absent, and the first of their copies.
 
-    Keys compare with plain equality, so a row with NULL in any of them always goes
-    in. Digests stand for the long texts. Both sides' digests are stacked and grouped
-    once, combined map-side, so a large group of copies costs one row per map task.
-    ``row_id`` is unique in ``new``; ``existing`` may bring its digests along in a
-    ``row_key`` column.
+    ``stored`` holds digests in ``row_key``. Keys compare with plain equality, so a row
+    with NULL in any of them always goes in. Digests stand for the long texts. Both
+    sides' digests are stacked and grouped once, combined map-side, so a large group
+    of copies costs one row per map task. ``row_id`` is unique in ``new``.
     """
     digests = new.select(row_id, row_key(keys).alias("row_key"))
-    stored = F.col("row_key") if "row_key" in existing.columns else row_key(keys)
-    present = existing.select(stored.alias("row_key"), F.lit(True).alias("_present"))
+    present = stored.select("row_key", F.lit(True).alias("_present"))
     first = (
         digests.unionByName(present, allowMissingColumns=True)
         .where(F.col("row_key").isNotNull())
@@ -101,7 +112,8 @@ def insert_if_absent(
     new: DataFrame, existing: DataFrame, row_id: str, keys: Sequence[str] = tuple(CORPUS_KEY)
 ) -> DataFrame:
     """The rows of ``new`` to append; their text is read again for the survivors only."""
-    return new.join(fresh_ids(new, existing, row_id, keys), row_id, "left_semi")
+    fresh = fresh_ids(new, stored_digests(existing, keys), row_id, keys)
+    return new.join(fresh, row_id, "left_semi")
 
 
 def skipped(new: DataFrame, fresh: DataFrame, row_id: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runloom.operators.corpus import fresh_ids, from_entries, row_key
+from runloom.operators.corpus import fresh_ids, from_entries, row_key, stored_digests
 from runloom.operators.numbering import positions
 from runloom.schemas import CORPUS, RUN_LOG
 
@@ -105,5 +105,6 @@ def import_corpus(spark: SparkSession, entries: DataFrame, root: str) -> None:
     ensure_tables(spark, root)
     stored = spark.read.schema(STORED_CORPUS).parquet(corpus_path(root))
     new = from_entries(entries).withColumn("row_key", row_key())
-    numbered = number_rows(new, fresh_ids(new, stored, "pos"), "pos", last_id(stored))
+    fresh = fresh_ids(new, stored_digests(stored), "pos")
+    numbered = number_rows(new, fresh, "pos", last_id(stored))
     numbered.select(*STORED_CORPUS.names).write.mode("append").parquet(corpus_path(root))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from runloom.operators.corpus import insert_if_absent, row_key
+from runloom.operators.corpus import fresh_ids, row_key, stored_digests
 from runloom.streaming.sinks import write_batch
 
 
@@ -50,12 +50,13 @@ def insert_stream(
         session = rows.sparkSession
         stored = session.createDataFrame([], "row_key string")
         if existing is not None:
-            known = F.col("row_key") if "row_key" in existing.columns else row_key()
-            stored = stored.union(existing.select(known))
+            stored = stored.union(stored_digests(existing))
         if batch_id > 0:
             earlier = session.read.schema("row_key string, batch long").parquet(folder)
-            stored = stored.union(earlier.where(F.col("batch") < batch_id).select("row_key"))
-        fresh = insert_if_absent(rows.withColumn("row_key", row_key()), stored, row_id)
+            seen = F.col("row_key").isNotNull() & (F.col("batch") < batch_id)
+            stored = stored.union(earlier.where(seen).select("row_key"))
+        new = rows.withColumn("row_key", row_key())
+        fresh = new.join(fresh_ids(new, stored, row_id), row_id, "left_semi")
         write_batch(fresh, batch_id, folder)
 
     return (

@@ -92,6 +92,17 @@ def test_import_is_idempotent(spark, tmp_path):
     assert stored == [(1, "o", "b", "x"), (2, "o", "a", "new")]
 
 
+def test_import_into_a_corpus_without_digests(spark, tmp_path):
+    root = str(tmp_path / "root")
+    triples(spark, [(5, "o", "a", "x"), (6, "o", None, "n")]).write.parquet(tables.corpus_path(root))
+    schema = "title string, pos long, content string, origin string"
+    entries = spark.createDataFrame([("a", 1, "x", "o"), ("b", 2, "y", "o")], schema)
+    for _ in range(2):
+        tables.import_corpus(spark, entries, root)
+    found = [(row.id, row.srs_title) for row in tables.corpus(spark, root).orderBy("id").collect()]
+    assert found == [(5, "a"), (6, None), (7, "b")]
+
+
 def test_import_goes_on_after_the_last_id(spark, tmp_path):
     root = str(tmp_path / "root")
     schema = "title string, pos long, content string, origin string"
