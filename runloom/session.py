@@ -53,5 +53,5 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     folder = new_folder(spark, "durable")
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
