@@ -8,6 +8,7 @@ import __spark_entry__ as contract
 from tests.check import TABLES, compare, connect
 from tests.helpers import plan_of
 from workloads import facade, queries
+from workloads.oracle import SQL
 
 SF = str(TABLES / "sf0.001")
 
@@ -17,13 +18,15 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(queries.registered()))
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, name, SF) == ""
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(queries.registered()) == set(SQL)
+    assert set(queries.registered()) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -34,7 +37,7 @@ STREAMS = {"stream_latest", "stream_responses", "stream_insert", "stream_unseen"
 PYTHON = {"completion_map", "first_pass_completed"}
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(queries.registered()) - STREAMS))
 def test_plan_has_no_cross_join_and_no_python(spark, name):
     plan = plan_of(contract.queries()[name](spark, SF))
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
