@@ -1,3 +1,46 @@
 """SQL for those queries of this subpackage that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op1_chat"] = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), turns AS (
+    SELECT *,
+        role || chr(10) || text || chr(10) AS spoken,
+        CASE WHEN role = 'assistant' THEN text ELSE '' END AS masked,
+        length(replace(replace(replace(role, '\', '\\'), '>', '\g'), '<', '\l'))
+            + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '<turn ', '<\turn '))
+            + length('<turn ') + length('>') + 1 + length('</turn>') + 1 AS chars
+    FROM rows
+)
+SELECT
+    conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(spoken, '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(sum(length(masked)) AS BIGINT) AS loss_chars,
+    sha256(string_agg(masked, '' ORDER BY turn, role, text)) AS loss_sha256,
+    CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
+SQL["op7_top_k"] = """
+WITH valid AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+        CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+    FROM valid q JOIN valid c ON len(q.v) = len(c.v) AND q.vec_id IS DISTINCT FROM c.vec_id
+    WHERE q.vec_id % 50 = 0
+)
+SELECT query_id,
+    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""

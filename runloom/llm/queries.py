@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runloom.llm import packing, simhash, token_file
+from runloom.llm import chat, html_text, langid, packing, simhash, token_file, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -32,6 +32,43 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query
+def op1_chat(spark, sf):
+    rows = table(spark, sf, "conversations").select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
+    )
+    added = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(CONTROL_TEXT).alias("text"),
+    )
+    # Every row is a message of its own, also where turns repeat.
+    place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    events = rows.unionByName(added).select(
+        "conv_id",
+        F.row_number().over(place).alias("message"),
+        F.lit(0).alias("seq"),
+        F.lit("start").alias("kind"),
+        "role",
+        "text",
+    )
+    back = chat.read_back(chat.chat_texts(events))
+    spoken = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    masked = F.array_join("loss_texts", "")
+    return back.select(
+        F.col("conversation").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(spoken, ""), 256).alias("turns_sha256"),
+        F.length(masked).cast("long").alias("loss_chars"),
+        F.sha2(masked, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query
 def op2_simhash(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"), words=3, radius=2)
@@ -52,6 +89,35 @@ def op4_packing(spark, sf):
     )
 
 
+@query
+def op5_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        langid.held_out(F.col("doc_id")).alias("held_out"),
+        langid.identify(model, F.col("text")).alias("found"),
+    )
+    return found.select(
+        "doc_id",
+        "held_out",
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+        F.col("found.rejected").alias("rejected"),
+    )
+
+
+@query
+def op6_main_text(spark, sf):
+    found = html_text.main_text(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_top_k(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), lambda vec_id: vec_id % 50 == 0, 5)
+
+
 @query
 def op10_token_file(spark, sf):
     manifest = token_file.write_token_files(table(spark, sf, "documents"), word_bpe(), 2)
