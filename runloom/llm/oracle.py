@@ -44,3 +44,60 @@ SELECT query_id,
 FROM scored
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
+
+SQL["op8_repeated_words"] = r"""
+WITH texts AS (
+    SELECT doc_id,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(words[i:i + 49], ' ') AS window_text
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts)
+), least AS (
+    SELECT window_text, min(doc_id) AS least FROM windows GROUP BY window_text
+), repeated AS (
+    SELECT w.doc_id, w.i FROM windows w JOIN least l USING (window_text) WHERE l.least < w.doc_id
+), words AS (
+    SELECT t.doc_id, t.j, t.word, max(r.i) OVER (PARTITION BY t.doc_id ORDER BY t.j) AS last_start
+    FROM (SELECT doc_id, unnest(range(1, len(words) + 1)) AS j, unnest(words) AS word FROM texts) t
+    LEFT JOIN repeated r ON r.doc_id = t.doc_id AND r.i = t.j
+), marked AS (
+    SELECT *, coalesce(j - last_start < 50, false) AS removed FROM words
+)
+SELECT t.doc_id,
+    len(t.words) AS n_words,
+    count(m.j) FILTER (WHERE m.removed) AS n_removed,
+    sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.j) FILTER (WHERE NOT m.removed), '')) AS kept_sha256
+FROM texts t LEFT JOIN marked m ON m.doc_id = t.doc_id
+GROUP BY t.doc_id, len(t.words)
+"""
+
+SQL["op9_repeated_bytes"] = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
+), windows AS (
+    SELECT doc_id, i, substr(digits, 2 * i - 1, 100) AS window_digits
+    FROM (SELECT doc_id, digits, unnest(range(1, length(digits) // 2 - 48)) AS i FROM texts)
+), least AS (
+    SELECT window_digits, min(doc_id) AS least FROM windows GROUP BY window_digits
+), repeated AS (
+    SELECT w.doc_id, w.i FROM windows w JOIN least l USING (window_digits) WHERE l.least < w.doc_id
+), bytes AS (
+    SELECT t.doc_id, t.j, substr(t.digits, 2 * t.j - 1, 2) AS byte,
+        max(r.i) OVER (PARTITION BY t.doc_id ORDER BY t.j) AS last_start
+    FROM (SELECT doc_id, digits, unnest(range(1, length(digits) // 2 + 1)) AS j FROM texts) t
+    LEFT JOIN repeated r ON r.doc_id = t.doc_id AND r.i = t.j
+), marked AS (
+    SELECT *, coalesce(j - last_start < 50, false) AS removed FROM bytes
+), edges AS (
+    SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY j), false) AS edge
+    FROM marked
+)
+SELECT t.doc_id,
+    length(t.digits) // 2 AS n_bytes,
+    count(m.j) FILTER (WHERE m.removed) AS n_removed,
+    count(m.j) FILTER (WHERE m.edge) AS n_spans,
+    sha256(from_hex(coalesce(string_agg(m.byte, '' ORDER BY m.j) FILTER (WHERE NOT m.removed), ''))) AS kept_sha256
+FROM texts t LEFT JOIN edges m ON m.doc_id = t.doc_id
+GROUP BY t.doc_id, t.digits
+"""

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runloom.llm import chat, html_text, langid, packing, simhash, token_file, topk
+from runloom.llm import (
+    chat,
+    fm_index,
+    html_text,
+    langid,
+    packing,
+    repeats,
+    simhash,
+    suffix_array,
+    token_file,
+    topk,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -118,6 +129,26 @@ def op7_top_k(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), lambda vec_id: vec_id % 50 == 0, 5)
 
 
+@query
+def op8_repeated_words(spark, sf):
+    found = fm_index.remove_repeated_words(table(spark, sf, "documents"), 50)
+    return found.select(
+        "doc_id", F.col("n").alias("n_words"), "n_removed", repeats.digest("kept").alias("kept_sha256")
+    )
+
+
+@query
+def op9_repeated_bytes(spark, sf):
+    found = suffix_array.remove_repeated_bytes(table(spark, sf, "documents"), 50)
+    return found.select(
+        "doc_id",
+        F.col("n").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        repeats.digest("kept").alias("kept_sha256"),
+    )
+
+
 @query
 def op10_token_file(spark, sf):
     manifest = token_file.write_token_files(table(spark, sf, "documents"), word_bpe(), 2)
