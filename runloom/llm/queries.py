@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from runloom.llm import (
     chat,
+    decontaminate,
     fm_index,
     html_text,
     langid,
@@ -86,6 +88,13 @@ def op2_simhash(spark, sf):
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op3_decontaminate(spark, sf):
+    return decontaminate.contaminated(
+        table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    )
+
+
 @query
 def op4_packing(spark, sf):
     pieces = packing.pack_documents(table(spark, sf, "documents"), word_bpe(), 1, 2048)
@@ -153,3 +162,8 @@ def op9_repeated_bytes(spark, sf):
 def op10_token_file(spark, sf):
     manifest = token_file.write_token_files(table(spark, sf, "documents"), word_bpe(), 2)
     return token_file.read_digests(manifest)
+
+
+@query
+def pipeline(spark, sf):
+    return corpus_pipeline.run(spark, sf)

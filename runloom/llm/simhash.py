@@ -19,7 +19,7 @@ TREE_SIZE = 2048
 # Hashes handled at a time.
 CHUNK = 1 << 19
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("fp", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -66,24 +66,27 @@ def _fingerprints(words: int, seed: int) -> Callable:
 
         digest = partial(xxhash.xxh64_intdigest, seed=seed)
         for batch in batches:
-            ids, hashes, lengths, pending = [], [], [], 0
+            ids, versions, hashes, lengths, pending = [], [], [], [], 0
 
             def give():
                 joined = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
                 prints = majority_bits(joined, lengths).view(np.int64)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(prints)], schema=PRINTS
+                    [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(prints)],
+                    schema=PRINTS,
                 )
 
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+            known = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for (doc_id, version), text in zip(known, utf8(batch.column(2))):
                 grams = _shingles(text, words)
                 ids.append(doc_id)
+                versions.append(version)
                 lengths.append(len(grams))
                 hashes.append(np.fromiter(map(digest, grams), np.uint64, len(grams)))
                 pending += len(grams)
                 if pending >= CHUNK:
                     yield give()
-                    ids, hashes, lengths, pending = [], [], [], 0
+                    ids, versions, hashes, lengths, pending = [], [], [], [], 0
             if ids:
                 yield give()
 
@@ -93,13 +96,18 @@ def _fingerprints(words: int, seed: int) -> Callable:
 def fingerprints(
     docs: DataFrame, words: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, fp): the 64-bit SimHash of each whole text, as a signed long.
+    """(doc_id, version, fp): the 64-bit SimHash of each whole text, as a signed long.
 
     Words are runs of non-space ASCII-wise, A-Z in lower case; repeated shingles count again; a
-    text of fewer words is one shingle; a null text or one without words gives zero.
+    text of fewer words is one shingle; a null text or one without words gives zero. ``version``,
+    a hash of the text, tells rows that repeat an id apart.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_fingerprints(words, seed), "doc_id long, fp long")
+    slim = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("version"),
+        F.col(text).cast("string").alias("text"),
+    )
+    return slim.mapInArrow(_fingerprints(words, seed), "doc_id long, version long, fp long")
 
 
 # --- trees ------------------------------------------------------------------
@@ -230,7 +238,7 @@ def near_duplicates(
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """(doc_id, fp, component_id) of every row.
+    """(doc_id, version, fp, root, component_id) of every row; rows of one ``root`` are one group.
 
     ``component_id`` is the smallest doc_id that can be reached over links of at most
     ``radius`` differing bits, the row's own included. Equal fingerprints are one node, so a
@@ -245,8 +253,8 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     smallest = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = members.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = members.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "version", "fp", "root", "component_id")
 
 
 def hex_digits(fp: str) -> Column:
