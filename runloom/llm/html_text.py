@@ -84,8 +84,8 @@ class Block:
 class Page:
     """Blocks of text with their element and root-to-leaf path; linear in the page's length."""
 
-    def __init__(self, source: str, strict: bool):
-        self.strict = strict
+    def __init__(self, source: str, forms_out: bool):
+        self.forms_out = forms_out
         self.parents, self.tags = [-1], ["#root"]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
@@ -170,7 +170,7 @@ class Page:
     def _left_out(self, tag: str, names: dict[str, str], attributes: str) -> str:
         if tag == "head":
             return "around"
-        if not self.strict or tag in ("html", "body"):
+        if tag in ("html", "body") or (tag == "form" and not self.forms_out):
             return ""
         if not attributes and tag not in AROUND and tag != "header":
             return ""
@@ -268,7 +268,7 @@ def _inside(page: Page, root: int) -> np.ndarray:
 def main_blocks(source: str) -> list[str]:
     page = Page(source, True)
     if not page.blocks:
-        page = Page(source, False)
+        page = Page(source, False)  # some pages are one form as a whole
         if not page.blocks:
             return []
     blocks = page.blocks

@@ -1,0 +1,75 @@
+from __future__ import annotations
+
+from runloom.llm.html_text import DEPTH, main_blocks, main_text
+
+PAGE = """<!doctype html><html><head><title>Title</title><style>p{}</style></head><body>
+<header><h1>Site</h1><p>Tag line, of the site.</p></header>
+<nav><ul><li><a href=/a>A</a></li><li><a href=/b>B</a></li></ul></nav>
+<div id="cookie-notice">We use cookies, really, we do.</div>
+<div class="ad">Buy now! A very long advert text, with commas, and more.</div>
+<article><h1>Head &amp; tail</h1><p>First   para,
+with <b>bold</b><br>text &lt;here&gt;.<p>Short.
+<ul><li>one<li>two</ul><aside>Beside.</aside><div class="share"><a href=x>Share</a></div>
+<blockquote>It&#39;s quoted, and&nbsp;kept.</blockquote>
+<form><p>Mail:</p><input><button>Send</button></form><script>var x = "<p>no</p>";</script></article>
+<section class="comments"><article><p>A comment, long and well put, from a reader.</p></article></section>
+<div class="sidebar"><p>More things, here and there, to be read.</p></div>
+<footer>&copy; me</footer></body></html>"""
+
+
+def test_article_without_its_surroundings():
+    assert main_blocks(PAGE) == [
+        "Head & tail", "First para, with bold text <here>.", "Short.", "one", "two", "It's quoted, and kept.",
+    ]
+
+
+def test_page_of_divs():
+    page = """<body><div class=menu><a href=1>x</a> <a href=2>y</a></div><div class="post"><h2>Title</h2>
+    <div class=p>A first block of text, long enough, with marks.</div><div class=p>A second one, also long; yes.</div>
+    </div><div class="related"><a href=3>Other article, with a long title</a></div>"""
+    assert main_blocks(page)[0] == "Title" and len(main_blocks(page)) == 3
+
+
+def test_unclosed_menu_does_not_swallow_the_article():
+    assert main_blocks("<body><nav><a href=x>menu</a><div class=ad>ad<article><p>Text, here.</p></article>") == ["Text, here."]
+
+
+def test_odd_pages():
+    assert main_blocks("") == [] and main_blocks("<p> </p>") == [] and main_blocks("<script>x") == []
+    assert main_blocks("plain text") == ["plain text"]
+    assert main_blocks("<p>a<br>b <p>c") == ["a b", "c"]
+    assert main_blocks("<!-- <p>x</p> --><p title='a>b'>c</p><!-- open") == ["c"]
+    assert main_blocks("a < b and c > d") == ["a < b and c > d"]
+    assert main_blocks("<nav><a href=x>only menu</a></nav>") == []
+    assert main_blocks("<form><div>All of it, in a form.</div></form><footer>me</footer>") == ["All of it, in a form."]
+
+
+def test_deep_and_long_pages():
+    assert main_blocks("<div>" * 50 * DEPTH + "deep") == ["deep"]
+    assert len(main_blocks("<article>" + "<p>Some text, here.</p>" * 20_000)) == 20_000
+    assert main_blocks("<article><p>" + "word " * 300_000) == [" ".join(["word"] * 300_000)]
+
+
+def test_rows(spark):
+    data = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS rows")
+    got = [tuple(r) for r in main_text(df).collect()]
+    whole = "\n\n".join(main_blocks(PAGE))
+    assert sorted(got, key=repr) == sorted([(1, "u", whole)] * 2 + [(None, None, ""), (2, "v", "")], key=repr)
+    assert main_text(df.limit(0)).count() == 0
+
+
+def test_query_equals_the_marked_article(spark):
+    import html
+    import re
+
+    from runloom.llm import queries
+    from tests.check import TABLES
+
+    sf = str(TABLES / "sf0.01")
+    texts = {r["page_id"]: r["text"] for r in queries.op6_main_text(spark, sf).collect()}
+    for row in queries.table(spark, sf, "pages").collect():
+        inside = re.search(r"<article>(.*)</article>", row["html"], re.S)[1]
+        inside = re.sub(r"</?b>", "", inside).replace("<br>", " ")
+        blocks = [" ".join(html.unescape(b).split()) for b in re.split(r"<[^>]*>", inside)]
+        assert texts[row["page_id"]] == "\n\n".join(b for b in blocks if b)
