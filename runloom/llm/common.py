@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import sys
+import types
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,3 +57,11 @@ class Rows:
             arrays = [pa.array(c, f.type) for c, f in zip(columns, self.schema)]
             self.values, self.bytes = [], 0
             yield pa.RecordBatch.from_arrays(arrays, schema=self.schema)
+
+
+def per_worker(key: tuple, make: Callable):
+    """A value that a Python worker makes once and keeps for the tasks it is given later."""
+    kept = sys.modules.setdefault("_runloom_kept", types.ModuleType("_runloom_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -118,7 +118,7 @@ def _rows(pieces: Iterator[Piece], capacity: int, windows: int, level: int, fina
 
 def _first(tokenizer: str, end_id: int, capacity: int, windows: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer), pack([end_id])
+        encoder, end = WordEncoder.of_worker(tokenizer), pack([end_id])
 
         def pieces() -> Iterator[Piece]:
             for batch in batches:

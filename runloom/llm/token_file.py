@@ -149,7 +149,7 @@ def _write_shards(folder: str, tokenizer: str, end_id: int) -> Callable:
                 fs.FileSystem.from_uri(folder)[0].create_dir(
                     fs.FileSystem.from_uri(folder)[1], recursive=True
                 )
-                writer, encoder = Writer(path), WordEncoder(tokenizer)
+                writer, encoder = Writer(path), WordEncoder.of_worker(tokenizer)
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
                 ids = encoder.encode(text) + end
                 writer.add(doc_id, ids)
