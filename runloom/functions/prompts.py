@@ -14,37 +14,37 @@ from pyspark.sql import functions as F
 
 from runloom.functions.text import strip
 
+# Each template names its inputs first and the wanted output last.
 DISTIL = (
-    "Act as a requirements analyst who prepares class models.\n"
-    "Requirements:\n<<<\n{text}\n>>>\n"
-    "Keep only what a class diagram needs: entities, relationships, constraints and rules. "
-    "Answer with a short, structured list and do not draw the diagram."
+    "Input document:\n---\n{text}\n---\n"
+    "Output: bullet points, at most one line each. One point per thing the document names, with its"
+    " fields; one per link between two things, with how many of each; one per condition."
+    " Leave out everything else."
 )
 
 GENERATE = (
-    "Write a class diagram for the requirements below.\n\n{text}\n\n"
-    "Answer with the diagram script only, beginning at @startuml and closing with @enduml."
+    "Input document:\n---\n{text}\n---\n"
+    "Output: PlantUML source of its class diagram. First line: @startuml. Last line: @enduml. No other text."
 )
 
 SIMILARITY = (
-    "First describe the system this diagram script models:\n\n{script}\n\n"
-    "Then compare your description with these requirements:\n\n{text}\n\n"
-    "Answer with one JSON object and nothing else. Its keys are extracted_description (text), "
-    "similarity_score (number from 0 to 100), and the text lists discrepancies, "
-    "missing_elements and additional_elements."
+    "Input A, PlantUML source:\n---\n{script}\n---\nInput B, document:\n---\n{text}\n---\n"
+    "Output: a JSON object, no other text, with the keys\n"
+    "extracted_description: string, what A models\n"
+    "similarity_score: number, 0 (A has nothing of B) to 100 (all of it)\n"
+    "discrepancies: strings, where A and B contradict\n"
+    "missing_elements: strings, in B only\n"
+    "additional_elements: strings, in A only"
 )
 
-REGENERATE_ORIG = (
-    "Improve a class diagram.\n\nRequirements:\n{text}\n\nEarlier script:\n{script}\n\n"
-    "Findings on the earlier script:\n{analysis}\n\n"
-    "Answer with the new diagram script only, beginning at @startuml and closing with @enduml."
-)
-
-REGENERATE_DIST = (
-    "Improve a class diagram.\n\nShortened requirements:\n{text}\n\nEarlier script:\n{script}\n\n"
-    "Findings on the earlier script:\n{analysis}\n\n"
-    "Answer with the new diagram script only, beginning at @startuml and closing with @enduml."
+_AGAIN = (
+    "---\n{text}\n---\nInput B, PlantUML source of its class diagram:\n---\n{script}\n---\n"
+    "Input C, review of B:\n---\n{analysis}\n---\n"
+    "Output: B with every point of C settled in favour of A. First line: @startuml. Last line: @enduml."
+    " No other text."
 )
+REGENERATE_ORIG = "Input A, document:\n" + _AGAIN
+REGENERATE_DIST = "Input A, bullet points of a document:\n" + _AGAIN
 
 
 def fill(template: str, **slots: Column) -> Column:

@@ -32,8 +32,8 @@ def parse_report(df: DataFrame, reply: Column, out: str = "report") -> DataFrame
 
     The JSON reader ignores words after a complete value. The reply is therefore
     read inside an envelope whose own last key must still be reached: trailing
-    words break the envelope, and a second value makes its list longer than one. (Only
-    a reply that closes the envelope's list and opens another one would slip through.)
+    words break the envelope, a second value makes its list longer than one, and a reply that
+    closes the envelope's list adds a key to it.
 
     The parse stands behind a one-row generator. As a plain column it would be copied
     into every filter on the report that the optimizer moves down, once per use.
@@ -46,6 +46,7 @@ def parse_report(df: DataFrame, reply: Column, out: str = "report") -> DataFrame
         & raw["_corrupt"].isNull()
         & F.coalesce(raw["closed"], F.lit(False))
         & (F.size(raw["report"]) == 1)
+        & F.coalesce(F.col("_keys") == F.array(F.lit("report"), F.lit("closed")), F.lit(False))
         & fields.isNotNull()
     )
     number = strip(fields[SCORE])
@@ -58,10 +59,11 @@ def parse_report(df: DataFrame, reply: Column, out: str = "report") -> DataFrame
             for name in SECTIONS
         ],
     )
-    raw_json = F.from_json(body, _ENVELOPE, _OPTIONS)
-    return df.select("*", F.explode(F.array(raw_json)).alias("_raw")).select(
-        *df.columns, parsed.alias(out)
+    outer = F.from_json(body, "map<string, string>", {"allowSingleQuotes": "false"})
+    read = F.struct(
+        F.from_json(body, _ENVELOPE, _OPTIONS).alias("_raw"), F.map_keys(outer).alias("_keys")
     )
+    return df.select("*", F.inline(F.array(read))).select(*df.columns, parsed.alias(out))
 
 
 def section_text(report: Column, name: str) -> Column:

@@ -29,9 +29,6 @@ DEFAULT_MODELS = (
     Model("Anthropic", "Claude 3.5 Sonnet", "claude-3-5-sonnet-latest"),
 )
 
-# Models put into the plan as one literal array; a longer catalogue becomes a join.
-INLINE_MODELS = 1000
-
 
 def catalog(spark: SparkSession, models: Sequence[Model] = DEFAULT_MODELS) -> DataFrame:
     """(pos, provider, model, api_id, fixed_temperature), ordered by ``pos``.
@@ -56,98 +53,91 @@ def models_for(models: DataFrame, provider: str) -> DataFrame:
     return models.where(F.col("provider") == provider).orderBy("pos")
 
 
-def _literal(model: Model) -> Column:
-    return F.struct(
-        F.lit(model.provider).alias("llm_provider"),
-        F.lit(model.model).alias("llm_model"),
-        F.lit(model.api_id).alias("api_id"),
-        F.lit(model.fixed_temperature).cast("double").alias("fixed_temperature"),
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _entry(model: Model) -> str:
+    fixed = model.fixed_temperature
+    return (
+        f"named_struct('llm_provider', {_quoted(model.provider)}, 'llm_model', {_quoted(model.model)},"
+        f" 'api_id', {_quoted(model.api_id)},"
+        f" 'fixed_temperature', cast({'null' if fixed is None else repr(float(fixed))} as double))"
     )
 
 
+_ENTRY = "struct<llm_provider: string, llm_model: string, api_id: string, fixed_temperature: double>"
+
+
+def _literals(models: Sequence[Model]) -> str:
+    """The catalogue as one typed literal array of the plan, also when it is empty."""
+    return f"cast(array({', '.join(map(_entry, models))}) as array<{_ENTRY}>)"
+
+
 def with_models(df: DataFrame, models: Sequence[Model]) -> DataFrame:
-    """Every row of ``df`` once per model, without a cross join.
+    """Every row of ``df`` once per model; no rows for an empty catalogue.
 
-    A usual catalogue is a literal array in the plan. A longer one is cut into arrays
-    that are joined on their number and a salt, so that rows spread over all tasks
-    and only meet the single models after the shuffle.
+    The catalogue is a literal array that is exploded where the rows are: neither a join nor
+    an exchange.
     """
-    if len(models) <= INLINE_MODELS:
-        entries = F.array(*[_literal(m) for m in models])
-        return df.withColumn("_model", F.explode(entries)).select(*df.columns, "_model.*")
-    spark = df.sparkSession
-    slots = -(-len(models) // INLINE_MODELS)
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entry = F.struct(
-        F.col("provider").alias("llm_provider"),
-        F.col("model").alias("llm_model"),
-        "api_id",
-        "fixed_temperature",
-    )
-    arrays = (
-        catalog(spark, models)
-        .groupBy((F.col("pos") % slots).cast("int").alias("_slot"))
-        .agg(F.collect_list(entry).alias("_models"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    entries = F.explode(F.expr(_literals(models))).alias("_model")
+    return df.select("*", entries).select(*df.columns, "_model.*")
+
+
+def _looked_up(models: Sequence[Model]) -> Column:
+    """The catalogue entry of the row's provider and model, the first of equal ones, else NULL."""
+    return F.expr(
+        f"get(filter({_literals(models)}, m -> m.llm_provider = llm_provider"
+        " and m.llm_model = llm_model), 0)"
     )
-    spread = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    spread = spread.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return (
-        spread.join(arrays, ["_slot", "_salt"])
-        .withColumn("_model", F.explode("_models"))
-        .select(*df.columns, "_model.*")
+
+
+def documents_to_run(corpus: DataFrame) -> DataFrame:
+    """(srs_id, original_srs_text) of the documents that are not blank."""
+    return corpus.where(~is_blank(F.col("srs_content"))).select(
+        artifact_key(F.col("id"), F.col("srs_title")).alias("srs_id"),
+        F.col("srs_content").alias("original_srs_text"),
     )
 
 
-def fan_out(corpus: DataFrame, models: Sequence[Model], temperature: float) -> DataFrame:
-    """One run per document and model, keyed for the run log.
+def runs_of(documents: DataFrame, models: Sequence[Model], temperature: float) -> DataFrame:
+    """One run per document and model, keyed for the run log; other columns stay.
 
     A model with a fixed temperature overrides the requested one before anything
-    is looked up or logged. Blank documents give no run.
+    is looked up or logged.
     """
-    documents = corpus.where(~is_blank(F.col("srs_content"))).select(
-        artifact_key(F.col("id"), F.col("srs_title")).alias("srs_id"),
-        F.col("srs_content").alias("original_srs_text"),
-    )
+    others = [name for name in documents.columns if name != "srs_id"]
     return with_models(documents, models).select(
         "srs_id",
         "llm_provider",
         "llm_model",
         F.coalesce("fixed_temperature", F.lit(float(temperature))).alias("temperature"),
         "api_id",
-        "original_srs_text",
+        *others,
     )
 
 
+def fan_out(corpus: DataFrame, models: Sequence[Model], temperature: float) -> DataFrame:
+    """One run per document and model. Blank documents give no run."""
+    return runs_of(documents_to_run(corpus), models, temperature)
+
+
 def effective_temperature(df: DataFrame, models: Sequence[Model]) -> DataFrame:
     """Replace ``temperature`` where the row's model has a fixed one."""
-    fixed = (
-        catalog(df.sparkSession, [m for m in models if m.fixed_temperature is not None])
-        .select(
-            F.col("provider").alias("llm_provider"),
-            F.col("model").alias("llm_model"),
-            F.col("fixed_temperature").alias("_fixed"),
-        )
-    )
-    return df.join(fixed, ["llm_provider", "llm_model"], "left").select(
-        *[
-            F.coalesce("_fixed", "temperature").alias(name) if name == "temperature" else name
-            for name in df.columns
-        ]
-    )
+    fixed = _looked_up([m for m in models if m.fixed_temperature is not None])["fixed_temperature"]
+    replaced = F.coalesce(fixed, "temperature").alias("temperature")
+    return df.select(*[replaced if name == "temperature" else name for name in df.columns])
 
 
 def resolve_api(df: DataFrame, models: Sequence[Model]) -> DataFrame:
     """Add ``api_id``, ``lookup_status`` and ``lookup_error`` for provider and model."""
-    table = catalog(df.sparkSession, models).select(
-        F.col("provider").alias("llm_provider"), F.col("model").alias("llm_model"), "api_id"
-    )
     known = F.coalesce(
         F.col("llm_provider").isin(sorted({m.provider for m in models})), F.lit(False)
     )
     provider = F.coalesce("llm_provider", F.lit("None"))
     model = F.coalesce("llm_model", F.lit("None"))
-    return df.join(table, ["llm_provider", "llm_model"], "left").select(
+    found = df.withColumn("api_id", _looked_up(models)["api_id"])
+    return found.select(
         *df.columns,
         "api_id",
         F.when(~known, "unknown_provider")

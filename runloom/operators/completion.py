@@ -25,27 +25,67 @@ def match_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return answered.withColumn("response_status", reply_status(F.col("response")))
 
 
-def attach_recorded(runs: DataFrame, responses: DataFrame, asked: list[str]) -> DataFrame:
-    """Add ``reply_{stage}_{flow}`` columns from recorded (run key, stage, flow, response).
+SEVERAL = "[Error] more than one recorded answer"
+
+
+def _temperature() -> Column:
+    """As text: a floating-point join key is normalised again, by an exchange of its own."""
+    return (F.col("temperature") + F.lit(0.0)).cast("string")
+
+
+def gather_recorded(responses: DataFrame, *by: str) -> DataFrame:
+    """(by..., _said): the recorded answers of a document or a run as one list.
 
-    One aggregate and one join for all stages of a run instead of a join per stage.
-    The temperature is compared as text: a floating-point join key is normalised
-    again for the join, which would send the responses through a second exchange.
+    As long as what was asked about it, so the answers move once and are not compared.
+    """
+    when = F.col("recorded_at") if "recorded_at" in responses.columns else F.lit(None)
+    said = F.struct(
+        "llm_provider",
+        "llm_model",
+        _temperature().alias("temperature"),
+        F.concat_ws("_", "stage", "flow").alias("request"),
+        when.cast("timestamp").alias("recorded_at"),
+        "response",
+    )
+    rows = responses.where(F.col("response").isNotNull())
+    return rows.withColumn("_temperature", _temperature()).groupBy(*by).agg(
+        F.collect_list(said).alias("_said")
+    )
+
+
+def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:
+    """Runs with ``_said`` to runs with a ``reply_{stage}_{flow}`` column for each request.
+
+    Of several answers to one request the newest by ``recorded_at`` counts; without that column,
+    or among equally new ones that differ, the reply is an error text.
     """
-    temperature = (F.col("temperature") + F.lit(0.0)).cast("string")
-    key = [*[name for name in RUN_KEY if name != "temperature"], "_temperature"]
 
     def reply(name: str) -> Column:
-        stage, flow = name.rsplit("_", 1)
-        answered = (F.col("stage") == stage) & (F.col("flow") == flow)
-        return F.max(F.when(answered, F.col("response"))).alias(f"reply_{name}")
-
-    wide = (
-        responses.withColumn("_temperature", temperature)
-        .groupBy(*key)
-        .agg(*[reply(name) for name in asked])
-    )
-    return runs.withColumn("_temperature", temperature).join(wide, key, "left").drop("_temperature")
+        fits = F.filter(
+            "_said",
+            lambda r: (r["request"] == name)
+            & (r["llm_provider"] == F.col("llm_provider"))
+            & (r["llm_model"] == F.col("llm_model"))
+            & (r["temperature"] == _temperature()),
+        )
+        newest = F.array_max(F.transform(fits, lambda r: r["recorded_at"]))
+        last = F.array_distinct(
+            F.transform(
+                F.filter(fits, lambda r: r["recorded_at"].eqNullSafe(newest)), lambda r: r["response"]
+            )
+        )
+        return F.when(F.size(last) > 1, SEVERAL).otherwise(F.get(last, F.lit(0)))
+
+    replies = [reply(name).alias(f"reply_{name}") for name in asked]
+    return runs.select(*[name for name in runs.columns if name != "_said"], *replies)
+
+
+def attach_recorded(runs: DataFrame, responses: DataFrame, asked: list[str]) -> DataFrame:
+    """Add ``reply_{stage}_{flow}`` from recorded (run key, stage, flow, response): one join."""
+    key = [*[name for name in RUN_KEY if name != "temperature"], "_temperature"]
+    said = gather_recorded(responses, *key)
+    joined = runs.withColumn("_temperature", _temperature()).join(said, key, "left")
+    return read_recorded(joined.drop("_temperature"), asked)
 
 
 def complete(

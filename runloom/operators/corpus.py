@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runloom.schemas import CORPUS_KEY
 
-# Ids written into the plan as literals; a longer list becomes a table.
-LISTED_IDS = 1000
-
 
 def by_ids(corpus: DataFrame, ids: Sequence[int] | DataFrame) -> DataFrame:
     """Documents with the given ids; none for an empty list.
 
-    A short list becomes a pushed-down IN filter, a long one a table. A DataFrame
-    with an ``id`` column may be of any size.
+    A list of integers becomes an IN filter that reaches the scan, whatever its length;
+    anything else in it is an error. A DataFrame with an ``id`` column is joined and may be
+    of any size.
     """
-    if not isinstance(ids, DataFrame) and len(ids) > LISTED_IDS:
-        ids = corpus.sparkSession.createDataFrame(pa.table({"id": pa.array(ids, pa.int64())}))
     if isinstance(ids, DataFrame):
         chosen = corpus.join(ids, "id", "left_semi")
     else:
-        chosen = corpus.where(F.col("id").isin(list(ids)))
+        odd = [value for value in ids if not isinstance(value, int) or isinstance(value, bool)]
+        if odd:
+            raise TypeError(f"document ids are integers, not {odd[0]!r}")
+        listed = ", ".join(f"{value}L" for value in sorted(set(ids)))
+        chosen = corpus.where(F.expr(f"id IN ({listed})") if listed else F.lit(False))
     return chosen.select("id", "srs_title", "srs_content")
 
 
@@ -51,14 +52,19 @@ def entries_of(maps: DataFrame) -> DataFrame:
 def from_entries(entries: DataFrame) -> DataFrame:
     """Entries (title, pos, content, origin) to one row per title, the last one winning.
 
-    ``pos`` in the result is the title's first position, which is its place in the
-    import. Only title and pos are aggregated; the long text is fetched afterwards.
+    ``pos`` in the result is the title's first position, which is its place in the import. A
+    missing pos comes before all others; entries of one title and pos are told apart by
+    content and origin, the larger one winning, so no entry needs a position of its own.
+    The rank is limited before the exchange: of a title's texts, one per map task moves.
     """
-    spans = entries.groupBy(F.col("title").alias("_title")).agg(
-        F.min("pos").alias("_first"), F.max("pos").alias("_last")
+    first = entries.groupBy(F.col("title").alias("_title")).agg(
+        F.when(F.count("*") == F.count("pos"), F.min("pos")).alias("_first")
+    )
+    newest = Window.partitionBy("title").orderBy(
+        F.desc_nulls_last("pos"), F.desc_nulls_last("content"), F.desc_nulls_last("origin")
     )
-    same = F.col("title").eqNullSafe(F.col("_title")) & (F.col("pos") == F.col("_last"))
-    return entries.join(spans, same).select(
+    last = entries.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1)
+    return last.join(first, F.col("title").eqNullSafe(F.col("_title"))).select(
         F.col("_first").alias("pos"),
         F.col("origin").alias("srs_origin"),
         F.col("title").alias("srs_title"),
@@ -92,9 +98,11 @@ def fresh_ids(
     ``stored`` holds digests in ``row_key``. Keys compare with plain equality, so a row
     with NULL in any of them always goes in. Digests stand for the long texts. Both
     sides' digests are stacked and grouped once, combined map-side, so a large group
-    of copies costs one row per map task. ``row_id`` is unique in ``new``.
+    of copies costs one row per map task. ``row_id`` is unique in ``new``. Digests that ``new``
+    carries in ``row_key`` are taken as they are.
     """
-    digests = new.select(row_id, row_key(keys).alias("row_key"))
+    known = "row_key" in new.columns
+    digests = new.select(row_id, "row_key" if known else row_key(keys).alias("row_key"))
     present = stored.select("row_key", F.lit(True).alias("_present"))
     first = (
         digests.unionByName(present, allowMissingColumns=True)
@@ -104,14 +112,16 @@ def fresh_ids(
         .where(F.col("_present").isNull())
         .select(row_id)
     )
-    never_equal = digests.where(F.col("row_key").isNull()).select(row_id)
-    return first.unionByName(never_equal)
+    # Asked of the parts, so that no digest is made a second time.
+    parts = [F.col(name).isNull() for name in keys]
+    without_key = F.col("row_key").isNull() if known else reduce(or_, parts)
+    return first.unionByName(new.where(without_key).select(row_id))
 
 
 def insert_if_absent(
     new: DataFrame, existing: DataFrame, row_id: str, keys: Sequence[str] = tuple(CORPUS_KEY)
 ) -> DataFrame:
-    """The rows of ``new`` to append; their text is read again for the survivors only."""
+    """The rows of ``new`` to append."""
     fresh = fresh_ids(new, stored_digests(existing, keys), row_id, keys)
     return new.join(fresh, row_id, "left_semi")
 

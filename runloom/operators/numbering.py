@@ -56,6 +56,33 @@ def positions(
     )
 
 
+def numbered(rows: DataFrame, order_by: Sequence[str], after: int, out: str = "id") -> DataFrame:
+    """Every row once, with consecutive numbers after ``after`` in ``out``, in the given order.
+
+    NULLs come first and equal rows follow each other in any order; none of the columns has to be
+    unique, and no row is looked up by them. The rows are range-partitioned, with a number of
+    their own as the last key so that equal ones spread too, and written down once in that
+    placement; then only the row counts per partition are summed and joined.
+    """
+    placed = durable(
+        rows.withColumn("_own", F.monotonically_increasing_id())
+        .repartitionByRange(*order_by, "_own")
+        .sortWithinPartitions(*order_by, "_own")
+        .drop("_own")
+        .withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", 33))
+    pieces = placed.groupBy("_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_rows"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = pieces.select(
+        "_part",
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"),
+    )
+    # One row per range partition: bounded by the partition count, not by the data.
+    return placed.join(F.broadcast(shifts), "_part").select(
+        *rows.columns, (F.col("_at") + F.col("_shift") + F.lit(after + 1)).alias(out)
+    )
+
+
 def block_of(seq: str) -> Column:
     return F.shiftright(F.col(seq).cast("long"), BLOCK_BITS)
 

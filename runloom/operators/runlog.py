@@ -1,8 +1,8 @@
 """Run-log operators: latest run, iterations, facets, comparison, reshaping.
 
-The log is wide and its text and image columns are large. Everything that groups
-or orders therefore works on key, time and id alone and fetches the payload of
-the few chosen rows by id.
+The log is wide and its text and image columns are large. What only groups or counts
+works on key, time and id alone. Where payload is wanted, runs are ranked by key and the
+rank is limited before the exchange, so that at most one run per key and map task moves.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions.text import improvement_label
 from runloom.operators.numbering import positions
-from runloom.schemas import BACKFEED_PAYLOAD, COMPARED, FLOWS, RUN_KEY
+from runloom.schemas import BACKFEED_PAYLOAD, COMPARED, FLOWS, RUN_KEY, RUN_LOG
 
 _MICROS = "decimal(19,0)"
 
@@ -69,9 +69,24 @@ def latest_ids(log: DataFrame) -> DataFrame:
     )
 
 
+def newest_payload(
+    log: DataFrame, payload: Sequence[str], key: Sequence[str] = tuple(RUN_KEY)
+) -> DataFrame:
+    """(id, payload) of the newest run of every key; the others' payload stays where it is."""
+    newest = Window.partitionBy(*key).orderBy(F.desc("created_at"), F.desc("id"))
+    names = dict.fromkeys([*key, "id", "created_at", *payload])
+    return (
+        log.where(has_key())
+        .select(*names)
+        .withColumn("_rank", F.row_number().over(newest))
+        .where(F.col("_rank") == 1)
+        .select("id", *payload)
+    )
+
+
 def latest_runs(log: DataFrame, payload: Sequence[str] = tuple(BACKFEED_PAYLOAD)) -> DataFrame:
-    """The newest run of every key with its payload columns."""
-    return latest_ids(log).join(log.select("id", *payload), "id")
+    """The newest run of every key with its payload columns and the key's number of runs."""
+    return latest_ids(log).join(newest_payload(log, payload), "id")
 
 
 def latest_runs_by_rank(
@@ -125,7 +140,7 @@ def lookup_latest(
     payload join under the same NULL id.
     """
     latest = _requested(keys, log)
-    found = latest.where(F.col("id").isNotNull()).join(log.select("id", *payload), "id")
+    found = latest.where(F.col("id").isNotNull()).join(newest_payload(log, payload), "id")
     missing = latest.where(F.col("id").isNull())
     return found.unionByName(missing, allowMissingColumns=True)
 
@@ -134,7 +149,7 @@ def backfeed_work(
     keys: DataFrame, log: DataFrame, payload: Sequence[str] = tuple(BACKFEED_PAYLOAD)
 ) -> DataFrame:
     """Requested keys that have a newest run with an original text."""
-    texts = log.select("id", *payload).where(F.col("original_srs_text").isNotNull())
+    texts = newest_payload(log, payload).where(F.col("original_srs_text").isNotNull())
     return _requested(keys, log).join(texts, "id")
 
 
@@ -189,7 +204,7 @@ def side_by_side(
 ) -> DataFrame:
     """Per run key the newest run of two event types, columns suffixed _left and _right.
 
-    One aggregate picks both ids; each event type's payload is then read once, with
+    One aggregate picks both ids; each event type's newest payload is ranked by itself, with
     the event filter pushed into its scan. ``how`` is ``inner`` or ``full``.
     """
 
@@ -203,7 +218,7 @@ def side_by_side(
     )
 
     def side(event: str, suffix: str) -> DataFrame:
-        return log.where(F.col("event_type") == event).select(
+        return newest_payload(log.where(F.col("event_type") == event), payload).select(
             F.col("id").alias(f"id_{suffix}"),
             *[F.col(name).alias(f"{name}_{suffix}") for name in payload],
         )
@@ -238,19 +253,27 @@ def image_lookup(log: DataFrame, ids: DataFrame, flow: str = "orig") -> DataFram
     )
 
 
-def _flow_columns(flow: str) -> list[str]:
-    text = {"orig": "original_srs_text", "dist": "distilled_srs_text"}[flow]
-    return [
-        text,
-        f"plantuml_script_{flow}_srs",
-        f"similarity_score_{flow}_srs",
-        f"extracted_uml_descr_{flow}_srs",
-        f"similarity_descr_{flow}_srs",
-        f"uml_image_data_{flow}_srs",
-    ]
+# What each column of a flow is called once the flow is a row of its own.
+_SHORT = {
+    "srs_text": "text",
+    "plantuml_script": "script",
+    "similarity_score": "score",
+    "extracted_uml_descr": "description",
+    "similarity_descr": "analysis",
+    "uml_image_data": "image",
+}
+FLOW_FIELDS = list(_SHORT.values())
 
 
-FLOW_FIELDS = ["text", "script", "score", "description", "analysis", "image"]
+def _flow_columns(flow: str) -> list[str]:
+    """The log's columns of one flow, in the order of ``FLOW_FIELDS``."""
+    prefix = {"orig": "original", "dist": "distilled"}[flow]
+    names = {
+        name.removeprefix(f"{prefix}_").removesuffix(f"_{flow}_srs"): name
+        for name in RUN_LOG.names
+        if name.startswith(f"{prefix}_") or name.endswith(f"_{flow}_srs")
+    }
+    return [names[long] for long in _SHORT]
 
 
 def to_flows(log: DataFrame, keep: Sequence[str] = ("id",)) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from runloom.functions import prompts
 from runloom.functions.text import is_blank
-from runloom.operators.catalog import DEFAULT_MODELS, Model, fan_out
-from runloom.operators.completion import attach_recorded
+from runloom.operators.catalog import DEFAULT_MODELS, Model, documents_to_run, fan_out, runs_of
+from runloom.operators.completion import gather_recorded, read_recorded
 from runloom.operators.corpus import select_for_batch
 from runloom.plans.stages import (
     Ask,
@@ -69,9 +69,14 @@ def first_pass(runs: DataFrame, ask: Ask = ask_recorded) -> DataFrame:
 def first_pass_recorded(
     corpus: DataFrame, responses: DataFrame, models: Sequence[Model], temperature: float
 ) -> DataFrame:
-    """First pass over a corpus against a table of recorded responses."""
-    runs = fan_out(corpus, models, temperature)
-    return first_pass(attach_recorded(runs, responses, ASKED))
+    """First pass over a corpus against a table of recorded responses.
+
+    A document meets the answers of all its runs before it is fanned out, so its text moves
+    once, however long the catalogue.
+    """
+    documents = documents_to_run(corpus)
+    said = documents.join(gather_recorded(responses, "srs_id"), "srs_id", "left")
+    return first_pass(read_recorded(runs_of(said, models, temperature), ASKED))
 
 
 def batch(

@@ -110,9 +110,16 @@ def done() -> Column:
 
 
 def log_rows(results: DataFrame) -> DataFrame:
-    """The rows to append, with a unique ``run_id``: both flows came through."""
+    """The rows to append, with a ``run_id`` to order them by: both flows came through.
+
+    The id is a digest of the run key in which NULL parts and separators inside parts count.
+    """
     names = [field.name for field in RUN_LOG if field.name not in ("id", "created_at")]
-    run_id = F.concat_ws("|", *[F.col(name).cast("string") for name in RUN_KEY])
+    parts = [
+        F.coalesce(F.concat(F.length(part), F.lit(":"), part), F.lit("-"))
+        for part in (F.col(name).cast("string") for name in RUN_KEY)
+    ]
+    run_id = F.sha2(F.concat(*parts), 256)
     return with_images(results).where(done()).select(run_id.alias("run_id"), *names)
 
 

@@ -42,22 +42,14 @@ CORPUS_KEY = ["srs_origin", "srs_title", "srs_content"]
 RUN_KEY = ["srs_id", "llm_provider", "llm_model", "temperature"]
 FLOWS = ["orig", "dist"]
 
-# What a back-feed reads from the latest run of a key.
-BACKFEED_PAYLOAD = [
-    "original_srs_text",
-    "distilled_srs_text",
-    "plantuml_script_orig_srs",
-    "plantuml_script_dist_srs",
-    "similarity_descr_orig_srs",
-    "similarity_descr_dist_srs",
-]
-
-# What the side-by-side view shows of a run.
-COMPARED = [
-    "similarity_score_orig_srs",
-    "uml_image_data_orig_srs",
-    "similarity_descr_orig_srs",
-    "similarity_score_dist_srs",
-    "uml_image_data_dist_srs",
-    "similarity_descr_dist_srs",
-]
+
+def _among(*kinds: str) -> list[str]:
+    """The log's columns whose names contain one of ``kinds``, in the log's order."""
+    return [name for name in RUN_LOG.names if any(kind in name for kind in kinds)]
+
+
+# What a back-feed reads from the latest run of a key: texts, scripts and findings.
+BACKFEED_PAYLOAD = _among("srs_text", "plantuml_script", "similarity_descr")
+
+# What the side-by-side view shows of a run: scores, images and findings.
+COMPARED = _among("similarity_score", "uml_image", "similarity_descr")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runloom.operators.corpus import fresh_ids, from_entries, row_key, stored_digests
-from runloom.operators.numbering import positions
+from runloom.operators.numbering import numbered
 from runloom.schemas import CORPUS, RUN_LOG
+from runloom.session import durable
 
 # The stored corpus carries its digests, so an import never re-reads old texts.
 STORED_CORPUS = T.StructType([*CORPUS.fields, T.StructField("row_key", T.StringType())])
@@ -38,13 +40,23 @@ def ensure_tables(spark: SparkSession, root: str) -> None:
         spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
 
 
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored table; one that nobody has created yet reads as empty."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def corpus(spark: SparkSession, root: str) -> DataFrame:
     """(id, srs_origin, srs_title, srs_content)."""
-    return spark.read.schema(STORED_CORPUS).parquet(corpus_path(root)).select(*CORPUS.names)
+    return stored(spark, corpus_path(root), STORED_CORPUS).select(*CORPUS.names)
 
 
 def run_log(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(RUN_LOG).parquet(run_log_path(root))
+    return stored(spark, run_log_path(root), RUN_LOG)
 
 
 def create_views(spark: SparkSession, root: str) -> None:
@@ -69,30 +81,20 @@ def conform_runs(rows: DataFrame, row_id: str) -> DataFrame:
     )
 
 
-def number_rows(rows: DataFrame, ids: DataFrame, row_id: str, after: int) -> DataFrame:
-    """The rows named in ``ids``, with consecutive ids after ``after`` in ``row_id`` order.
-
-    Places are settled on ``row_id`` alone; the wide rows join them once.
-    """
-    placed = positions(ids, row_id, [row_id])
-    return rows.join(placed, row_id).withColumn("id", F.lit(after + 1) + F.col("position"))
-
-
 def last_id(table: DataFrame) -> int:
     """The largest id, 0 for an empty table: one number comes to the driver."""
     return table.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
 
 
 def append_runs(spark: SparkSession, rows: DataFrame, root: str, row_id: str) -> None:
-    """Append run rows; id is the next integer and created_at is now unless given.
+    """Append run rows in ``row_id`` order; id is the next integer, created_at is now unless given.
 
-    One writer at a time, as with any append to a plain parquet table. ``rows`` is
-    read twice, for the ids and for the rows: make an expensive input durable first.
+    Every row is appended once: ``row_id`` only orders, and may be NULL or repeat. One writer at
+    a time, as with any append to a plain parquet table.
     """
-    conformed = conform_runs(rows, row_id)
     last = last_id(run_log(spark, root))
-    numbered = number_rows(conformed, conformed.select("_row"), "_row", last)
-    numbered.select(*RUN_LOG.names).write.mode("append").parquet(run_log_path(root))
+    placed = numbered(conform_runs(rows, row_id), ["_row"], last)
+    placed.select(*RUN_LOG.names).write.mode("append").parquet(run_log_path(root))
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:
@@ -103,8 +105,14 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
 def import_corpus(spark: SparkSession, entries: DataFrame, root: str) -> None:
     """Append the entries whose (origin, title, content) is not stored yet."""
     ensure_tables(spark, root)
-    stored = spark.read.schema(STORED_CORPUS).parquet(corpus_path(root))
-    new = from_entries(entries).withColumn("row_key", row_key())
-    fresh = fresh_ids(new, stored_digests(stored), "pos")
-    numbered = number_rows(new, fresh, "pos", last_id(stored))
-    numbered.select(*STORED_CORPUS.names).write.mode("append").parquet(corpus_path(root))
+    present = stored(spark, corpus_path(root), STORED_CORPUS)
+    new = from_entries(entries).withColumns(
+        {"row_key": row_key(), "_own": F.monotonically_increasing_id()}
+    )
+    staged = durable(new)
+    known = staged.select("_own", "row_key")
+    losers = known.join(fresh_ids(known, stored_digests(present), "_own"), "_own", "left_anti")
+    # A title stands in one row, so titles settle the order of equal positions.
+    fresh = staged.join(losers, "_own", "left_anti").drop("_own")
+    placed = numbered(fresh, ["pos", "srs_title"], last_id(present))
+    placed.select(*STORED_CORPUS.names).write.mode("append").parquet(corpus_path(root))

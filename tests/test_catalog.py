@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import pytest
+
 from runloom.operators import catalog
 from runloom.operators.catalog import DEFAULT_MODELS, Model
-from tests.helpers import column
+from tests.helpers import column, plan_of
 
 DOCS = "id long, srs_title string, srs_content string"
 
@@ -22,12 +24,23 @@ def test_fan_out_overrides_and_skips_blank(spark):
     }
 
 
-def test_a_catalogue_too_long_for_the_plan(spark):
-    models = [Model("p", f"m{at}", f"api{at}") for at in range(2 * catalog.INLINE_MODELS + 5)]
+@pytest.mark.parametrize("length", [0, 1, 1000, 1001, 5000])
+def test_catalogues_of_any_length(spark, length):
+    models = [Model("p", f"m'{at}\\", f"api{at}") for at in range(length)]
     docs = spark.createDataFrame([(1, "t", "x"), (2, "t", "y")], DOCS)
     runs = catalog.fan_out(docs, models, 0.5)
-    assert runs.count() == 2 * len(models)
-    assert runs.select("srs_id", "llm_model").distinct().count() == 2 * len(models)
+    assert runs.count() == runs.select("srs_id", "llm_model").distinct().count() == 2 * length
+    asked = spark.createDataFrame([("p", "m'0\\", 0.5), ("p", "x", 0.5)], "llm_provider string, llm_model string, temperature double")
+    apis = sorted(column(catalog.resolve_api(asked, models), "api_id"), key=str)
+    assert apis == ([None, "api0"] if length else [None, None])
+    assert column(catalog.effective_temperature(asked, models), "temperature") == [0.5, 0.5]
+
+
+def test_lookups_need_no_exchange(spark):
+    asked = spark.createDataFrame([("OpenAI", "o1 mini", 0.5)], "llm_provider string, llm_model string, temperature double")
+    plan = plan_of(catalog.resolve_api(catalog.effective_temperature(asked, DEFAULT_MODELS), DEFAULT_MODELS))
+    assert "Exchange" not in plan and "Join" not in plan
+    assert column(catalog.effective_temperature(asked, DEFAULT_MODELS), "temperature") == [1.0]
 
 
 def test_lookup_states(spark):

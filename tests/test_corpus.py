@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from runloom.operators import corpus
@@ -23,7 +25,11 @@ def test_ids_repeat_and_miss(spark):
     assert corpus.select_for_batch(docs).columns == ["id", "srs_title", "srs_content"]
     many = spark.createDataFrame([(2,), (2,), (999,)], "id long")
     assert column(corpus.by_ids(docs, many), "id") == [2]
-    assert column(corpus.by_ids(docs, list(range(2, 3 * corpus.LISTED_IDS)) * 2), "id") == [2]
+    for length in (1, 1000, 1001, 5000):
+        assert column(corpus.by_ids(docs, list(range(2, 2 + length)) * 2), "id") == [2]
+        for odd in (2.5, "2", None, True):
+            with pytest.raises(TypeError):
+                corpus.by_ids(docs, [odd] * length)
 
 
 def test_last_entry_wins_and_keeps_the_first_place(spark):
@@ -110,3 +116,23 @@ def test_import_goes_on_after_the_last_id(spark, tmp_path):
         entries = spark.createDataFrame([(title, pos, "x", "o")], schema)
         tables.import_corpus(spark, entries, root)
     assert sorted(column(tables.corpus(spark, root), "id")) == [1, 2, 3]
+
+
+ENTRIES = "title string, pos long, content string, origin string"
+
+
+def test_positions_that_repeat_or_are_missing(spark, tmp_path):
+    root = str(tmp_path / "root")
+    first = [("A", 0, "a", "o"), ("B", 0, "b", "o"), ("C", None, "c", "o"), ("C", None, "d", "o"), (None, None, "n", "o")]
+    tables.import_corpus(spark, spark.createDataFrame(first, ENTRIES), root)
+    again = [("A", 0, "a", "o"), ("D", 0, "d", "o"), ("A", 0, "a", "o")]
+    tables.import_corpus(spark, spark.createDataFrame(again, ENTRIES), root)
+    found = [tuple(r) for r in tables.corpus(spark, root).orderBy("id").collect()]
+    assert found == [
+        (1, "o", None, "n"), (2, "o", "C", "d"), (3, "o", "A", "a"), (4, "o", "B", "b"), (5, "o", "D", "d"),
+    ]
+
+
+def test_missing_tables_read_as_empty(spark, tmp_path):
+    assert tables.corpus(spark, str(tmp_path / "none")).count() == 0
+    assert tables.run_log(spark, str(tmp_path / "none")).count() == 0

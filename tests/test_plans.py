@@ -12,7 +12,7 @@ from runloom.operators.runlog import latest_ids
 from runloom.plans import backfeed, first_pass, single_flow, stages
 from runloom.schemas import RUN_KEY
 from runloom.sources import tables
-from tests.helpers import column, one
+from tests.helpers import column, one, plan_of
 
 MODELS = (Model("p", "m", "api"), Model("p", "fixed", "api-f", 1.0))
 DOCS = "id long, srs_title string, srs_content string"
@@ -45,6 +45,39 @@ def test_first_pass_fills_the_log_row(spark):
     assert row.uml_image_data_orig_srs is None
 
 
+def test_several_recorded_answers(spark):
+    docs = spark.createDataFrame([(1, "t", "text")], DOCS)
+    rows = [("1_t", "p", "m", 0.5, *name, text) for name, text in GOOD.items()]
+    again = [("1_t", "p", "m", 0.5, "distil", "orig", "older")]
+
+    def state(rows, schema):
+        responses = spark.createDataFrame(rows, schema)
+        return one(first_pass.first_pass_recorded(docs, responses, MODELS[:1], 0.5))
+
+    assert state(rows + again, RESPONSES).state_dist == "failed_response"
+    assert state(rows + rows, RESPONSES).state_dist == "ok"
+    timed = [(*row, "2024-02-01") for row in rows] + [(*row, "2024-01-01") for row in again]
+    assert state(timed, RESPONSES + ", recorded_at string").distilled_srs_text == "short"
+
+
+def test_texts_move_before_the_fan_out_only(spark):
+    docs = spark.createDataFrame([(1, "t", "text")], DOCS)
+    responses = spark.createDataFrame([], RESPONSES)
+    results = first_pass.first_pass_recorded(docs, responses, MODELS, 0.5)
+    above = plan_of(results).split("Generate explode")[0]
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_run_ids_tell_keys_apart(spark):
+    keys = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("", "x")]
+    good = run_with(spark).withColumn("state_orig", F.lit("ok")).withColumn("state_dist", F.lit("ok"))
+    ids = {
+        one(stages.log_rows(good.withColumns({"srs_id": F.lit(a).cast("string"), "llm_provider": F.lit(b)}))).run_id
+        for a, b in keys
+    }
+    assert len(ids) == 4
+
+
 def test_chat_continues_from_orig_to_dist(spark):
     chat = one(run_with(spark)).chat
     assert [tuple(pair) for pair in chat] == [
@@ -88,8 +121,8 @@ def client():
             raise ValueError("boom")
         if "similarity_score" in prompt:
             return json.dumps({"similarity_score": temperature, "missing_elements": [api_id]})
-        if "diagram script only" in prompt:
-            return f"@startuml\n{'again' if 'Earlier script' in prompt else 'first'}\n@enduml"
+        if "First line: @startuml" in prompt:
+            return f"@startuml\n{'again' if 'Input C' in prompt else 'first'}\n@enduml"
         return "core"
 
     return answer

@@ -86,6 +86,11 @@ def test_not_a_number(spark):
     assert report.ok and report.similarity_score is None
 
 
+def test_replies_that_open_the_envelope_are_rejected(spark):
+    texts = ['{}],"x":[{}', '{}],"report":[{}', '{}],"closed":true,"x":[{}', '{}]}', "{}"]
+    assert [r.ok for r in parse(spark, texts)] == [False, False, False, False, True]
+
+
 def test_analysis_text(spark):
     texts = ['{"discrepancies": ["a", "b"], "additional_elements": ["x"]}']
     rows = spark.createDataFrame([(text,) for text in texts], "reply string")

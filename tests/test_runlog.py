@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from runloom.operators import runlog
 from runloom.schemas import RUN_KEY
 from runloom.sources import tables
-from tests.helpers import column, log_frame, one
+from tests.helpers import column, log_frame, one, plan_of
 
 KEY_SCHEMA = "srs_id string, llm_provider string, llm_model string, temperature double"
 
@@ -171,3 +171,24 @@ def test_plain_sql_over_the_stored_tables(spark, tmp_path):
     )
     assert one(newest).id == 5
     assert spark.sql("SELECT id, srs_title FROM srs_data").count() == 0
+
+
+def test_append_keeps_every_row_once(spark, tmp_path):
+    root = str(tmp_path / "log")
+    rows = spark.createDataFrame(
+        [("x", "A"), (None, "B"), ("y", "C"), ("y", "D"), (None, "E")], "run string, event_type string"
+    )
+    tables.append_runs(spark, rows, root, "run")
+    found = tables.run_log(spark, root).orderBy("id").collect()
+    assert [r.id for r in found] == [1, 2, 3, 4, 5]
+    assert {r.event_type for r in found[:2]} == {"B", "E"} and found[2].event_type == "A"
+    assert {r.event_type for r in found[3:]} == {"C", "D"}
+
+
+def test_losers_keep_their_payload(spark):
+    """Ranked before the exchange: a fat payload moves for one run per key and task only."""
+    log = log_frame(spark, [{"id": at, "srs_id": "a", "at": at, "original_srs_text": "x"} for at in range(9)])
+    for df in (runlog.latest_runs(log), runlog.side_by_side(log, "L", "R"), runlog.backfeed_work(log, log)):
+        lines = plan_of(df).splitlines()
+        fat = [k for k, line in enumerate(lines) if "Exchange" in line and "original_srs_text" in line]
+        assert any("WindowGroupLimit" in line and "Partial" in line for line in lines) and not fat

@@ -4,14 +4,58 @@ from __future__ import annotations
 
 from string import Formatter
 
-from runloom.functions import prompts
-from runloom.functions.text import WHITESPACE
 from workloads.queries import LISTED_IDS, ONE_KEY
 
-WS = " || ".join(f"chr({ord(mark)})" for mark in WHITESPACE)
+# The white space that text is stripped of, by code point.
+MARKS = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+WS = " || ".join(f"chr({mark})" for mark in MARKS)
 NL = "chr(10)"
 
 
+# What the prompts have to say, stated here once more.
+DISTIL = """Input document:
+---
+{text}
+---
+Output: bullet points, at most one line each. One point per thing the document names, with its \
+fields; one per link between two things, with how many of each; one per condition. Leave out \
+everything else."""
+GENERATE = """Input document:
+---
+{text}
+---
+Output: PlantUML source of its class diagram. First line: @startuml. Last line: @enduml. No other text."""
+SIMILARITY = """Input A, PlantUML source:
+---
+{script}
+---
+Input B, document:
+---
+{text}
+---
+Output: a JSON object, no other text, with the keys
+extracted_description: string, what A models
+similarity_score: number, 0 (A has nothing of B) to 100 (all of it)
+discrepancies: strings, where A and B contradict
+missing_elements: strings, in B only
+additional_elements: strings, in A only"""
+REGENERATE_ORIG = """Input A, document:
+---
+{text}
+---
+Input B, PlantUML source of its class diagram:
+---
+{script}
+---
+Input C, review of B:
+---
+{analysis}
+---
+Output: B with every point of C settled in favour of A. First line: @startuml. Last line: @enduml. \
+No other text."""
+REGENERATE_DIST = REGENERATE_ORIG.replace("Input A, document:", "Input A, bullet points of a document:")
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -228,13 +272,33 @@ INSERTED = """SELECT min(id) AS id, srs_origin, srs_title, srs_content FROM trip
     WHERE srs_title IS NOT NULL {0} GROUP BY srs_origin, srs_title, srs_content
     UNION ALL SELECT id, srs_origin, srs_title, srs_content FROM triples WHERE srs_title IS NULL"""
 
+# What the stand-in for a model client answers to the five prompts of each run.
+COMPLETED = f"""WITH {MODELS}, one AS (
+        SELECT doc_id || '_' || lang || 'doc' || doc_id AS srs_id, llm_provider, llm_model,
+            coalesce(fixed, 0.5::DOUBLE) AS temperature, text,
+            api_id || ' ' || CASE WHEN fixed IS NULL THEN '0.5' ELSE '1.0' END || ' '
+                || md5({strip(fill(DISTIL, text='text'))}) AS short,
+            '@startuml' || {NL} || ''' ' || md5({fill(GENERATE, text='text')}) || {NL} || '@enduml' AS script_orig
+        FROM documents CROSS JOIN models {{}}),
+    two AS (SELECT *, {fill(SIMILARITY, script='script_orig', text='text')} AS check_orig,
+            '@startuml' || {NL} || ''' ' || md5({fill(GENERATE, text='short')}) || {NL} || '@enduml'
+                AS script_dist FROM one),
+    three AS (SELECT *, {fill(SIMILARITY, script='script_dist', text='short')} AS check_dist FROM two)"""
+
+
+def said(prompt: str) -> str:
+    return (
+        f"('{{\"similarity_score\": ' || length({prompt}) || ', \"discrepancies\": [\"' || md5({prompt}) || '\"]}}')"
+    )
+
+
 SQL: dict[str, str] = {
     "corpus_scan": f"WITH {CORPUS} SELECT * FROM corpus",
     "corpus_by_ids": f"""WITH {CORPUS} SELECT id, srs_title, srs_content FROM corpus
         WHERE id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "corpus_by_id_list": f"""WITH {CORPUS} SELECT id, srs_title, srs_content FROM corpus
         WHERE id IN ({', '.join(map(str, LISTED_IDS))})""",
-    "corpus_by_ids_empty": f"WITH {CORPUS} SELECT id, srs_title, srs_content FROM corpus WHERE false",
+    "corpus_by_ids_empty": "SELECT 'batch' AS rule, count(*) AS documents FROM documents",
     "corpus_for_batch": f"WITH {CORPUS} SELECT id, srs_title, srs_content FROM corpus",
     "corpus_from_entries": f"""WITH {ENTRIES} SELECT pos, origin AS srs_origin, title AS srs_title,
         content AS srs_content FROM last_entry""",
@@ -252,12 +316,26 @@ SQL: dict[str, str] = {
         WHERE srs_title IS NOT NULL AND (copy > 1 OR present)""",
     "import_corpus": f"""WITH {ENTRIES} SELECT row_number() OVER (ORDER BY pos) AS id, origin AS srs_origin,
         title AS srs_title, content AS srs_content FROM last_entry""",
+    "import_repeated_positions": """WITH entries AS (
+        SELECT source || '/' || lang AS title, CASE WHEN doc_id % 7 > 0 THEN doc_id % 50 END AS pos, text, source
+        FROM documents),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY title
+            ORDER BY pos DESC NULLS LAST, text DESC NULLS LAST, source DESC NULLS LAST) AS newest FROM entries),
+        places AS (SELECT title, CASE WHEN count(*) = count(pos) THEN min(pos) END AS place
+            FROM entries GROUP BY title)
+        SELECT row_number() OVER (ORDER BY place NULLS FIRST, title) AS id, source AS srs_origin,
+            title AS srs_title, text AS srs_content
+        FROM ranked JOIN places USING (title) WHERE newest = 1""",
     "artifact_keys": "SELECT doc_id AS id, doc_id || '_' || lang || 'doc' || doc_id AS srs_id FROM documents",
     "run_log_append": f"""WITH {LOG}, batches AS (
         SELECT *, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS batch FROM run_log)
         SELECT row_number() OVER (ORDER BY batch, id) AS id, srs_id, event_type, llm_provider, llm_model,
             temperature, original_srs_text, similarity_score_orig_srs,
             strlen(uml_image_data_orig_srs) AS image_bytes FROM batches""",
+    "append_repeated_ids": f"""WITH {LOG}, counted AS (
+        SELECT srs_id, CAST(srs_id AS BIGINT) AS place, count(*) AS rows FROM run_log GROUP BY ALL),
+        placed AS (SELECT *, CAST(sum(rows) OVER (ORDER BY place NULLS FIRST) AS BIGINT) AS last_id FROM counted)
+        SELECT srs_id, last_id - rows + 1 AS first_id, last_id, rows, rows AS ids FROM placed""",
     "latest_run": f"""WITH {MODELS}, {LOG}, {RANKED}, {KEYS}
         SELECT {KEY}, coalesce(run_count, 0) AS run_count, id, {PAYLOAD}
         FROM wanted LEFT JOIN (SELECT * FROM ranked WHERE newest = 1) r USING ({KEY})""",
@@ -315,16 +393,16 @@ SQL: dict[str, str] = {
                 END AS lookup_error
         FROM asked LEFT JOIN models USING (llm_provider, llm_model)""",
     "effective_temperature": f"WITH {LOG} SELECT id, llm_provider, llm_model, temperature FROM run_log",
-    "prompt_distil": f"""SELECT doc_id AS id, {strip(fill(prompts.DISTIL, text='text'))} AS prompt
+    "prompt_distil": f"""SELECT doc_id AS id, {strip(fill(DISTIL, text='text'))} AS prompt
         FROM documents""",
-    "prompt_generate": f"""SELECT doc_id AS id, {fill(prompts.GENERATE, text='text')} AS prompt
+    "prompt_generate": f"""SELECT doc_id AS id, {fill(GENERATE, text='text')} AS prompt
         FROM documents WHERE {strip('text')} <> ''""",
     "prompt_similarity": f"""WITH {REPLIES} SELECT id,
-        {fill(prompts.SIMILARITY, script='script_reply', text='text')} AS prompt FROM replies""",
+        {fill(SIMILARITY, script='script_reply', text='text')} AS prompt FROM replies""",
     "prompt_regenerate": f"""WITH {LOG} SELECT id,
-        {fill(prompts.REGENERATE_ORIG, text='original_srs_text', script='plantuml_script_orig_srs',
+        {fill(REGENERATE_ORIG, text='original_srs_text', script='plantuml_script_orig_srs',
               analysis='similarity_descr_orig_srs')} AS prompt_orig,
-        {fill(prompts.REGENERATE_DIST, text='distilled_srs_text', script='plantuml_script_dist_srs',
+        {fill(REGENERATE_DIST, text='distilled_srs_text', script='plantuml_script_dist_srs',
               analysis='similarity_descr_dist_srs')} AS prompt_dist FROM run_log""",
     "strip_text": "SELECT doc_id AS id, text AS stripped FROM documents",
     "unfence_text": f"WITH {REPLIES} SELECT id, {unfenced('reply')} AS body FROM replies",
@@ -418,35 +496,49 @@ SQL: dict[str, str] = {
         FROM work""",
     "completion_map": f"""WITH {MODELS} SELECT doc_id || '_' || lang || 'doc' || doc_id AS srs_id, llm_model,
         api_id || ' ' || CASE WHEN fixed IS NULL THEN '0.5' ELSE '1.0' END || ' '
-            || md5({strip(fill(prompts.DISTIL, text='text'))}) AS response
+            || md5({strip(fill(DISTIL, text='text'))}) AS response
         FROM documents CROSS JOIN models""",
-    "first_pass_completed": f"""WITH {MODELS}, one AS (
-            SELECT doc_id || '_' || lang || 'doc' || doc_id AS srs_id, llm_provider, llm_model,
-                coalesce(fixed, 0.5::DOUBLE) AS temperature, text,
-                api_id || ' ' || CASE WHEN fixed IS NULL THEN '0.5' ELSE '1.0' END || ' '
-                    || md5({strip(fill(prompts.DISTIL, text='text'))}) AS short,
-                '@startuml' || {NL} || ''' ' || md5({fill(prompts.GENERATE, text='text')}) || {NL} || '@enduml'
-                    AS script_orig
-            FROM documents CROSS JOIN models),
-        two AS (SELECT *, {fill(prompts.SIMILARITY, script='script_orig', text='text')} AS check_orig,
-                '@startuml' || {NL} || ''' ' || md5({fill(prompts.GENERATE, text='short')}) || {NL} || '@enduml'
-                    AS script_dist FROM one)
+    "first_pass_completed": f"""{COMPLETED.format('')}
         SELECT {KEY}, script_orig AS plantuml_script_orig_srs, short AS distilled_srs_text,
             script_dist AS plantuml_script_dist_srs,
             CAST(length(check_orig) AS DOUBLE) AS similarity_score_orig_srs,
-            CAST(length({fill(prompts.SIMILARITY, script='script_dist', text='short')}) AS DOUBLE)
-                AS similarity_score_dist_srs,
+            CAST(length(check_dist) AS DOUBLE) AS similarity_score_dist_srs,
             'discrepancies:' || {NL} || md5(check_orig) || {NL} || {NL} || 'missing_elements:' || {NL} || {NL}
                 || {NL} || 'additional_elements:' || {NL} AS similarity_descr_orig_srs,
-            'ok' AS state_orig, 'ok' AS state_dist FROM two""",
+            'ok' AS state_orig, 'ok' AS state_dist FROM three""",
     "stream_latest": """WITH log AS (
         SELECT event_id AS id, CAST(user_id AS VARCHAR) AS srs_id,
             CASE WHEN event_id % 5 < 3 THEN 'pA' ELSE 'pB' END AS llm_provider,
             'm' || (event_id % 5) AS llm_model, (event_id % 2) * 0.5::DOUBLE AS temperature, ts FROM events)
         SELECT srs_id, llm_provider, llm_model, temperature, count(*) AS run_count,
             arg_max(id, (ts, id)) AS id FROM log GROUP BY ALL""",
+    "batch_of_ids": f"""{COMPLETED.format(f"WHERE doc_id IN ({', '.join(map(str, LISTED_IDS))})")}
+        SELECT srs_id, llm_provider AS provider, llm_model AS model, script_orig,
+            {said('check_orig')} AS similarity_orig, short AS distilled_text, script_dist,
+            {said('check_dist')} AS similarity_dist FROM three""",
+    "backfeed_completed": f"""{WORK}, one AS (SELECT *,
+            coalesce({strip('distilled_srs_text')}, '') <> '' AS has_dist,
+            '@startuml' || {NL} || ''' ' || md5({fill(REGENERATE_ORIG, text='original_srs_text',
+                script='plantuml_script_orig_srs', analysis='similarity_descr_orig_srs')}) || {NL} || '@enduml' AS new_orig,
+            '@startuml' || {NL} || ''' ' || md5({fill(REGENERATE_DIST, text='distilled_srs_text',
+                script='plantuml_script_dist_srs', analysis='similarity_descr_dist_srs')}) || {NL} || '@enduml' AS new_dist
+            FROM work),
+        two AS (SELECT *, {fill(SIMILARITY, script='new_orig', text='original_srs_text')} AS check_orig FROM one)
+        SELECT {KEY}, 'BACKFEED_IMPROVEMENT_' || run_count AS event_type, new_orig AS plantuml_script_orig_srs,
+            CASE WHEN has_dist THEN new_dist ELSE '' END AS plantuml_script_dist_srs,
+            CAST(length(check_orig) AS DOUBLE) AS similarity_score_orig_srs,
+            'discrepancies:' || {NL} || md5(check_orig) || {NL} || {NL} || 'missing_elements:' || {NL} || {NL}
+                || {NL} || 'additional_elements:' || {NL} AS similarity_descr_orig_srs,
+            'ok' AS state_orig, CASE WHEN has_dist THEN 'ok' ELSE 'blank_text' END AS state_dist FROM two""",
 }
 SQL["stream_responses"] = SQL["response_text"]
 SQL["stream_insert"] = SQL["insert_if_absent"]
 SQL["stream_unseen"] = f"""WITH {TRIPLES}
     SELECT srs_origin, srs_title, srs_content FROM ({INSERTED.format('')})"""
+SQL["retrieval_facets"] = facets("AND srs_id IN ('8', '11', 'nobody')")
+SQL["retrieval_rows"] = SQL["rows_of_one_key"]
+SQL["retrieval_compared"] = (
+    side_by_side("click", "view", "FULL")
+    + f" WHERE srs_id = '{ONE_KEY[0]}' AND llm_provider = '{ONE_KEY[1]}' AND llm_model = '{ONE_KEY[2]}'"
+    f" AND temperature = {ONE_KEY[3]}"
+)

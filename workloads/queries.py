@@ -58,7 +58,11 @@ def corpus_by_id_list(spark, sf):
 
 @query
 def corpus_by_ids_empty(spark, sf):
-    return corpus.by_ids(facade.corpus(spark, sf), [])
+    """How many documents an empty list selects, by itself and under the batch rule."""
+    docs = facade.corpus(spark, sf)
+    listed = corpus.by_ids(docs, []).select(F.lit("listed").alias("rule"))
+    batch = corpus.select_for_batch(docs, []).select(F.lit("batch").alias("rule"))
+    return listed.unionByName(batch).groupBy("rule").agg(F.count("*").alias("documents"))
 
 
 @query
@@ -94,6 +98,15 @@ def import_corpus(spark, sf):
     return tables.corpus(spark, root)
 
 
+@query
+def import_repeated_positions(spark, sf):
+    """Files that each count from 0: positions repeat, some are missing."""
+    root = new_folder(spark, "import")
+    pos = F.when(F.col("pos") % 7 > 0, F.col("pos") % 50)
+    tables.import_corpus(spark, facade.entries(spark, sf).withColumn("pos", pos), root)
+    return tables.corpus(spark, root)
+
+
 @query
 def artifact_keys(spark, sf):
     return facade.corpus(spark, sf).select(
@@ -119,6 +132,20 @@ def run_log_append(spark, sf):
     )
 
 
+@query
+def append_repeated_ids(spark, sf):
+    """Rows appended by an id that repeats and is missing for some; every row gets its own."""
+    root = new_folder(spark, "log")
+    log = facade.run_log(spark, sf).withColumn("by", F.col("srs_id").cast("long"))
+    tables.append_runs(spark, log.withColumnRenamed("id", "event"), root, "by")
+    ordered = tables.run_log(spark, root).select("id", "srs_id")
+    spans = ordered.groupBy("srs_id").agg(
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.count("*").alias("rows"), F.countDistinct("id").alias("ids"),
+    )
+    return spans
+
+
 @query
 def latest_run(spark, sf):
     keys = catalog.effective_temperature(facade.requested_keys(spark, sf), facade.MODELS)
@@ -183,6 +210,30 @@ def side_by_side(spark, sf):
     return _compared(retrieval.retrieve(log, "signup", "purchase")["compared"])
 
 
+def _retrieved(spark, sf) -> dict[str, DataFrame]:
+    return retrieval.retrieve(
+        facade.run_log(spark, sf), "signup", "purchase", ids=["8", "11", "8", "nobody"], key=ONE_KEY
+    )
+
+
+@query
+def retrieval_facets(spark, sf):
+    return _retrieved(spark, sf)["facets"]
+
+
+@query
+def retrieval_rows(spark, sf):
+    return _retrieved(spark, sf)["rows"].select("id", "event_type", "similarity_score_orig_srs")
+
+
+@query
+def retrieval_compared(spark, sf):
+    """Both sides of the chosen key."""
+    log = facade.run_log(spark, sf)
+    found = retrieval.retrieve(log, "click", "view", key=ONE_KEY, how="full")["compared"]
+    return _compared(found)
+
+
 @query
 def side_by_side_full(spark, sf):
     log = facade.run_log(spark, sf)
@@ -457,6 +508,14 @@ def batch_summary(spark, sf):
     return first_pass.batch_summary(_first_pass(spark, sf))
 
 
+@query
+def batch_of_ids(spark, sf):
+    """The batch over listed documents, its answers from the function."""
+    ask = stages.ask_function(digest_client(), spark.sparkContext.defaultParallelism)
+    results = first_pass.batch(facade.corpus(spark, sf), ask, LISTED_IDS, facade.MODELS, 0.5)
+    return first_pass.batch_summary(results)
+
+
 @query
 def generate_only(spark, sf):
     rows = facade.replies(spark, sf).select(
@@ -538,7 +597,7 @@ def digest_client():
             digest = hashlib.md5(prompt.encode()).hexdigest()
             if "similarity_score" in prompt:
                 return f'{{"similarity_score": {len(prompt)}, "discrepancies": ["{digest}"]}}'
-            if "diagram script only" in prompt:
+            if "First line: @startuml" in prompt:
                 return f"@startuml\n' {digest}\n@enduml"
             return f"{api_id} {temperature} {digest}"
 
@@ -572,6 +631,20 @@ def first_pass_completed(spark, sf):
     )
 
 
+@query
+def backfeed_completed(spark, sf):
+    """Back-feed with the function instead of recorded answers."""
+    work = backfeed.work_list(
+        facade.requested_keys(spark, sf), facade.run_log(spark, sf), facade.MODELS
+    )
+    ask = stages.ask_function(digest_client(), spark.sparkContext.defaultParallelism)
+    return backfeed.backfeed(work, ask).select(
+        "srs_id", "llm_provider", "llm_model", "temperature", "event_type",
+        "plantuml_script_orig_srs", "plantuml_script_dist_srs", "similarity_score_orig_srs",
+        "similarity_descr_orig_srs", "state_orig", "state_dist",
+    )
+
+
 # --- streams ------------------------------------------------------------------------
 
 
