@@ -1,9 +1,8 @@
 """Reply chunks and chat turns: (request, seq) rows to texts and pairs.
 
-``seq`` counts up within its request and is unique there; gaps are allowed, but wide
-ones leave the blocks nearly empty. All grouping goes through blocks of consecutive
-numbers, so the rows of one long request are spread over many tasks; what is finally
-put together is one text per block.
+``seq`` counts up within its request and is unique there, with gaps of any width. Rows are
+placed by request and ``seq`` and handled in blocks of neighbours, so the rows of one long
+request are spread over many tasks; what is finally put together is one text per block.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runloom.operators.numbering import block_of, running_sum
+from runloom.operators.numbering import BLOCK_BITS, placed, running_sum
 
 
 def drop_empty(chunks: DataFrame) -> DataFrame:
@@ -19,9 +18,15 @@ def drop_empty(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.col("chunk") != "")
 
 
-def chunk_blocks(chunks: DataFrame) -> DataFrame:
-    """(request_id, block, block_text): each block's chunks in order."""
-    return chunks.groupBy("request_id", block_of("seq").alias("block")).agg(
+def in_blocks(chunks: DataFrame) -> DataFrame:
+    """(request_id, seq, chunk, block): blocks of neighbours, rising along each request."""
+    rows = placed(chunks.select("request_id", "seq", "chunk"), ["request_id", "seq"])
+    return rows.withColumn("block", F.shiftright("_at", BLOCK_BITS)).drop("_at")
+
+
+def chunk_blocks(rows: DataFrame) -> DataFrame:
+    """(request_id, block, block_text) from rows in blocks: each block's chunks in order."""
+    return rows.groupBy("request_id", "block").agg(
         F.expr("coalesce(listagg(chunk, '') within group (order by seq), '')").alias("block_text")
     )
 
@@ -35,16 +40,17 @@ def join_blocks(blocks: DataFrame) -> DataFrame:
 
 def response_text(chunks: DataFrame) -> DataFrame:
     """All chunks of each request as one text."""
-    return join_blocks(chunk_blocks(chunks))
+    return join_blocks(chunk_blocks(in_blocks(chunks)))
 
 
 def running_text(chunks: DataFrame) -> DataFrame:
     """(request_id, seq, running): chunk i shows chunks 1..i.
 
-    The text before a block is put together once per block, not once per chunk. The
-    result itself grows with the square of a reply's length; ``chunk_offsets`` holds
-    the same information in linear space.
+    For requests that somebody looks at: the result grows with the square of a reply's
+    length, and the text before a block is put together once per block. ``chunk_offsets``
+    holds the same information in linear space, for any number of requests.
     """
+    chunks = in_blocks(chunks)
     earlier = (
         Window.partitionBy("request_id")
         .orderBy("block")
@@ -63,7 +69,7 @@ def running_text(chunks: DataFrame) -> DataFrame:
     )
     reach = F.sum(F.coalesce(F.length("chunk"), F.lit(0))).over(inside)
     rows = chunks.select(
-        "request_id", "seq", block_of("seq").alias("block"), F.length("chunk").alias("_n"), "chunk"
+        "request_id", "seq", "block", F.length("chunk").alias("_n"), "chunk"
     ).select("request_id", "seq", "block", reach.cast("int").alias("_reach"))
     return rows.join(heads, ["request_id", "block"]).select(
         "request_id",
@@ -88,9 +94,23 @@ def chat_pairs(turns: DataFrame) -> DataFrame:
     answer of the open pair. Turns before the first user turn belong to no pair.
     """
     is_user = F.when(F.col("role") == "user", 1).otherwise(0).cast("long")
-    numbered = running_sum(turns, "conv_id", "turn", is_user, "pair").where(F.col("pair") > 0)
-    answer_turn = F.when(F.col("role") == "assistant", F.col("turn"))
-    return numbered.groupBy("conv_id", "pair").agg(
-        F.max(F.when(F.col("role") == "user", F.col("text"))).alias("user"),
-        F.coalesce(F.max_by("text", answer_turn), F.lit("")).alias("assistant"),
+    numbered = running_sum(turns.select("conv_id", "turn", "role"), "conv_id", "turn", is_user, "pair")
+    # Pairs are made of turn numbers; then each text moves once, to the place it has in its pair.
+    pairs = numbered.where(F.col("pair") > 0).groupBy("conv_id", "pair").agg(
+        F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("_user"),
+        F.max(F.when(F.col("role") == "assistant", F.col("turn"))).alias("_assistant"),
+    )
+
+    def texts(role: str) -> DataFrame:
+        said = turns.where(F.col("role") == role)
+        return said.select("conv_id", F.col("turn").alias(f"_{role}"), F.col("text").alias(role))
+
+    asked = pairs.join(texts("user"), ["conv_id", "_user"])
+    unanswered = asked.where(F.col("_assistant").isNull()).withColumn("assistant", F.lit(""))
+    answered = asked.where(F.col("_assistant").isNotNull()).join(
+        texts("assistant"), ["conv_id", "_assistant"]
+    )
+    both = answered.select("conv_id", "pair", "user", "assistant").unionByName(
+        unanswered.select("conv_id", "pair", "user", "assistant")
     )
+    return both.withColumn("assistant", F.coalesce("assistant", F.lit("")))

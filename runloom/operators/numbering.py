@@ -56,29 +56,37 @@ def positions(
     )
 
 
-def numbered(rows: DataFrame, order_by: Sequence[str], after: int, out: str = "id") -> DataFrame:
-    """Every row once, with consecutive numbers after ``after`` in ``out``, in the given order.
+def placed(rows: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """``rows`` in range partitions, ordered, written down once, with their place ``_at``.
 
-    NULLs come first and equal rows follow each other in any order; none of the columns has to be
-    unique, and no row is looked up by them. The rows are range-partitioned, with a number of
-    their own as the last key so that equal ones spread too, and written down once in that
-    placement; then only the row counts per partition are summed and joined.
+    Places rise with the order and are consecutive within a partition. A number of the row's
+    own is the last key, so that equal rows spread over partitions too.
     """
-    placed = durable(
+    return durable(
         rows.withColumn("_own", F.monotonically_increasing_id())
         .repartitionByRange(*order_by, "_own")
         .sortWithinPartitions(*order_by, "_own")
         .drop("_own")
         .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_part", F.shiftright("_at", 33))
-    pieces = placed.groupBy("_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_rows"))
+    )
+
+
+def numbered(rows: DataFrame, order_by: Sequence[str], after: int, out: str = "id") -> DataFrame:
+    """Every row once, with consecutive numbers after ``after`` in ``out``, in the given order.
+
+    NULLs come first and equal rows follow each other in any order; none of the columns has to be
+    unique, and no row is looked up by them. Once the rows are placed, only the row counts per
+    partition are summed and joined.
+    """
+    table = placed(rows, order_by).withColumn("_part", F.shiftright("_at", 33))
+    pieces = table.groupBy("_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_rows"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = pieces.select(
         "_part",
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"),
     )
     # One row per range partition: bounded by the partition count, not by the data.
-    return placed.join(F.broadcast(shifts), "_part").select(
+    return table.join(F.broadcast(shifts), "_part").select(
         *rows.columns, (F.col("_at") + F.col("_shift") + F.lit(after + 1)).alias(out)
     )
 
@@ -90,11 +98,12 @@ def block_of(seq: str) -> Column:
 def running_sum(df: DataFrame, group: str, seq: str, value: Column, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the group's rows up to this ``seq``.
 
-    ``seq`` is an integer, unique within the group, so a block of it holds at most
-    ``BLOCK`` rows. The wide windows run within blocks; across blocks only one
-    number per block is summed.
+    Rows are placed by group and ``seq``, whatever its gaps, and cut into blocks of at most
+    ``BLOCK`` neighbours. The wide windows run within blocks; across blocks only one number
+    per block is summed.
     """
-    rows = df.withColumn("_block", block_of(seq)).withColumn("_value", value)
+    rows = placed(df.withColumn("_value", value), [group, seq])
+    rows = rows.withColumn("_block", F.shiftright("_at", BLOCK_BITS))
     blocks = rows.groupBy(group, "_block").agg(F.sum("_value").alias("_total"))
     earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(
@@ -102,12 +111,12 @@ def running_sum(df: DataFrame, group: str, seq: str, value: Column, out: str) ->
     )
     inside = (
         Window.partitionBy(group, "_block")
-        .orderBy(seq)
+        .orderBy("_at")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
         rows.withColumn("_inside", F.sum("_value").over(inside))
         .join(offsets, [group, "_block"])
         .withColumn(out, F.col("_before") + F.col("_inside"))
-        .drop("_block", "_value", "_inside", "_before")
+        .drop("_block", "_value", "_inside", "_before", "_at")
     )

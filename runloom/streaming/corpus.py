@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from runloom.operators.corpus import fresh_ids, row_key, stored_digests
-from runloom.streaming.sinks import write_batch
+from runloom.streaming.sinks import USE_UP, write_batch
 
 
 def unseen(entries: DataFrame, row_id: str, salts: int = 256) -> DataFrame:
@@ -31,12 +31,26 @@ def unseen(entries: DataFrame, row_id: str, salts: int = 256) -> DataFrame:
     return first.unionByName(keyed.where(F.col("row_key").isNull())).drop("row_key", "_salt")
 
 
+def unseen_within(entries: DataFrame, row_id: str, event_time: str, delay: str) -> DataFrame:
+    """The stream without copies that come within ``delay`` of each other in event time.
+
+    Digests older than the watermark are forgotten, so the state is bounded by what arrives
+    within the delay; a copy that comes later is new again. Rows with NULL in a key part pass by.
+    """
+    keyed = entries.withColumn("row_key", row_key()).withWatermark(event_time, delay)
+    # A row without a digest counts by its own id, under a prefix that no digest has.
+    own = F.concat(F.lit("-"), F.col(row_id).cast("string"))
+    marked = keyed.withColumn("row_key", F.coalesce("row_key", own))
+    return marked.dropDuplicatesWithinWatermark(["row_key"]).drop("row_key")
+
+
 def insert_stream(
     entries: DataFrame,
     row_id: str,
     folder: str,
     checkpoint: str,
     existing: DataFrame | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append unseen (origin, title, content) rows of the stream to ``folder``.
 
@@ -62,7 +76,7 @@ def insert_stream(
     return (
         entries.writeStream.foreachBatch(insert)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or USE_UP))
         .start()
     )
 

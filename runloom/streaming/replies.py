@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from runloom.operators.chunks import join_blocks
 from runloom.operators.numbering import block_of
@@ -22,8 +24,21 @@ def block_states(chunks: DataFrame) -> DataFrame:
     )
 
 
+def follow(
+    chunks: DataFrame, folder: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep the text so far of every block of the chunk stream in ``folder``."""
+    return start(block_states(chunks), "update", folder, checkpoint, trigger)
+
+
+def read_replies(
+    spark: SparkSession, folder: str, states: StructType, base: str | None = None
+) -> DataFrame:
+    """(request_id, response) as far as the stream has come; ``states`` is what it writes."""
+    return join_blocks(newest_version(spark, folder, states, ["request_id", "block"], base))
+
+
 def assemble(spark: SparkSession, chunks: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Use up the chunk stream and return (request_id, response)."""
-    states = block_states(chunks)
-    start(states, "update", folder, checkpoint).awaitTermination()
-    return join_blocks(newest_version(spark, folder, states.schema, ["request_id", "block"]))
+    follow(chunks, folder, checkpoint).awaitTermination()
+    return read_replies(spark, folder, block_states(chunks).schema)

@@ -48,3 +48,13 @@ def test_chat_pairs(spark):
     )
     found = [tuple(row) for row in chunks.chat_pairs(turns).orderBy("pair").collect()]
     assert found == [("c", 1, "q1", "a1 again"), ("c", 2, "q2", ""), ("c", 3, "q3", "a3")]
+
+
+def test_wide_gaps_do_not_matter(spark):
+    rows = [("r", at * 1_000_000_007, f"<{at}>") for at in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    blocks = chunks.chunk_blocks(chunks.in_blocks(df))
+    assert blocks.count() <= 3000 // BLOCK + 9
+    assert chunks.response_text(df).first().response == "".join(r[2] for r in rows)
+    last = chunks.chunk_offsets(df).orderBy("seq", ascending=False).first()
+    assert last.end_at == sum(len(r[2]) for r in rows)

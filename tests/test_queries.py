@@ -33,8 +33,8 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-STREAMS = {"stream_latest", "stream_responses", "stream_insert", "stream_unseen"}
-PYTHON = {"completion_map", "first_pass_completed"}
+STREAMS = {"stream_latest", "stream_responses", "stream_insert", "stream_unseen", "stream_unseen_within"}
+PYTHON = {"completion_map", "first_pass_completed", "batch_of_ids", "backfeed_completed"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.registered()) - STREAMS))

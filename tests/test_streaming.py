@@ -105,3 +105,40 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     for _ in range(2):
         sinks.write_batch(rows, 0, folder)
     assert corpus_stream.inserted(spark, rows.schema, folder).count() == 1
+
+
+def test_a_stream_that_runs_on_is_read_and_compacted(spark, tmp_path):
+    folder, out, state, base = (str(tmp_path / name) for name in ("in", "out", "state", "base"))
+    log_frame(spark, [{"id": 0, "srs_id": "a", "at": 0}]).write.parquet(folder)
+    stream = spark.readStream.schema(RUN_LOG).option("maxFilesPerTrigger", 1).parquet(folder)
+    running = runs.follow(stream, out, state, {"processingTime": "100 milliseconds"})
+    try:
+        for at in range(1, 7):
+            log_frame(spark, [{"id": at, "srs_id": "ab"[at % 2], "at": at}]).coalesce(1).write.mode("append").parquet(folder)
+            running.processAllAvailable()
+            if at == 4:
+                done = sinks.compact(spark, out, runs.CURRENT, runs.RUN_KEY, base)
+        assert running.isActive and done >= 2
+    finally:
+        running.stop()
+    want = {("a", 4, 6), ("b", 3, 5)}
+    for found in (runs.read_current(spark, out), runs.read_current(spark, out, base)):
+        assert {(r.srs_id, r.run_count, r.id) for r in found.collect()} == want
+    later = sinks.compact(spark, out, runs.CURRENT, runs.RUN_KEY, base)
+    assert later > done
+    assert {(r.srs_id, r.run_count, r.id) for r in runs.read_current(spark, out, base).collect()} == want
+
+
+def test_copies_within_the_delay_are_dropped(spark, tmp_path):
+    schema = "id long, srs_origin string, srs_title string, srs_content string"
+    rows = [(k, "o", "t" if k % 5 else None, str(k % 3)) for k in range(20)]
+    docs = spark.createDataFrame(rows, schema).withColumn(
+        "at", F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000)
+    )
+    stream = files_of(docs, str(tmp_path / "in"), 3)
+    out = str(tmp_path / "out")
+    kept = corpus_stream.unseen_within(stream, "id", "at", "1 hour")
+    sinks.start(kept, "append", out, str(tmp_path / "state")).awaitTermination()
+    found = corpus_stream.inserted(spark, docs.schema, out).collect()
+    assert sum(r.srs_title is None for r in found) == 4
+    assert sorted(r.srs_content for r in found if r.srs_title) == ["0", "1", "2"]

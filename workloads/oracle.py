@@ -542,3 +542,6 @@ SQL["retrieval_compared"] = (
     + f" WHERE srs_id = '{ONE_KEY[0]}' AND llm_provider = '{ONE_KEY[1]}' AND llm_model = '{ONE_KEY[2]}'"
     f" AND temperature = {ONE_KEY[3]}"
 )
+SQL["stream_unseen_within"] = """SELECT DISTINCT CAST(user_id AS VARCHAR) AS srs_origin, event_type AS srs_title,
+    CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS srs_content FROM events"""
+SQL["chunk_offsets_sparse"] = f"SELECT request_id, seq * 5000 + 17 AS seq, end_at FROM ({SQL['chunk_offsets']})"

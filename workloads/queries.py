@@ -700,3 +700,26 @@ def stream_unseen(spark, sf):
     folder = new_folder(spark, "unseen")
     sinks.start(rows, "append", folder, new_folder(spark, "unseen-state")).awaitTermination()
     return corpus_stream.inserted(spark, rows.schema, folder).drop("id")
+
+
+@query
+def stream_unseen_within(spark, sf):
+    """Events without repeats of user, type and value; all come within the delay."""
+    events = _stream(spark, sf, "events").selectExpr(
+        "event_id as id",
+        "cast(user_id as string) as srs_origin",
+        "event_type as srs_title",
+        "cast(cast(value as long) as string) as srs_content",
+        "cast(ts as timestamp) as at",
+    )
+    rows = corpus_stream.unseen_within(events, "id", "at", "3650 days")
+    folder = new_folder(spark, "within")
+    sinks.start(rows, "append", folder, new_folder(spark, "within-state")).awaitTermination()
+    return corpus_stream.inserted(spark, rows.schema, folder).drop("id", "at")
+
+
+@query
+def chunk_offsets_sparse(spark, sf):
+    """Sequence numbers with wide gaps, as time stamps leave them."""
+    sparse = facade.chunks(spark, sf).withColumn("seq", F.col("seq") * 5000 + 17)
+    return chunks.chunk_offsets(sparse)
