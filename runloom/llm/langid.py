@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER = re.compile("[A-Za-z]")
 TYPES = (pa.string(), pa.float64(), pa.bool_())
 # Hashed byte n-grams of 1 to 3 bytes: so many features.
 FEATURES = 1 << 13
@@ -39,6 +39,10 @@ class Model:
     reject_below: float
 
 
+def has_letter(text: str) -> bool:
+    return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def counts(text: str) -> np.ndarray:
     """Counts of the hashed 1- to 3-grams of a whole text."""
     found = np.zeros(FEATURES, np.float32)
@@ -83,7 +87,7 @@ def fit(rows: list[tuple[str, str]], centroids: int = 4, margin: float = 0.25) -
     A text is rejected if its best cosine lies below ``margin`` times the lowest but one in a
     hundred of the learned texts' own best cosines.
     """
-    rows = sorted((lang, text) for text, lang in rows if text and lang and LETTER.search(text))
+    rows = sorted((lang, text) for text, lang in rows if text and lang and has_letter(text))
     if not rows:
         nothing = np.zeros((0, FEATURES), np.float32)
         return Model([], np.zeros(0, int), nothing, np.ones(FEATURES, np.float32), 0.0)
@@ -129,7 +133,7 @@ def learn(
 
 def _predict(model: Model) -> Callable:
     def one(text: str | None) -> tuple[str, float, bool]:
-        if not text or not len(model.labels) or not LETTER.search(text):
+        if not text or not len(model.labels) or not has_letter(text):
             return UNKNOWN, 0.0, True
         cosines = model.centroids @ vectors(counts(text)[None, :], model.weights)[0]
         best = int(np.argmax(cosines))

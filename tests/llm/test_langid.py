@@ -23,7 +23,7 @@ def sample(n: int = 20):
 def test_languages_and_rejections(spark):
     model = langid.learn(documents(spark, sample()), per_language=15)
     asked = [(1000 + i, speech(lang, 99), lang) for i, lang in enumerate(SOUNDS)]
-    odd = [(2000, None), (2001, ""), (2002, "12 345 !? _"), (2003, "漢字 漢字"), (2004, speech("aa", 7, 60_000)),
+    odd = [(2000, None), (2001, ""), (2002, "12 345 ² ½ !? _"), (2003, "漢字 漢字"), (2004, speech("aa", 7, 60_000)),
            (2004, speech("aa", 7, 60_000)), (None, speech("bb", 1))]
     df = documents(spark, asked + odd)
     found = {}
