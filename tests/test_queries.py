@@ -65,6 +65,10 @@ def test_rank_is_limited_before_the_exchange(spark):
 
 
 def test_lookup_has_one_aggregate_exchange(spark):
-    plan = plan_of(queries.backfeed_work(spark, SF))
-    keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning(srs_id" in line]
-    assert len(keyed) == 1
+    """Requests and runs meet in one aggregate; a second exchange by key carries ranked runs only."""
+    lines = plan_of(queries.backfeed_work(spark, SF)).splitlines()
+    keyed = [at for at, line in enumerate(lines) if "Exchange hashpartitioning(srs_id" in line]
+    below = [lines[at + 1] for at in keyed]
+    assert sum("HashAggregate" in line and "partial" in line for line in below) == 1
+    assert sum("WindowGroupLimit" in line and "Partial" in line for line in below) == 1
+    assert len(keyed) == 2
