@@ -39,9 +39,26 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+def drop_folders(spark: SparkSession) -> int:
+    """Delete every folder that this process has asked for, and return how many there were.
+
+    For the owner of the job, once no result that was built on them is read any more.
+    """
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def durable(df: DataFrame) -> DataFrame:

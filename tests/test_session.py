@@ -41,3 +41,15 @@ def test_durable_is_evaluated_once(spark):
     assert kept.exceptAll(kept).count() == 0
     assert [row.r for row in kept.orderBy("id").collect()] == [row.r for row in kept.orderBy("id").collect()]
     assert kept.schema.simpleString() == "struct<id:bigint,r:double>"
+
+
+def test_the_owner_can_delete_what_was_written(spark, monkeypatch):
+    from runloom import session as module
+
+    monkeypatch.setattr(module, "_MADE", [])
+    kept = durable(spark.range(10))
+    assert kept.count() == 10 and len(module._MADE) == 1
+    folder = module._MADE[0]
+    assert module.drop_folders(spark) == 1 and module._MADE == []
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(folder)
