@@ -36,8 +36,6 @@ from runloom.llm.common import durable, partitions, utf8
 # Symbols that are cut into runs at a time; a position must fit into POSITION_BITS.
 CHUNK = 1 << 22
 POSITION_BITS = 24
-# Buckets, shards and groups of documents per shuffle partition.
-SPREAD = 4
 # An anchor is hot if it lies in so many chunks and in so large a share of them.
 HOT_CHUNKS = 1024
 HOT_SHARE = 0.01
@@ -622,7 +620,9 @@ def remove_repeats(
     nor loses anything. Rows that repeat an id do not act on each other; ``version``, a hash of
     the text, tells them apart. Other columns are not read.
     """
-    places = SPREAD * partitions(docs)
+    # As many buckets, groups of documents and shards as shuffle partitions: what one sends to
+    # another is one row, so more of them would cost the square in rows.
+    places = partitions(docs)
     slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(text).alias("version"),
