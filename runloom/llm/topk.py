@@ -16,7 +16,7 @@ SCALE = 256
 # Segments at each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 # Numbers in a block of candidates and of queries.
-CANDIDATE_NUMBERS = 1 << 18
+CANDIDATE_NUMBERS = 1 << 17
 QUERY_NUMBERS = 1 << 14
 LONG = np.iinfo(np.int64)
 
@@ -74,12 +74,12 @@ def segment_statistics(values: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(columns, axis=1) if columns else np.zeros((len(values), 0))
 
 
-def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Whole-number inner products of the rows, held at the limits of a long."""
-    top = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
-    if top * top * max(q.shape[1], 1) < 2.0**62:
-        return np.einsum("ij,ij->i", q.astype(np.int64), c.astype(np.int64))
-    sums = [sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q, c)]
+def _products(q: np.ndarray, c: np.ndarray, exact_floats: bool) -> np.ndarray:
+    """Whole-number inner products of one vector with rows, held at the limits of a long."""
+    if exact_floats:
+        return (c @ q).astype(np.int64)
+    whole = [int(x) for x in q]
+    sums = [sum(a * int(b) for a, b in zip(whole, row)) for row in c]
     return np.array([min(max(s, LONG.min), LONG.max) for s in sums], np.int64)
 
 
@@ -90,6 +90,9 @@ def best_in_block(
     q2, c2 = (q * q).sum(axis=1), (c * c).sum(axis=1)
     own = (q_ids[:, None] == c_ids[None, :]) & ~c_null[None, :]
     order = np.where(c_null, LONG.max, c_ids)
+    # Floats hold whole numbers up to 2^53, so up to there no sum is rounded.
+    top = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
+    exact_floats = top * top * max(q.shape[1], 1) < 2.0**53
     limit = np.full(len(q), -np.inf)
     alive = ~own
     for segments in RESOLUTIONS:
@@ -103,35 +106,38 @@ def best_in_block(
         # The k most promising candidates set the score to beat.
         few = min(k, len(c))
         seeds = np.argpartition(-bound, few - 1, axis=1)[:, :few]
-        rows = np.repeat(np.arange(len(q)), few)
-        scores = _exact(q[rows], c[seeds.ravel()]).astype(float).reshape(len(q), few)
+        scores = np.array(
+            [_products(q[i], c[seeds[i]], exact_floats) for i in range(len(q))], float
+        ).reshape(len(q), few)
         scores[~np.take_along_axis(alive, seeds, axis=1)] = -np.inf
         if few == k:
             limit = np.maximum(limit, scores.min(axis=1))
         alive &= bound >= limit[:, None]
-    rows, places = np.nonzero(alive)
-    scores = _exact(q[rows], c[places])
-    # The complement orders from large to small without leaving the range of a long.
-    ranked = np.lexsort((c_null[places], order[places], ~scores, rows))
-    rows, places, scores = rows[ranked], places[ranked], scores[ranked]
-    first = np.searchsorted(rows, np.arange(len(q)))
-    kept = np.arange(len(rows)) - first[rows] < k
-    yield from zip(rows[kept].tolist(), places[kept].tolist(), scores[kept].tolist())
+    for row in range(len(q)):
+        places = np.flatnonzero(alive[row])
+        scores = _products(q[row], c[places], exact_floats)
+        if len(places) > k:
+            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            places, scores = places[near], scores[near]
+        # The complement orders from large to small without leaving the range of a long.
+        ranked = np.lexsort((c_null[places], order[places], ~scores))[:k]
+        yield from zip([row] * len(ranked), places[ranked].tolist(), scores[ranked].tolist())
 
 
 def _search(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
                 dim, found = row["dim"], []
                 q_ids = np.frombuffer(row["q_ids"], np.int64)
                 c_ids = np.frombuffer(row["ids"], np.int64)
                 c_null = np.frombuffer(row["nulls"], bool)
                 q = np.frombuffer(row["q_values"]).reshape(len(q_ids), dim)
                 c = np.frombuffer(row["values"]).reshape(len(c_ids), dim)
-                for at, place, score in best_in_block(q_ids, q, c_ids, c_null, c, k):
+                for asked, place, score in best_in_block(q_ids, q, c_ids, c_null, c, k):
                     vec_id = None if c_null[place] else int(c_ids[place])
-                    found.append((row["q_block"], at, int(q_ids[at]), vec_id, score))
+                    found.append((row["q_block"], asked, int(q_ids[asked]), vec_id, score))
                 columns = list(zip(*found)) or [()] * len(FOUND)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, f.type) for x, f in zip(columns, FOUND)], schema=FOUND
