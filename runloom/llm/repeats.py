@@ -35,6 +35,7 @@ from runloom.llm.common import durable, partitions, utf8
 
 # Symbols that are cut into runs at a time; a position must fit into POSITION_BITS.
 CHUNK = 1 << 22
+STRETCH = 1 << 17
 POSITION_BITS = 24
 # An anchor is hot if it lies in so many chunks and in so large a share of them.
 HOT_CHUNKS = 1024
@@ -108,7 +109,8 @@ def slices(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * U64(0x9E3779B97F4A7C15)
-    return x ^ (x >> U64(29))
+    x ^= x >> U64(29)
+    return x
 
 
 def group_of(doc_id: np.ndarray, version: np.ndarray, groups: int) -> np.ndarray:
@@ -155,29 +157,51 @@ class Runs:
 def cut_runs(symbols: np.ndarray, lengths: np.ndarray, unit: Unit) -> Runs | None:
     """Runs of parts that lie one after the other: their part, first window in it, number of
     windows, the anchor's offset in the first window, and the anchor's hash."""
-    if len(symbols) < unit.width:
+    windows = len(symbols) - unit.width + 1
+    if windows < 1:
         return None
     ends = np.cumsum(lengths)
-    part = np.repeat(np.arange(len(lengths)), lengths)
-    first = np.arange(len(symbols) - unit.width + 1)
-    first = first[first + unit.width <= ends[part[first]]]
-    if not len(first):
-        return None
+    valid = np.zeros(windows + 1, np.int8)
+    # A window starts in a part and ends in it.
+    begin, stop = (ends - lengths), np.maximum(ends - unit.width + 1, ends - lengths)
+    np.add.at(valid, np.minimum(begin, windows), 1)
+    np.add.at(valid, np.minimum(stop, windows), -1)
+    valid = np.cumsum(valid, dtype=np.int8)[:-1].astype(bool)
     hashes = gram_hashes(symbols, unit.gram)
     low = U64((1 << POSITION_BITS) - 1)
-    ranked = (hashes & ~low) | np.arange(len(hashes), dtype=U64)
-    anchor = (sliding_min(ranked, unit.width - unit.gram + 1)[first] & low).astype(np.int64)
-    part = part[first]
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))
-    at = np.flatnonzero(new)
-    begins = ends - lengths
-    return Runs(
-        part[at],
-        first[at] - begins[part[at]],
-        np.diff(np.append(at, len(first))),
-        anchor[at] - first[at],
-        hashes[anchor[at]],
-    )
+    ranked = hashes & ~low
+    ranked |= np.arange(len(hashes), dtype=U64)
+    anchor = sliding_min(ranked, unit.width - unit.gram + 1)
+    change = np.ones(windows + 1, bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=change[1:-1])
+    change[1:-1] |= valid[1:] != valid[:-1]
+    first = np.flatnonzero(change[:-1] & valid)
+    if not len(first):
+        return None
+    last = np.flatnonzero(change[1:] & valid)
+    place = (anchor[first] & low).astype(np.int64)
+    part = np.searchsorted(ends, first, "right")
+    return Runs(part, first - begin[part], last - first + 1, place - first, hashes[place])
+
+
+def _runs_of(lengths: np.ndarray, symbols: np.ndarray, unit: Unit) -> Runs | None:
+    """``cut_runs`` over a few parts at a time, which fit into a processor's cache."""
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(ends, np.arange(STRETCH, ends[-1] + STRETCH, STRETCH)))
+    found, at = [], 0
+    for cut in cuts.tolist():
+        upto = min(cut + 1, len(lengths))
+        if upto > at:
+            start = ends[at] - lengths[at]
+            runs = cut_runs(symbols[start : ends[upto - 1]], lengths[at:upto], unit)
+            if runs is not None:
+                runs.part += at
+                found.append(runs)
+        at = max(at, upto)
+    if not found:
+        return None
+    names = ("part", "start", "count", "offset", "key")
+    return Runs(*(np.concatenate([getattr(r, name) for r in found]) for name in names))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], unit: Unit):
@@ -225,7 +249,7 @@ def _several(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _find_anchors(unit: Unit, buckets: int, groups: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, version, offset, lengths, symbols in _chunks(batches, unit):
-            runs = cut_runs(symbols, lengths, unit)
+            runs = _runs_of(lengths, symbols, unit)
             if runs is None:
                 continue
             bucket = ((runs.key >> U64(32)) % U64(buckets)).astype(np.int64)
@@ -358,30 +382,6 @@ def _spans(doc, version, start, end, groups: int) -> list[tuple]:
     return rows
 
 
-class _Pieces:
-    """Pieces of one group of documents: equal ones joined, then packed by shard."""
-
-    def __init__(self):
-        self.first: dict[tuple, int] = {}
-        self.texts: list[bytes] = []
-        self.shard: list[int] = []
-        self.tail: list[int] = []
-        self.count: list[int] = []
-        self.offset: list[int] = []
-        self.at: list[list[tuple]] = []  # (document, version, start) of each
-
-    def add(self, shard, tail, count, offset, text, where) -> None:
-        k = self.first.setdefault((shard, tail, count, text), len(self.texts))
-        if k == len(self.texts):
-            self.texts.append(text)
-            self.shard.append(shard)
-            self.tail.append(tail)
-            self.count.append(count)
-            self.offset.append(offset)
-            self.at.append([])
-        self.at[k].append(where)
-
-
 def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]]) -> Callable:
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         import xxhash
@@ -398,7 +398,14 @@ def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]])
             (int(doc[p[0]]), int(version[p[0]])): p
             for p in np.split(order, np.flatnonzero(~same) + 1)
         }
-        pieces = _Pieces()
+        hot_keys = np.array([b << 32 | t for b, t in hot], np.int64)
+        is_hot = np.isin(bucket.astype(np.int64) << 32 | tail.astype(np.int64), hot_keys)
+        # A piece's text says all about it: its windows, its anchor and where that is.
+        first: dict[bytes, int] = {}
+        source: list[tuple[int, int, int, int]] = []  # shard, tail, windows, offset of each
+        piece_of: list[int] = []
+        places: list[np.ndarray] = []  # of each document: its hits, in the order of piece_of
+        loose: list[tuple[int, int, int, int]] = []  # piece, document, version, start
         zipped_texts = _unzip(docs.column("text").to_pylist())
         ids, versions = docs.column("doc_id").to_pylist(), docs.column("version").to_pylist()
         for doc_id, own, text in zip(ids, versions, zipped_texts):
@@ -406,43 +413,52 @@ def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]])
             if at is None:
                 continue
             symbols = unit.split(text)
-            for s, n, a, b, t in zip(
-                start[at].tolist(), count[at].tolist(), offset[at].tolist(),
-                bucket[at].tolist(), tail[at].tolist(),
-            ):
-                if (b, t) not in hot:
-                    piece = unit.join(symbols[s : s + n + unit.width - 1])
-                    pieces.add(b, t, n, a, piece, (doc_id, own, s))
-                    continue
-                for i in range(s, s + n):
+            for k in at[is_hot[at]].tolist():
+                for i in range(int(start[k]), int(start[k]) + int(count[k])):
                     window = unit.join(symbols[i : i + unit.width])
-                    code = xxhash.xxh3_64_intdigest(window)
-                    pieces.add((code >> 32) % shards, code & 0xFFFFFFFF, 1, 0, window, (doc_id, own, i))
-        rows, known = [], []
-        travel: list[tuple] = []
-        for k, places in enumerate(pieces.at):
-            least = min(p[0] for p in places)
-            for d, v, s in places:
-                if d == least:
-                    travel.append((k, d, v, s))
-                else:
-                    known.append((d, v, s, s + pieces.count[k] + unit.width - 1))
-        if known:
-            rows += _spans(*zip(*known), groups)
-        piece = np.array([t[0] for t in travel])
-        where = np.array([t[1:] for t in travel], np.int64).reshape(len(travel), 3)
-        shard = np.array(pieces.shard)
-        for place, at in slices(shard[piece] if len(piece) else piece):
-            own, of = np.unique(piece[at], return_inverse=True)
-            blob = pack(
-                [pieces.texts[k] for k in own.tolist()],
-                np.array([pieces.tail[k] for k in own.tolist()], np.uint32),
-                np.array([pieces.count[k] for k in own.tolist()], np.uint8),
-                np.array([pieces.offset[k] for k in own.tolist()], np.uint8),
-                of.astype(np.uint32),
-                where[at],
-            )
-            rows.append((place, "piece", blob))
+                    number = first.setdefault(window, len(source))
+                    if number == len(source):
+                        code = xxhash.xxh3_64_intdigest(window)
+                        source.append(((code >> 32) % shards, code & 0xFFFFFFFF, 1, 0))
+                    loose.append((number, doc_id, own, i))
+            at = at[~is_hot[at]]
+            places.append(at)
+            begin = start[at]
+            stop = begin + count[at] + (unit.width - 1)
+            for k, s, e in zip(at.tolist(), begin.tolist(), stop.tolist()):
+                piece = unit.join(symbols[s:e])
+                number = first.setdefault(piece, len(source))
+                if number == len(source):
+                    source.append((int(bucket[k]), int(tail[k]), int(count[k]), int(offset[k])))
+                piece_of.append(number)
+        rows: list[tuple] = []
+        if source:
+            at = np.concatenate(places) if places else np.empty(0, np.int64)
+            where = np.column_stack([doc[at], version[at], start[at]]).astype(np.int64)
+            piece = np.array(piece_of, np.int64)
+            if loose:
+                extra = np.array(loose, np.int64)
+                piece = np.concatenate([piece, extra[:, 0]])
+                where = np.concatenate([where, extra[:, 1:]])
+            about = np.array(source, np.int64)
+            least = np.full(len(source), np.iinfo(np.int64).max)
+            np.minimum.at(least, piece, where[:, 0])
+            later = where[:, 0] > least[piece]
+            if later.any():
+                end = where[later, 2] + about[piece[later], 2] + unit.width - 1
+                rows += _spans(*where[later].T, end, groups)
+            piece, where, texts = piece[~later], where[~later], list(first)
+            for place, at in slices(about[piece, 0]):
+                own, of = np.unique(piece[at], return_inverse=True)
+                blob = pack(
+                    [texts[k] for k in own.tolist()],
+                    about[own, 1].astype(np.uint32),
+                    about[own, 2].astype(np.uint8),
+                    about[own, 3].astype(np.uint8),
+                    of.astype(np.uint32),
+                    where[at],
+                )
+                rows.append((place, "piece", blob))
         return pa.Table.from_batches([_routed(rows)])
 
     return run

@@ -116,3 +116,26 @@ def test_equal_windows_have_equal_anchors():
     common = set(anchors[0]) & set(anchors[1]) & set(anchors[2])
     assert len(common) >= 19 and all(anchors[0][w] == anchors[1][w] == anchors[2][w] for w in common)
     assert [len(a) for a in anchors] == [19, 24, 36]
+
+
+def test_runs_give_every_window_its_anchor(monkeypatch):
+    draw = np.random.default_rng(1)
+    for _ in range(150):
+        width = int(draw.integers(2, 14))
+        unit = Unit(True, width, int(draw.integers(1, width + 1)))
+        parts = [draw.integers(0, draw.integers(1, 40), int(n)).astype(np.uint64) for n in draw.integers(0, 60, 6)]
+        monkeypatch.setattr(repeats, "STRETCH", int(draw.integers(5, 200)))
+        runs = repeats._runs_of(np.array([len(p) for p in parts]), np.concatenate(parts), unit)
+        got: dict = {}
+        for part, start, count, offset, key in zip(*(getattr(runs, n) for n in ("part", "start", "count", "offset", "key"))) if runs else ():
+            for k in range(count):
+                assert got.setdefault((int(part), int(start + k)), (int(key), int(start + offset))) is not None
+        want = {}
+        for number, part in enumerate(parts):
+            if len(part) >= width:
+                hashes = repeats.gram_hashes(part, unit.gram)
+                for at in range(len(part) - width + 1):
+                    places = range(at, at + width - unit.gram + 1)
+                    _, place = min((int(hashes[j]) >> repeats.POSITION_BITS, j) for j in places)
+                    want[number, at] = (int(hashes[place]), place)
+        assert got == want
