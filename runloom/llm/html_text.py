@@ -55,6 +55,12 @@ AROUND_NAMES = frozenset(
 COMMENT_NAMES = frozenset("comment comments commentlist respond disqus replies reply".split())
 HEADER_NAMES = frozenset("header head".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
+# Their names say what they hold (slugs, anchors), not where they stand.
+UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote td th tr figcaption".split())
+# What a name of surroundings, or of readers' comments, leaves of a score.
+NAMED = {"": 1.0, "around": 0.25, "comments": 0.1}
+# An element with this share of the page's text is no surroundings, whatever its name.
+MOST = 0.5
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
@@ -86,7 +92,7 @@ class Page:
 
     def __init__(self, source: str, forms_out: bool):
         self.forms_out = forms_out
-        self.parents, self.tags = [-1], ["#root"]
+        self.parents, self.tags, self.named = [-1], ["#root"], [""]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
         # Open elements: tag, element, path, why the element is left out.
@@ -156,43 +162,44 @@ class Page:
                     break
         _, parent, above, why = self.stack[-1]
         names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in NAMES.finditer(attributes)}
-        own = self._left_out(tag, names, attributes)
+        own, named = self._left_out(tag, names, attributes)
         if tag in ("article", "main") and why == "around" and not own:
             why = ""  # an unclosed menu or advert does not swallow the article
         step = f"{tag}.{names.get('class', '')}"
         path = self.paths.setdefault((above, step), len(self.paths))
         self.parents.append(parent)
         self.tags.append(tag if names.get("role") != "main" else "main")
+        self.named.append(named)
         if len(self.stack) > DEPTH:
             self.stack.pop()
         self.stack.append((tag, len(self.parents) - 1, path, why or own))
 
-    def _left_out(self, tag: str, names: dict[str, str], attributes: str) -> str:
+    def _left_out(self, tag: str, names: dict[str, str], attributes: str) -> tuple[str, str]:
+        """Why the element is left out, and what its class and id say of it."""
         if tag == "head":
-            return "around"
+            return "around", ""
         if tag in ("html", "body") or (tag == "form" and not self.forms_out):
-            return ""
+            return "", ""
         if not attributes and tag not in AROUND and tag != "header":
-            return ""
-        words = set(PARTS.findall(CAMEL.sub(" ", names.get("class", "") + " " + names.get("id", "")).lower()))
-        if words & COMMENT_NAMES:
-            return "comments"
+            return "", ""
         if tag in ("article", "main"):
-            return "around" if HIDDEN.search(attributes) else ""
+            return "around" if HIDDEN.search(attributes) else "", ""
         if tag in ("aside", "footer"):
-            return "beside"
-        if tag == "header" or words & HEADER_NAMES:
-            inside = any(t in ("article", "main") for t, *_ in self.stack)
-            if not inside and not words & MAIN_NAMES:
-                return "around"
-        if (
-            tag in AROUND
-            or names.get("role", "").lower() in AROUND_ROLES
-            or words & AROUND_NAMES
-            or HIDDEN.search(attributes)
-        ):
-            return "around"
-        return ""
+            return "beside", ""
+        inside = any(t in ("article", "main") for t, *_ in self.stack)
+        words = _words(names.get("class", "") + " " + names.get("id", ""))
+        if tag == "header" and not inside and not words & MAIN_NAMES:
+            return "around", ""
+        if tag in AROUND or names.get("role", "").lower() in AROUND_ROLES or HIDDEN.search(attributes):
+            return "around", ""
+        if tag in UNNAMED:
+            return "", ""
+        if words & COMMENT_NAMES:
+            slug = tag == "section" and not _words(names.get("class", "")) & COMMENT_NAMES
+            return "", "around" if slug and len(words) > 1 else "comments"
+        if words & AROUND_NAMES or (words & HEADER_NAMES and not inside and not words & MAIN_NAMES):
+            return "", "around"
+        return "", ""
 
     def _close(self, tag: str) -> None:
         if tag == "br":
@@ -211,6 +218,53 @@ class Page:
                 break  # an end tag without its start inside this list or block
 
 
+def _words(names: str) -> set[str]:
+    return set(PARTS.findall(CAMEL.sub(" ", names).lower()))
+
+
+def _held(page: Page, weight: np.ndarray) -> np.ndarray:
+    """The weight of the blocks in each element and below it."""
+    held = np.zeros(len(page.parents))
+    for block, w in zip(page.blocks, weight):
+        held[block.element] += w
+    for k in range(len(held) - 1, 0, -1):
+        held[page.parents[k]] += held[k]
+    return held
+
+
+def name_weights(page: Page) -> np.ndarray:
+    """What names leave of each block's score.
+
+    A name counts for all below it, but not if the element holds most of the page's text, which
+    makes it a wrapper (``has-sidebar``, ``comments-open``); readers' comments may be longer than
+    what they are about, so those are also weighed against the other text.
+    """
+    if not any(page.named):
+        return np.ones(len(page.blocks))
+    plain = np.array([max(len(b.text) - b.linked, 0) for b in page.blocks], float)
+
+    def below(named: list[str]) -> np.ndarray:
+        weight = np.ones(len(named))
+        for k in range(1, len(named)):
+            weight[k] = NAMED[named[k]] * weight[page.parents[k]]
+        return weight
+
+    of = np.array([b.element for b in page.blocks])
+    held, named = _held(page, plain), list(page.named)
+    clear = _held(page, np.where(below(named)[of] == 1, plain, 0))
+    articles = [k for k, t in enumerate(page.tags) if t in ("article", "main")]
+    for k in range(1, len(named)):
+        if not named[k] or held[k] < MOST * held[0]:
+            continue
+        # No text below ``k`` is clear, so what is clear stands beside it.
+        beside = max((clear[a] for a in articles), default=0.0)
+        if named[k] == "comments":
+            beside = clear[0]
+        if beside < 0.1 * held[k]:
+            named[k] = ""
+    return below(named)[of]
+
+
 def path_scores(blocks: list[Block], paths: int) -> np.ndarray:
     """Fused and smoothed ratio of each block's path.
 
@@ -240,11 +294,7 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 
 def _content_root(page: Page, weight: np.ndarray) -> int:
     """The element that holds the content: an article, a main element, or the lowest with most of it."""
-    held = np.zeros(len(page.parents))
-    for block, w in zip(page.blocks, weight):
-        held[block.element] += w
-    for k in range(len(held) - 1, 0, -1):
-        held[page.parents[k]] += held[k]
+    held = _held(page, weight)
     whole = held[0]
     for tag in ("article", "main"):
         found = [k for k, t in enumerate(page.tags) if t == tag and held[k] >= 0.3 * whole]
@@ -272,15 +322,21 @@ def main_blocks(source: str) -> list[str]:
         if not page.blocks:
             return []
     blocks = page.blocks
-    scores = path_scores(blocks, len(page.paths))
+    names = name_weights(page)
+    scores = path_scores(blocks, len(page.paths)) * names
     chars = np.array([len(b.text) for b in blocks], float)
     linked = np.array([b.linked for b in blocks], float) > LINKS * chars
-    chosen = (scores >= SHARE * np.average(scores, weights=chars)) & ~linked
+    # The mean is of what no name speaks against, else of all.
+    clear = chars * (names == 1)
+    mean = np.average(scores, weights=clear if clear.any() else chars)
+    chosen = (scores >= SHARE * mean) & ~linked
     if not chosen.any():
         chosen = ~linked if not linked.all() else ~chosen
-    root = _content_root(page, np.where(chosen, chars, 0))
+    root = _content_root(page, np.where(chosen, chars * names, 0))
     inside = _inside(page, root)
     here = np.array([inside[b.element] for b in blocks])
+    # What a name calls surroundings has to score like content by itself.
+    linked |= ~chosen & (names < 1)
     if page.tags[root] not in ("#root", "html", "body"):
         keep = here & ~linked
     else:
@@ -311,9 +367,10 @@ def main_text(
 ) -> DataFrame:
     """(page_id, url, text): the main text of each page, in blocks joined by an empty line.
 
-    Scripts, styles and what is named or marked as surroundings of an article (menus, page
-    headers, footers, sidebars, notices, adverts, forms, reader comments) take no part. For the
-    other blocks, characters and punctuation are summed per root-to-leaf tag path; the fused and
+    Scripts, styles and what is marked as surroundings of an article by its element or role (menus,
+    page headers, footers, asides, forms) take no part. A class or id that names surroundings (a
+    sidebar, an advert, reader comments) lowers the score of what is below it, unless that is most
+    of the page's text. For the blocks, characters and punctuation are summed per root-to-leaf tag path; the fused and
     smoothed ratio of the path decides whether its blocks are content, and content decides which
     element is the article. Character references are decoded, white space in a block becomes one
     space. A null, empty or text-free page has the text ``''``. Each row is handled alone, so

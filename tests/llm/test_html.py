@@ -73,3 +73,26 @@ def test_query_equals_the_marked_article(spark):
         inside = re.sub(r"</?b>", "", inside).replace("<br>", " ")
         blocks = [" ".join(html.unescape(b).split()) for b in re.split(r"<[^>]*>", inside)]
         assert texts[row["page_id"]] == "\n\n".join(b for b in blocks if b)
+
+
+LONG = "A paragraph of the article, which is long enough, and has its marks; as others do."
+
+
+def test_names_weigh_and_do_not_delete():
+    text = f"<p>{LONG}</p><p>Second. {LONG}</p>"
+    want = [LONG, f"Second. {LONG}"]
+    assert main_blocks(f'<div class="layout has-sidebar"><div class="post">{text}</div></div>') == want
+    assert main_blocks(f'<article class="post comments-open">{text}</article>') == want
+    assert main_blocks(f'<div class="post comments-open">{text}</div>') == want
+    aside = '<div class="sidebar"><p>More, to be read.</p></div>'
+    assert main_blocks(f'<div class="layout has-sidebar"><div class="post">{text}</div>{aside}</div>') == want
+    slugs = f'<article>{text}<h2 id="related-work">Related work</h2><p id="search">{LONG}</p>'
+    slugs += f'<section id="social-policy"><p>{LONG}</p></section></article>'
+    assert main_blocks(slugs) == [*want, "Related work", LONG, LONG]
+
+
+def test_longer_comments_do_not_take_the_place_of_the_article():
+    comments = '<div class="comments">' + f"<p>Reader: {LONG}</p>" * 9 + "</div>"
+    assert main_blocks(f"<article><p>{LONG}</p><p>{LONG}</p></article>{comments}") == [LONG, LONG]
+    assert main_blocks(f'<div class="post"><p>{LONG}</p><p>{LONG}</p></div>{comments}') == [LONG, LONG]
+    assert main_blocks(f"<article><p>{LONG}</p><p>{LONG}</p>{comments}</article>") == [LONG, LONG]
