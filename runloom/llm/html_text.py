@@ -58,7 +58,7 @@ MAIN_NAMES = frozenset("article content main post entry story body text".split()
 # Their names say what they hold (slugs, anchors), not where they stand.
 UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote td th tr figcaption".split())
 # What a name of surroundings, or of readers' comments, leaves of a score.
-NAMED = {"": 1.0, "around": 0.25, "comments": 0.1}
+NAMED = {"": 1.0, "around": 0.5, "comments": 0.1}
 # An element with this share of the page's text is no surroundings, whatever its name.
 MOST = 0.5
 
@@ -232,15 +232,15 @@ def _held(page: Page, weight: np.ndarray) -> np.ndarray:
     return held
 
 
-def name_weights(page: Page) -> np.ndarray:
-    """What names leave of each block's score.
+def name_weights(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """What names leave of each block's score, and the outermost named element around it or 0.
 
     A name counts for all below it, but not if the element holds most of the page's text, which
     makes it a wrapper (``has-sidebar``, ``comments-open``); readers' comments may be longer than
     what they are about, so those are also weighed against the other text.
     """
     if not any(page.named):
-        return np.ones(len(page.blocks))
+        return np.ones(len(page.blocks)), np.zeros(len(page.blocks), np.int64)
     plain = np.array([max(len(b.text) - b.linked, 0) for b in page.blocks], float)
 
     def below(named: list[str]) -> np.ndarray:
@@ -262,11 +262,14 @@ def name_weights(page: Page) -> np.ndarray:
             beside = clear[0]
         if beside < 0.1 * held[k]:
             named[k] = ""
-    return below(named)[of]
+    outer = np.zeros(len(named), np.int64)
+    for k in range(1, len(named)):
+        outer[k] = outer[page.parents[k]] or (k if named[k] else 0)
+    return below(named)[of], outer[of]
 
 
-def path_scores(blocks: list[Block], paths: int) -> np.ndarray:
-    """Fused and smoothed ratio of each block's path.
+def path_scores(blocks: list[Block], paths: int, links_count: bool = True) -> np.ndarray:
+    """Fused and smoothed ratio of each block's path; links may count as text.
 
     Per path: characters and punctuation marks a block, and the share of text outside links.
     Their product, smoothed over neighbouring blocks in page order, is averaged per path again.
@@ -274,7 +277,7 @@ def path_scores(blocks: list[Block], paths: int) -> np.ndarray:
     of = np.array([b.path for b in blocks]) + 1  # the text outside all elements has path -1
     chars = np.array([len(b.text) for b in blocks], float)
     marks = np.array([len(PUNCTUATION.findall(b.text)) for b in blocks], float)
-    linked = np.minimum(np.array([b.linked for b in blocks], float), chars)
+    linked = np.minimum(np.array([b.linked for b in blocks], float), chars) * links_count
 
     def total(values: np.ndarray) -> np.ndarray:
         return np.bincount(of, values, minlength=paths + 1)
@@ -322,21 +325,26 @@ def main_blocks(source: str) -> list[str]:
         if not page.blocks:
             return []
     blocks = page.blocks
-    names = name_weights(page)
+    names, outer = name_weights(page)
     scores = path_scores(blocks, len(page.paths)) * names
     chars = np.array([len(b.text) for b in blocks], float)
     linked = np.array([b.linked for b in blocks], float) > LINKS * chars
     # The mean is of what no name speaks against, else of all.
     clear = chars * (names == 1)
     mean = np.average(scores, weights=clear if clear.any() else chars)
-    chosen = (scores >= SHARE * mean) & ~linked
+    chosen = (scores >= np.where(names < 1, 2, 1) * SHARE * mean) & ~linked
     if not chosen.any():
         chosen = ~linked if not linked.all() else ~chosen
     root = _content_root(page, np.where(chosen, chars * names, 0))
     inside = _inside(page, root)
     here = np.array([inside[b.element] for b in blocks])
-    # What a name calls surroundings has to score like content by itself.
-    linked |= ~chosen & (names < 1)
+    if page.tags[root] in ("article", "main"):
+        linked = _menus(page, here, linked, names, mean)
+    # What a name calls surroundings has to score like content, as a whole; more so without an
+    # element of the content's own.
+    least = (1 if page.tags[root] not in ("#root", "html", "body") else 2) * SHARE * mean
+    share = np.bincount(outer, scores * chars) >= least * np.bincount(outer, chars)
+    linked |= (names < 1) & ~share[outer]
     if page.tags[root] not in ("#root", "html", "body"):
         keep = here & ~linked
     else:
@@ -353,6 +361,21 @@ def main_blocks(source: str) -> list[str]:
     return [b.text for b, k in zip(blocks, keep) if k]
 
 
+def _menus(page: Page, inside: np.ndarray, linked: np.ndarray, names: np.ndarray, mean: float) -> np.ndarray:
+    """Linked blocks of the article that are menus: on a path of several, all of them short.
+
+    A title, a paragraph or a reference that is one link is text of the article. What a name calls
+    surroundings needs no second block.
+    """
+    of = np.array([b.path for b in page.blocks]) + 1
+    count = np.bincount(of, inside, len(page.paths) + 1)
+    links = np.bincount(of, inside & linked, len(page.paths) + 1)
+    whole = (links == count)[of] & ((count > 1)[of] | (names < 1))
+    low = path_scores(page.blocks, len(page.paths), False) * names < SHARE * mean
+    headings = np.array([b.heading for b in page.blocks])
+    return linked & whole & low & ~headings
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = Rows(TEXTS)
     for batch in batches:

@@ -96,3 +96,24 @@ def test_longer_comments_do_not_take_the_place_of_the_article():
     assert main_blocks(f"<article><p>{LONG}</p><p>{LONG}</p></article>{comments}") == [LONG, LONG]
     assert main_blocks(f'<div class="post"><p>{LONG}</p><p>{LONG}</p></div>{comments}') == [LONG, LONG]
     assert main_blocks(f"<article><p>{LONG}</p><p>{LONG}</p>{comments}</article>") == [LONG, LONG]
+
+
+def test_links_inside_the_article_are_text():
+    refs = [f"Author {k}, B.; Other, C. ({2000 + k}). A study of things, and more." for k in range(4)]
+    items = "".join(f"<li><a href=r{k}>{r}</a></li>" for k, r in enumerate(refs))
+    menu = "".join(f"<li class=t><a href=t{k}>Tag {k}</a></li>" for k in range(4))
+    page = f'<article><h1><a href=/p>Title</a></h1><p>{LONG}</p><p><a href=x>One link.</a></p><p>{LONG}</p>'
+    page += f'<p class="more"><a href=y>Read on</a></p><ol>{items}</ol><ul class="list">{menu}</ul></article>'
+    want = ["Title", LONG, "One link.", LONG, "Read on", *refs]
+    assert main_blocks(page) == want
+    assert main_blocks(page.replace("article>", "main>")) == want
+    # A section with a listed name keeps its heading and its short paragraph, or goes as a whole.
+    page = f'<article><p>{LONG}</p>%s<p>{LONG}</p></article>'
+    section = f'<section id="social-policy"><h2>Policy</h2><p>{LONG}</p><p>Short.</p></section>'
+    assert main_blocks(page % section) == [LONG, "Policy", LONG, "Short.", LONG]
+    assert main_blocks(page % '<div class="share"><h4>Share</h4><a href=x>Mail</a></div>') == [LONG, LONG]
+
+
+def test_adverts_between_paragraphs_of_the_body():
+    ad = "<div class=ad><p>Buy this, now! Cheap and good.</p></div>"
+    assert main_blocks(f"<body><h1>T</h1><p>{LONG}<p>{LONG}{ad}<p>{LONG}{ad}<div>x</div></body>") == ["T", LONG, LONG, LONG]
