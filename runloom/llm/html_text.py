@@ -75,6 +75,10 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡\"“”«»()]")
 SMOOTH = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
 # A path is content if its fused ratio reaches this share of the page's mean by characters.
 SHARE = 0.2
+# Inside the content's element a path is only surroundings below this share.
+INSIDE = 0.1
+# Items, cells, captions and code are short by nature: what is in them does not have to score.
+SHORT = frozenset("li dt dd td th caption figcaption pre blockquote".split())
 # Blocks with more link text than this share are lists of links.
 LINKS = 0.6
 
@@ -92,7 +96,7 @@ class Page:
 
     def __init__(self, source: str, forms_out: bool):
         self.forms_out = forms_out
-        self.parents, self.tags, self.named = [-1], ["#root"], [""]
+        self.parents, self.tags, self.named, self.marked = [-1], ["#root"], [""], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
         # Open elements: tag, element, path, why the element is left out.
@@ -170,6 +174,7 @@ class Page:
         self.parents.append(parent)
         self.tags.append(tag if names.get("role") != "main" else "main")
         self.named.append(named)
+        self.marked.append(bool(names.get("class") or names.get("id")))
         if len(self.stack) > DEPTH:
             self.stack.pop()
         self.stack.append((tag, len(self.parents) - 1, path, why or own))
@@ -338,13 +343,15 @@ def main_blocks(source: str) -> list[str]:
     root = _content_root(page, np.where(chosen, chars * names, 0))
     inside = _inside(page, root)
     here = np.array([inside[b.element] for b in blocks])
+    links, texts = linked, path_scores(blocks, len(page.paths), False) * names
     if page.tags[root] in ("article", "main"):
-        linked = _menus(page, here, linked, names, mean)
+        linked = _menus(page, here, linked, names, texts < SHARE * mean)
     # What a name calls surroundings has to score like content, as a whole; more so without an
     # element of the content's own.
     least = (1 if page.tags[root] not in ("#root", "html", "body") else 2) * SHARE * mean
     share = np.bincount(outer, scores * chars) >= least * np.bincount(outer, chars)
-    linked |= (names < 1) & ~share[outer]
+    linked = linked | (names < 1) & ~share[outer]
+    linked |= here & ~links & _surroundings(page, root, chosen, texts < INSIDE * mean)
     if page.tags[root] not in ("#root", "html", "body"):
         keep = here & ~linked
     else:
@@ -361,7 +368,25 @@ def main_blocks(source: str) -> list[str]:
     return [b.text for b, k in zip(blocks, keep) if k]
 
 
-def _menus(page: Page, inside: np.ndarray, linked: np.ndarray, names: np.ndarray, mean: float) -> np.ndarray:
+def _surroundings(page: Page, root: int, chosen: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Blocks of the root on a path that scores too low.
+
+    The page sets such a path apart by a class or an id below the root. Plain elements, headings,
+    items and cells stay, and so does a plain element beside content, however short.
+    """
+    apart = np.zeros(len(page.parents), bool)
+    for k in range(root + 1, len(apart)):
+        apart[k] = page.marked[k] or apart[page.parents[k]]
+    of = np.array([b.element for b in page.blocks])
+    parents, marked = np.array(page.parents), np.array(page.marked)
+    beside = np.zeros(len(apart), bool)
+    beside[parents[of[chosen]]] = True
+    floor = np.array([b.heading or page.tags[b.element] in SHORT for b in page.blocks])
+    floor |= ~marked[of] & beside[parents[of]]
+    return apart[of] & ~floor & ~chosen & low
+
+
+def _menus(page: Page, inside: np.ndarray, linked: np.ndarray, names: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Linked blocks of the article that are menus: on a path of several, all of them short.
 
     A title, a paragraph or a reference that is one link is text of the article. What a name calls
@@ -371,7 +396,6 @@ def _menus(page: Page, inside: np.ndarray, linked: np.ndarray, names: np.ndarray
     count = np.bincount(of, inside, len(page.paths) + 1)
     links = np.bincount(of, inside & linked, len(page.paths) + 1)
     whole = (links == count)[of] & ((count > 1)[of] | (names < 1))
-    low = path_scores(page.blocks, len(page.paths), False) * names < SHARE * mean
     headings = np.array([b.heading for b in page.blocks])
     return linked & whole & low & ~headings
 
@@ -393,9 +417,11 @@ def main_text(
     Scripts, styles and what is marked as surroundings of an article by its element or role (menus,
     page headers, footers, asides, forms) take no part. A class or id that names surroundings (a
     sidebar, an advert, reader comments) lowers the score of what is below it, unless that is most
-    of the page's text. For the blocks, characters and punctuation are summed per root-to-leaf tag path; the fused and
-    smoothed ratio of the path decides whether its blocks are content, and content decides which
-    element is the article. Character references are decoded, white space in a block becomes one
+    of the page's text. For the blocks, characters and punctuation are summed per root-to-leaf tag
+    path; the fused and smoothed ratio of the path decides whether its blocks are content, and
+    content decides which element is the article. In there, blocks on a path that a class or id
+    sets apart are left out if the ratio is low (a byline, a short note on the author); headings,
+    items, cells and plain elements stay, as do links unless they are a menu. Character references are decoded, white space in a block becomes one
     space. A null, empty or text-free page has the text ``''``. Each row is handled alone, so
     repeated rows and null ids stay as they are; other columns are not read.
     """

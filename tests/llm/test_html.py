@@ -117,3 +117,11 @@ def test_links_inside_the_article_are_text():
 def test_adverts_between_paragraphs_of_the_body():
     ad = "<div class=ad><p>Buy this, now! Cheap and good.</p></div>"
     assert main_blocks(f"<body><h1>T</h1><p>{LONG}<p>{LONG}{ad}<p>{LONG}{ad}<div>x</div></body>") == ["T", LONG, LONG, LONG]
+
+
+def test_low_paths_are_left_out_of_the_article():
+    body = " ".join([LONG] * 4)
+    page = f'<article><h1 class=t>Title</h1><p class="meta">By Jane</p><p>{body}</p><p class="lead">A lead, in one line.</p>'
+    page += f'<p>Short.</p><p>{body}</p><ul class=u><li class=i>one</ul><div class="author-bio">Jane writes</div>'
+    page += '<div class="teaser"><p>Other story</p></div></article>'
+    assert main_blocks(page) == ["Title", body, "A lead, in one line.", "Short.", body, "one"]
