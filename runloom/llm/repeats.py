@@ -15,9 +15,9 @@ symbols apart; its *piece* is the text that its windows cover.
    the rest: a function given by the operator returns the least document of every window.
 4. Documents meet their spans.
 
-An anchor in very many chunks is *hot*: the contexts around its passage could fill a shard, so its
-runs travel as single windows, by the hash of the window; equal ones are joined on the way like
-pieces. All this is exact: hashes only decide where things meet.
+An anchor with very many runs is *hot*: the contexts around its passage could fill a shard, so its
+pieces travel as single windows, by the hash of the window; equal pieces and equal windows are
+joined before. All this is exact: hashes only decide where things meet.
 """
 
 from __future__ import annotations
@@ -37,7 +37,10 @@ from runloom.llm.common import durable, partitions, utf8
 CHUNK = 1 << 22
 STRETCH = 1 << 17
 POSITION_BITS = 24
-# An anchor is hot if it lies in so many chunks and in so large a share of them.
+# An anchor is hot with so many runs, whatever the size of the input: with shorter pieces than two
+# windows this bounds what one anchor brings to a shard.
+HOT_RUNS = 1 << 12
+# It is also hot if it lies in so many chunks and in so large a share of them.
 HOT_CHUNKS = 1024
 HOT_SHARE = 0.01
 
@@ -258,13 +261,14 @@ def _find_anchors(unit: Unit, buckets: int, groups: int) -> Callable:
             own = doc[runs.part]
             known, witness = _several(runs.key, own)
             asks, rows = ~known, []
-            witness = witness[known[witness]]
+            witness = witness[known[witness]]  # by key, like the numbers of runs
+            times = np.unique(runs.key[known], return_counts=True)[1]
             for place, at in slices(bucket[asks]):
                 at = np.flatnonzero(asks)[at]
                 rows.append((place, "ask", _ask(runs, at, doc, version, start, tail)))
             for place, at in slices(bucket[witness]):
-                at = witness[at]
-                rows.append((place, "seen", pack(own[at], tail[at])))
+                number, at = times[at], witness[at]
+                rows.append((place, "seen", pack(own[at], tail[at], number)))
             at = np.flatnonzero(known)
             rows += _hits(own[at], version[runs.part][at], start[at], runs.count[at],
                           runs.offset[at], bucket[at], tail[at], groups)
@@ -290,7 +294,7 @@ def _hits(doc, version, start, count, offset, bucket, tail, groups: int) -> list
     return rows
 
 
-def _answer(groups: int, hot_chunks: int) -> Callable:
+def _answer(groups: int, hot_chunks: int, hot_runs: int) -> Callable:
     """What one bucket knows: anchors in several documents, and the hot ones among them."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -302,8 +306,8 @@ def _answer(groups: int, hot_chunks: int) -> Callable:
                 seen.append(unpack(blob))
             else:
                 asks.append(unpack(blob))
-        doc = [a[0][a[2]] for a in asks] + [d for d, _ in seen]
-        tail = [a[6] for a in asks] + [t for _, t in seen]
+        doc = [a[0][a[2]] for a in asks] + [d for d, *_ in seen]
+        tail = [a[6] for a in asks] + [t for _, t, _ in seen]
         if doc:
             doc, tail = np.concatenate(doc), np.concatenate(tail)
             # A witness stands for several documents: it is enough to know of one other.
@@ -321,12 +325,17 @@ def _answer(groups: int, hot_chunks: int) -> Callable:
                               tail[at], groups)
             chunk = np.repeat(
                 np.arange(len(asks) + len(seen)),
-                [len(a[2]) for a in asks] + [len(t) for _, t in seen],
+                [len(a[2]) for a in asks] + [len(t) for _, t, _ in seen],
             )
             pairs = np.unique(tail.astype(np.int64) << 31 | chunk) >> 31
             values, counts = np.unique(pairs, return_counts=True)
             least = max(hot_chunks, HOT_SHARE * max(len(asks), len(seen)))
-            for value in values[counts >= least]:
+            times = np.concatenate([np.ones(asked, np.int64), *(n for *_, n in seen)])
+            _, of = np.unique(tail, return_inverse=True)
+            runs = np.bincount(of, times)
+            hot = (counts >= least) | (runs >= hot_runs)
+            hot &= np.isin(values, tail[shared])
+            for value in values[hot]:
                 rows.append((table.column(0)[0].as_py(), "hot", int(value).to_bytes(8, "little")))
         return pa.Table.from_batches([_routed(rows)])
 
@@ -384,8 +393,6 @@ def _spans(doc, version, start, end, groups: int) -> list[tuple]:
 
 def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]]) -> Callable:
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        import xxhash
-
         if not len(docs) or not len(hits):
             return pa.Table.from_batches([_routed([])])
         found = [unpack(b) for b in hits.column("blob").to_pylist()]
@@ -405,7 +412,7 @@ def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]])
         source: list[tuple[int, int, int, int]] = []  # shard, tail, windows, offset of each
         piece_of: list[int] = []
         places: list[np.ndarray] = []  # of each document: its hits, in the order of piece_of
-        loose: list[tuple[int, int, int, int]] = []  # piece, document, version, start
+        hot_piece: list[bool] = []
         zipped_texts = _unzip(docs.column("text").to_pylist())
         ids, versions = docs.column("doc_id").to_pylist(), docs.column("version").to_pylist()
         for doc_id, own, text in zip(ids, versions, zipped_texts):
@@ -413,15 +420,6 @@ def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]])
             if at is None:
                 continue
             symbols = unit.split(text)
-            for k in at[is_hot[at]].tolist():
-                for i in range(int(start[k]), int(start[k]) + int(count[k])):
-                    window = unit.join(symbols[i : i + unit.width])
-                    number = first.setdefault(window, len(source))
-                    if number == len(source):
-                        code = xxhash.xxh3_64_intdigest(window)
-                        source.append(((code >> 32) % shards, code & 0xFFFFFFFF, 1, 0))
-                    loose.append((number, doc_id, own, i))
-            at = at[~is_hot[at]]
             places.append(at)
             begin = start[at]
             stop = begin + count[at] + (unit.width - 1)
@@ -430,16 +428,13 @@ def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]])
                 number = first.setdefault(piece, len(source))
                 if number == len(source):
                     source.append((int(bucket[k]), int(tail[k]), int(count[k]), int(offset[k])))
+                    hot_piece.append(bool(is_hot[k]))
                 piece_of.append(number)
         rows: list[tuple] = []
         if source:
             at = np.concatenate(places) if places else np.empty(0, np.int64)
             where = np.column_stack([doc[at], version[at], start[at]]).astype(np.int64)
             piece = np.array(piece_of, np.int64)
-            if loose:
-                extra = np.array(loose, np.int64)
-                piece = np.concatenate([piece, extra[:, 0]])
-                where = np.concatenate([where, extra[:, 1:]])
             about = np.array(source, np.int64)
             least = np.full(len(source), np.iinfo(np.int64).max)
             np.minimum.at(least, piece, where[:, 0])
@@ -448,22 +443,73 @@ def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]])
                 end = where[later, 2] + about[piece[later], 2] + unit.width - 1
                 rows += _spans(*where[later].T, end, groups)
             piece, where, texts = piece[~later], where[~later], list(first)
-            for place, at in slices(about[piece, 0]):
-                own, of = np.unique(piece[at], return_inverse=True)
-                blob = pack(
-                    [texts[k] for k in own.tolist()],
-                    about[own, 1].astype(np.uint32),
-                    about[own, 2].astype(np.uint8),
-                    about[own, 3].astype(np.uint8),
-                    of.astype(np.uint32),
-                    where[at],
+            loose = np.array(hot_piece)[piece]
+            rows += _sent(texts, about, piece[~loose], where[~loose])
+            if loose.any():
+                windows, about, piece, where = _as_windows(
+                    unit, shards, texts, about[:, 2], piece[loose], where[loose]
                 )
-                rows.append((place, "piece", blob))
+                least = np.full(len(windows), np.iinfo(np.int64).max)
+                np.minimum.at(least, piece, where[:, 0])
+                later = where[:, 0] > least[piece]
+                if later.any():
+                    rows += _spans(*_joined(where[later], unit.width).T, groups)
+                rows += _sent(windows, about, piece[~later], where[~later])
         return pa.Table.from_batches([_routed(rows)])
 
     return run
 
 
+def _sent(texts: list[bytes], about: np.ndarray, piece: np.ndarray, where: np.ndarray) -> list[tuple]:
+    """Pieces by shard, each text once, with the places where they are."""
+    rows = []
+    for place, at in slices(about[piece, 0]):
+        own, of = np.unique(piece[at], return_inverse=True)
+        blob = pack(
+            [texts[k] for k in own.tolist()],
+            about[own, 1].astype(np.uint32),
+            about[own, 2].astype(np.uint8),
+            about[own, 3].astype(np.uint8),
+            of.astype(np.uint32),
+            where[at],
+        )
+        rows.append((place, "piece", blob))
+    return rows
+
+
+def _as_windows(unit: Unit, shards: int, texts: list[bytes], counts, piece, where):
+    """Pieces cut into windows: their texts, what is to know of each, and each one's places."""
+    import xxhash
+
+    first: dict[bytes, int] = {}
+    own, of = np.unique(piece, return_inverse=True)
+    numbers = []
+    for k in own.tolist():
+        symbols = unit.split(texts[k])
+        for i in range(int(counts[k])):
+            numbers.append(first.setdefault(unit.join(symbols[i : i + unit.width]), len(first)))
+    codes = np.array([xxhash.xxh3_64_intdigest(window) for window in first], U64)
+    about = np.ones((len(first), 4), np.int64)
+    about[:, 0] = (codes >> U64(32)) % U64(shards)
+    about[:, 1] = codes & TAIL
+    about[:, 3] = 0
+    times = counts[own]
+    starts = (np.cumsum(times) - times)[of]
+    row = np.repeat(np.arange(len(piece)), times[of])
+    inside = np.arange(len(row)) - np.repeat(np.cumsum(times[of]) - times[of], times[of])
+    where = where[row]
+    where[:, 2] += inside
+    return list(first), about, np.array(numbers, np.int64)[starts[row] + inside], where
+
+
+def _joined(where: np.ndarray, width: int) -> np.ndarray:
+    """Windows that start one after the other, as (document, version, start, end) of each stretch."""
+    where = where[np.lexsort(where.T[::-1])]
+    cut = np.flatnonzero(np.any(np.diff(where, axis=0) != [0, 0, 1], axis=1)) + 1
+    begin, last = np.append(0, cut), np.append(cut, len(where)) - 1
+    return np.column_stack([where[begin], where[last, 2] + width])
+
+
 # --- shards -----------------------------------------------------------------
 
 # (pieces as sequences of symbols, least document of each piece, unit) -> least document of
@@ -628,6 +674,7 @@ def remove_repeats(
     doc_id: str = "doc_id",
     text: str = "text",
     hot_chunks: int = HOT_CHUNKS,
+    hot_runs: int = HOT_RUNS,
 ) -> DataFrame:
     """(doc_id, version, n, n_removed, n_spans, kept) of every row.
 
@@ -647,8 +694,8 @@ def remove_repeats(
     asked = slim.where("doc_id IS NOT NULL").mapInArrow(
         _find_anchors(unit, places, places), ROUTED_DDL
     )
-    answers = durable(asked.groupBy("place").applyInArrow(_answer(places, hot_chunks), ROUTED_DDL), "kind")
-    # An anchor is hot only if a set share of the chunks have it, so their number is bounded.
+    answers = durable(asked.groupBy("place").applyInArrow(_answer(places, hot_chunks, hot_runs), ROUTED_DDL), "kind")
+    # One number for thousands of runs: these are far fewer than the runs' own blobs.
     hot = {
         (row["place"], int.from_bytes(row["blob"], "little"))
         for row in answers.where("kind = 'hot'").collect()

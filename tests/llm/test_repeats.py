@@ -139,3 +139,39 @@ def test_runs_give_every_window_its_anchor(monkeypatch):
                     _, place = min((int(hashes[j]) >> repeats.POSITION_BITS, j) for j in places)
                     want[number, at] = (int(hashes[place]), place)
         assert got == want
+
+
+@pytest.mark.parametrize("by_words,operator", OPERATORS)
+def test_anchors_hot_by_their_runs(spark, by_words, operator):
+    for hot_runs in (2, 5):
+        assert check(spark, mixed(by_words, 5), by_words, operator, hot_runs=hot_runs) > 1000
+
+
+@pytest.mark.parametrize("by_words", [True, False])
+def test_a_passage_of_many_documents_does_not_fill_a_shard(by_words):
+    """One chunk of input: each shard gets few symbols besides single windows."""
+    import pyarrow as pa
+
+    unit, passage = Unit(by_words, 50, 8), text(60, 9)
+    docs = [(k, 0, f"{text(20, 10 * k)} {passage} {text(20, 10 * k + 1)}") for k in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs)], names=["doc_id", "version", "text"])
+
+    def table(rows, *kinds):
+        return pa.Table.from_batches([repeats._routed([r for r in rows if r[1] in kinds])])
+
+    def rows_of(found):
+        return list(zip(*(c.to_pylist() for c in found.columns)))
+
+    asked = [r for b in repeats._find_anchors(unit, 1, 1)(iter([batch])) for r in rows_of(b)]
+    said = rows_of(repeats._answer(1, repeats.HOT_CHUNKS, repeats.HOT_RUNS)(table(asked, "ask", "seen", "hit")))
+    hot = {(place, int.from_bytes(blob, "little")) for place, kind, blob in said if kind == "hot"}
+    assert hot
+    texts = pa.Table.from_batches(list(repeats._zip_texts(1)(iter([batch]))))
+    cut = rows_of(repeats._cut_pieces(unit, 1, 1, hot)(texts, table(said, "hit").select(["place", "blob"])))
+    by_tail: dict = {}
+    for _, kind, blob in cut:
+        if kind == "piece":
+            own, tails, *_ = repeats.unpack(blob)
+            for tail in tails.tolist():
+                by_tail[tail] = by_tail.get(tail, 0) + 1
+    assert max(by_tail.values()) < repeats.HOT_RUNS
