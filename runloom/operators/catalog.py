@@ -92,6 +92,14 @@ def _looked_up(models: Sequence[Model]) -> Column:
     )
 
 
+def is_run_of(models: Sequence[Model], temperature: float) -> Column:
+    """Whether a row's provider, model and temperature are those of a run that ``runs_of`` makes."""
+    return F.expr(
+        f"exists({_literals(models)}, m -> m.llm_provider = llm_provider and m.llm_model = llm_model"
+        f" and coalesce(m.fixed_temperature, cast({float(temperature)!r} as double)) = temperature)"
+    )
+
+
 def documents_to_run(corpus: DataFrame) -> DataFrame:
     """(srs_id, original_srs_text) of the documents that are not blank."""
     return corpus.where(~is_blank(F.col("srs_content"))).select(

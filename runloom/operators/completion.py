@@ -33,32 +33,43 @@ def _temperature() -> Column:
     return (F.col("temperature") + F.lit(0.0)).cast("string")
 
 
-def gather_recorded(responses: DataFrame, *by: str) -> DataFrame:
+def gather_recorded(responses: DataFrame, asked: list[str], *by: str, fits: Column | None = None) -> DataFrame:
     """(by..., _said): the recorded answers of a document or a run as one list.
 
-    As long as what was asked about it, so the answers move once and are not compared.
+    Of the answers to one request only the newest by ``recorded_at`` is gathered, reduced before it
+    moves; without that column, or among equally new ones that differ, it is an error text. What
+    was not asked, or is not of a run that ``fits``, is left out first, so the list has at most one
+    answer for each run and request, however often it was recorded.
     """
     when = F.col("recorded_at") if "recorded_at" in responses.columns else F.lit(None)
+    at = F.unix_micros(when.cast("timestamp"))
+    digest = F.unhex(F.sha2(F.col("response"), 256))
+    rows = responses.withColumns(
+        {"_temperature": _temperature(), "request": F.concat_ws("_", "stage", "flow")}
+    ).where(F.col("response").isNotNull() & F.col("srs_id").isNotNull() & F.col("request").isin(asked))
+    if fits is not None:
+        rows = rows.where(fits)
+    # A missing time is older than any other.
+    up, down = F.coalesce(at, F.lit(-(1 << 63))), F.coalesce(-at, F.lit((1 << 63) - 1))
+    key = dict.fromkeys([*by, "llm_provider", "llm_model", "_temperature", "request"])
+    newest = rows.groupBy(*key).agg(
+        F.max(F.struct(up.alias("at"), F.col("response").alias("response"))).alias("_newest"),
+        F.max(F.struct(up.alias("at"), digest.alias("digest"))).alias("_most"),
+        F.min(F.struct(down.alias("at"), digest.alias("digest"))).alias("_least"),
+    )
+    several = F.col("_most.digest") != F.col("_least.digest")
     said = F.struct(
         "llm_provider",
         "llm_model",
-        _temperature().alias("temperature"),
-        F.concat_ws("_", "stage", "flow").alias("request"),
-        when.cast("timestamp").alias("recorded_at"),
-        "response",
-    )
-    rows = responses.where(F.col("response").isNotNull())
-    return rows.withColumn("_temperature", _temperature()).groupBy(*by).agg(
-        F.collect_list(said).alias("_said")
+        F.col("_temperature").alias("temperature"),
+        "request",
+        F.when(several, SEVERAL).otherwise(F.col("_newest.response")).alias("response"),
     )
+    return newest.groupBy(*by).agg(F.collect_list(said).alias("_said"))
 
 
 def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:
-    """Runs with ``_said`` to runs with a ``reply_{stage}_{flow}`` column for each request.
-
-    Of several answers to one request the newest by ``recorded_at`` counts; without that column,
-    or among equally new ones that differ, the reply is an error text.
-    """
+    """Runs with ``_said`` to runs with a ``reply_{stage}_{flow}`` column for each request."""
 
     def reply(name: str) -> Column:
         fits = F.filter(
@@ -68,13 +79,7 @@ def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:
             & (r["llm_model"] == F.col("llm_model"))
             & (r["temperature"] == _temperature()),
         )
-        newest = F.array_max(F.transform(fits, lambda r: r["recorded_at"]))
-        last = F.array_distinct(
-            F.transform(
-                F.filter(fits, lambda r: r["recorded_at"].eqNullSafe(newest)), lambda r: r["response"]
-            )
-        )
-        return F.when(F.size(last) > 1, SEVERAL).otherwise(F.get(last, F.lit(0)))
+        return F.get(fits, F.lit(0))["response"]
 
     replies = [reply(name).alias(f"reply_{name}") for name in asked]
     return runs.select(*[name for name in runs.columns if name != "_said"], *replies)
@@ -83,7 +88,7 @@ def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:
 def attach_recorded(runs: DataFrame, responses: DataFrame, asked: list[str]) -> DataFrame:
     """Add ``reply_{stage}_{flow}`` from recorded (run key, stage, flow, response): one join."""
     key = [*[name for name in RUN_KEY if name != "temperature"], "_temperature"]
-    said = gather_recorded(responses, *key)
+    said = gather_recorded(responses, asked, *key)
     joined = runs.withColumn("_temperature", _temperature()).join(said, key, "left")
     return read_recorded(joined.drop("_temperature"), asked)
 

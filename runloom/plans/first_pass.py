@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from runloom.functions import prompts
 from runloom.functions.text import is_blank
-from runloom.operators.catalog import DEFAULT_MODELS, Model, documents_to_run, fan_out, runs_of
+from runloom.operators.catalog import DEFAULT_MODELS, Model, documents_to_run, fan_out, is_run_of, runs_of
 from runloom.operators.completion import gather_recorded, read_recorded
 from runloom.operators.corpus import select_for_batch
 from runloom.plans.stages import (
@@ -75,7 +75,8 @@ def first_pass_recorded(
     once, however long the catalogue.
     """
     documents = documents_to_run(corpus)
-    said = documents.join(gather_recorded(responses, "srs_id"), "srs_id", "left")
+    fits = is_run_of(models, temperature)
+    said = documents.join(gather_recorded(responses, ASKED, "srs_id", fits=fits), "srs_id", "left")
     return first_pass(read_recorded(runs_of(said, models, temperature), ASKED))
 
 

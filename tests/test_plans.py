@@ -223,3 +223,20 @@ def test_single_flow_rows_fill_only_their_columns(spark):
     row = one(single_flow.render_only(images, "orig"))
     assert row.event_type == "GENERATE_UML_ORIG"
     assert filled(row) == {"event_type", "plantuml_script_orig_srs", "uml_image_data_orig_srs"}
+
+
+def test_recorded_answers_are_reduced_before_they_are_gathered(spark):
+    from runloom.operators.completion import gather_recorded
+    from runloom.operators.catalog import is_run_of
+
+    model = MODELS[0]
+    row = ("s", model.provider, model.model, 0.5, "distil", "orig")
+    rows = [(*row, f"answer {k}", f"2024-01-01 00:{k:02d}:00") for k in range(50)]
+    rows += [("s", "nobody", "nothing", 0.5, "distil", "orig", "x", None)]
+    rows += [(*row[:3], 0.75, *row[4:], "x", None), (*row[:4], "other", "orig", "x", None), (*row, "old", None)]
+    responses = spark.createDataFrame(rows, RESPONSES + ", recorded_at string")
+    said = one(gather_recorded(responses, first_pass.ASKED, "srs_id", fits=is_run_of([model], 0.5)))["_said"]
+    assert [r["response"] for r in said] == ["answer 49"]
+    equal = spark.createDataFrame([(*row, "a"), (*row, "b")], RESPONSES)
+    said = one(gather_recorded(equal, first_pass.ASKED, "srs_id"))["_said"]
+    assert [r["response"] for r in said] == ["[Error] more than one recorded answer"]
