@@ -39,7 +39,7 @@ STRETCH = 1 << 17
 POSITION_BITS = 24
 # An anchor is hot with so many runs, whatever the size of the input: with shorter pieces than two
 # windows this bounds what one anchor brings to a shard.
-HOT_RUNS = 1 << 12
+HOT_RUNS = 1 << 15
 # It is also hot if it lies in so many chunks and in so large a share of them.
 HOT_CHUNKS = 1024
 HOT_SHARE = 0.01

@@ -163,7 +163,7 @@ def test_a_passage_of_many_documents_does_not_fill_a_shard(by_words):
         return list(zip(*(c.to_pylist() for c in found.columns)))
 
     asked = [r for b in repeats._find_anchors(unit, 1, 1)(iter([batch])) for r in rows_of(b)]
-    said = rows_of(repeats._answer(1, repeats.HOT_CHUNKS, repeats.HOT_RUNS)(table(asked, "ask", "seen", "hit")))
+    said = rows_of(repeats._answer(1, repeats.HOT_CHUNKS, 1 << 12)(table(asked, "ask", "seen", "hit")))
     hot = {(place, int.from_bytes(blob, "little")) for place, kind, blob in said if kind == "hot"}
     assert hot
     texts = pa.Table.from_batches(list(repeats._zip_texts(1)(iter([batch]))))
@@ -174,4 +174,4 @@ def test_a_passage_of_many_documents_does_not_fill_a_shard(by_words):
             own, tails, *_ = repeats.unpack(blob)
             for tail in tails.tolist():
                 by_tail[tail] = by_tail.get(tail, 0) + 1
-    assert max(by_tail.values()) < repeats.HOT_RUNS
+    assert max(by_tail.values()) < 1 << 12
