@@ -101,3 +101,96 @@ SELECT t.doc_id,
 FROM texts t LEFT JOIN edges m ON m.doc_id = t.doc_id
 GROUP BY t.doc_id, t.digits
 """
+
+
+def _edited(value: str, cost: int | str, letter: str) -> str:
+    """Edits as text that orders like (cost, audit), with one more edit."""
+    return f"lpad(CAST(CAST(left({value}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({value}, 10) || '{letter}'"
+
+
+# Edits up to a row by the state they lead to: nothing yet, system, user, assistant. After a row first
+# what keeps, renames or deletes it, then insertions.
+_CUT = "CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END"
+_STAYS = "fault NOT IN ('blank', 'duplicate')"
+
+
+def _row(before: dict[str, str], after: str) -> str:
+    options = [_edited(f"s.{after}", 3, "D")]
+    for state, role in before.items():
+        kept = _edited(f"s.{state}", f"({_CUT})", "K")
+        options.append(f"CASE WHEN {_STAYS} AND initial = '{role}' THEN {kept} END")
+        if role != "s":
+            renamed = _edited(f"s.{state}", f"(2 + {_CUT})", "R")
+            options.append(f"CASE WHEN {_STAYS} THEN {renamed} END")
+    return f"least({', '.join(options)}) AS {after}"
+
+
+SQL["op13_repair"] = rf"""
+WITH RECURSIVE given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+            || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS codes
+    FROM conversations
+), checked AS (
+    SELECT *, xor(list_reduce([4294967295] || codes, lambda crc, code: list_reduce([xor(crc, code)] || range(8),
+        lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20 AS damage
+    FROM given
+), hurt AS (
+    SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role,
+        CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+    FROM checked, LATERAL (SELECT unnest(range(CASE damage WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy)
+), numbered AS (
+    SELECT *, left(role, 1) AS initial,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ending
+    FROM hurt
+), rows AS (
+    SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier,
+        CASE WHEN ending = '' THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+            WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+    FROM numbered
+), counted AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+        count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+        count(*) FILTER (WHERE earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM rows GROUP BY conv_id
+), spent(conv_id, i, n0, ns, nu, na) AS (
+    SELECT conv_id, 0, '000000000', CAST(NULL AS VARCHAR), '000000002I', '000000004II' FROM counted
+    UNION ALL
+    SELECT conv_id, i, n0, ns,
+        least(nu, {_edited('n0', 2, 'I')}, {_edited('ns', 2, 'I')}, {_edited('na', 2, 'I')}) AS nu,
+        least(na, {_edited('nu', 2, 'I')}, {_edited('n0', 4, 'II')}, {_edited('ns', 4, 'II')}) AS na
+    FROM (
+        SELECT r.conv_id, r.i, {_row({}, 'n0')}, {_row({'n0': 's'}, 'ns')},
+            {_row({'n0': 'u', 'ns': 'u', 'na': 'u'}, 'nu')}, {_row({'nu': 'a'}, 'na')}
+        FROM spent s JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1
+    )
+), audits AS (
+    SELECT c.*, CAST(left(least(n0, na), 9) AS BIGINT) AS cost, substr(least(n0, na), 10) AS audit
+    FROM counted c JOIN spent s ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n
+), letters AS (
+    SELECT conv_id, k, substr(audit, k, 1) AS edit, k - length(replace(left(audit, k), 'I', '')) AS inserted,
+        length(replace(left(audit, k), 'D', '')) AS place
+    FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS k FROM audits)
+), placed AS (
+    SELECT l.*, r.role, r.text,
+        coalesce(max(CASE WHEN place = 1 AND edit = 'K' AND r.initial = 's' THEN 1 END) OVER (PARTITION BY l.conv_id), 0)
+            AS system
+    FROM letters l LEFT JOIN rows r
+        ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.k - l.inserted AND l.edit <> 'I'
+    WHERE edit <> 'D'
+), lines AS (
+    SELECT conv_id, sha256(string_agg(
+        CASE WHEN edit = 'K' THEN role WHEN (place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS repaired_sha256
+    FROM placed GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+    coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
