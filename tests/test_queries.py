@@ -33,8 +33,8 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-STREAMS = {"stream_latest", "stream_responses", "stream_insert", "stream_unseen", "stream_unseen_within"}
-PYTHON = {"completion_map", "first_pass_completed", "batch_of_ids", "backfeed_completed"}
+STREAMS = {name for name in queries.registered() if name.startswith("stream_")}
+PYTHON = {"completion_map", "first_pass_completed", "batch_of_ids", "backfeed_completed", "backfeed_until_accepted"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.registered()) - STREAMS))

@@ -36,6 +36,10 @@ GROUPING = [
     "stream_responses",
     "stream_insert",
     "stream_unseen",
+    "latest_run_bucketed",
+    "latest_run_as_of",
+    "stream_running",
+    "stream_matched",
 ]
 
 

@@ -1,0 +1,144 @@
+"""Streams with state of their own: running texts, and requests that wait for replies."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+
+from runloom.operators.numbering import BLOCK
+from runloom.streaming import matching, running, sinks
+
+CHUNKS = "request_id long, seq long, chunk string, last boolean, seconds long"
+REQUESTS = "request_id long, stage string, seconds long"
+REPLIES = "request_id long, response string, seconds long"
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Every partition of a stream has a state store and a worker of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def arrivals(spark, folder, schema, parts, time):
+    """Each list of rows as one file and one micro-batch; the last column becomes a time."""
+    for rows in parts:
+        df = spark.createDataFrame(rows, schema)
+        df.selectExpr(*df.columns[:-1], f"timestamp_seconds(1000000 + seconds) as {time}").coalesce(1).write.mode("append").parquet(folder)
+    stored = spark.read.parquet(folder).schema
+    return spark.readStream.schema(stored).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def written(spark, rows, tmp_path):
+    query = sinks.start(rows, "append", str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")).select(*rows.columns).collect(), query
+
+
+def read(spark, tmp_path, parts, **options):
+    stream = arrivals(spark, str(tmp_path / "in"), CHUNKS, parts, "at")
+    rows, query = written(spark, running.running(stream, "1 hour", **options), tmp_path)
+    found: dict = {}
+    for row in sorted(rows):
+        found.setdefault(row.request_id, []).append(tuple(row)[1:])
+    return found, query
+
+
+def texts(chunks, state="running"):
+    """(seq, end_at, digest, state) of every chunk, the last one done."""
+    out, text = [], ""
+    for seq, chunk in enumerate(chunks):
+        text += chunk
+        out.append((seq, len(text), hashlib.md5(text.encode()).hexdigest(), state))
+    return out
+
+
+def done(chunks):
+    return [*texts(chunks)[:-1], (*texts(chunks)[-1][:-1], "done")]
+
+
+def test_chunks_in_any_order_over_several_batches(spark, tmp_path):
+    parts = [
+        [(1, 2, "c", False, 0), (2, 0, "x" * 50, False, 0), (1, 4, None, True, 0), (3, 1, "never read", False, 0)],
+        [(1, 0, "é", False, 1), (2, 1, "y" * 50, False, 1), (1, 2, "other", False, 1), (None, 0, "no request", False, 1)],
+        [(1, 3, "d", False, 2), (1, 1, "b\n", False, 2), (2, 0, "again", False, 2), (2, 2, "", True, 2)],
+        [(1, 0, "after the end", False, 3), (1, 5, "after the end", False, 3)],
+    ]
+    found, _ = read(spark, tmp_path, parts, block_chars=16)
+    assert found == {1: done(["é", "b\n", "c", "d", ""]), 2: done(["x" * 50, "y" * 50, ""])}
+
+
+def test_a_long_reply_is_kept_in_blocks(spark, tmp_path):
+    draw = random.Random(4)
+    chunks = [draw.choice(["a", "", "ü\n", "word " * 9]) for _ in range(3 * BLOCK)]
+    rows = [(7, seq, chunk, seq == len(chunks) - 1, 0) for seq, chunk in enumerate(chunks)]
+    draw.shuffle(rows)
+    found, query = read(spark, tmp_path, [rows[::2], rows[1::2]], block_chars=100)
+    assert found == {7: done(chunks)}
+    # What is over leaves the cursor only.
+    (state,) = query.lastProgress["stateOperators"]
+    assert state["numRowsTotal"] <= 3
+
+
+def test_abandoned_requests_leave_no_state(spark, tmp_path):
+    parts = [
+        [(1, 0, "a", False, 0), (1, 2, "c", False, 0), (2, 0, "z", True, 0), (3, 0, "p", False, 9000)],
+        [(3, 1, "q", False, 9000), (4, 0, "clock", False, 30000)],
+        [(4, 1, "clock", False, 30001)],
+    ]
+    found, query = read(spark, tmp_path, parts, patience=600)
+    assert found[1] == [*texts(["a"]), (1, 1, texts(["a"])[0][2], "abandoned")]
+    assert found[2] == done(["z"])
+    assert found[3] == [*texts(["p", "q"]), (2, 2, texts(["p", "q"])[1][2], "abandoned")]
+    assert found[4] == texts(["clock", "clock"])
+    # Cursor and timer of the last request are left.
+    (state,) = query.lastProgress["stateOperators"]
+    assert state["numRowsTotal"] <= 4
+
+
+def test_lengths_alone_keep_no_text(spark, tmp_path):
+    found, _ = read(spark, tmp_path, [[(1, 1, "bc", True, 0)], [(1, 0, "a", False, 0)]], digests=False)
+    assert found == {1: [(0, 1, None, "running"), (1, 3, None, "done")]}
+
+
+def matched(spark, tmp_path, requests, replies, within="10 minutes", lateness="1 hour"):
+    asked = arrivals(spark, str(tmp_path / "asked"), REQUESTS, requests, "asked_at")
+    said = arrivals(spark, str(tmp_path / "said"), REPLIES, replies, "replied_at")
+    rows, query = written(spark, matching.match_streams(asked, said, within, lateness), tmp_path)
+    return {(r.request_id, r.response, r.response_status) for r in rows}, query
+
+
+def test_requests_meet_replies_or_stay_pending(spark, tmp_path):
+    clock = 100_000
+    requests = [
+        [(1, "generate", 0), (2, "generate", 0), (3, "distil", 0), (None, "distil", 0)],
+        [(4, "generate", 60), (5, "generate", 120)],
+        [(-1, "clock", clock)],
+    ]
+    replies = [
+        [(5, "early batch", 180), (9, "nobody asked", 0), (None, "no request", 0)],
+        [(1, "in time", 600), (2, "late", 601), (4, "[Error] busy", 61), (3, "before it was asked", -1)],
+        [(-2, "clock", clock)],
+    ]
+    found, query = matched(spark, tmp_path, requests, replies)
+    assert found == {
+        (1, "in time", "ok"), (2, None, "pending"), (3, None, "pending"), (4, "[Error] busy", "error"),
+        (5, "early batch", "ok"), (None, None, "pending"),
+    }
+
+
+def test_state_is_bounded_by_the_delay(spark, tmp_path):
+    requests = [[(100 * part + k, "s", 7200 * part + k) for k in range(50)] for part in range(5)]
+    replies = [[(100 * part + k, "r", 7200 * part + k + 5) for k in range(0, 50, 2)] for part in range(5)]
+    found, query = matched(spark, tmp_path, requests, replies)
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # A batch and the one before it at most, of five.
+    assert max(kept) <= 2 * 75 and len(found) >= 4 * 50
+    batch = matching.match_streams(
+        spark.read.parquet(str(tmp_path / "asked")), spark.read.parquet(str(tmp_path / "said")), "10 minutes", "", False
+    )
+    assert found <= {(r.request_id, r.response, r.response_status) for r in batch.collect()}

@@ -545,3 +545,68 @@ SQL["retrieval_compared"] = (
 SQL["stream_unseen_within"] = """SELECT DISTINCT CAST(user_id AS VARCHAR) AS srs_origin, event_type AS srs_title,
     CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS srs_content FROM events"""
 SQL["chunk_offsets_sparse"] = f"SELECT request_id, seq * 5000 + 17 AS seq, end_at FROM ({SQL['chunk_offsets']})"
+SQL["latest_run_bucketed"] = SQL["latest_run"]
+SQL["latest_run_as_of"] = f"""WITH {LOG}, asked AS (
+        SELECT event_id AS request_id, CASE WHEN value > 480 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS srs_id,
+            CASE WHEN (event_id + 1) % 5 < 3 THEN 'pA' ELSE 'pB' END AS llm_provider,
+            'm' || ((event_id + 1) % 5) AS llm_model,
+            CASE WHEN (event_id + 1) % 5 = 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS temperature, ts AS at
+        FROM events),
+    newest AS (SELECT {KEY}, created_at, max(id) AS id FROM run_log WHERE srs_id IS NOT NULL GROUP BY ALL)
+    SELECT a.request_id, a.srs_id, a.llm_provider, a.llm_model, a.temperature, n.id,
+        r.original_srs_text, r.similarity_score_orig_srs
+    FROM asked a ASOF LEFT JOIN newest n ON a.srs_id = n.srs_id AND a.llm_provider = n.llm_provider
+        AND a.llm_model = n.llm_model AND a.temperature = n.temperature AND a.at >= n.created_at
+    LEFT JOIN run_log r ON r.id = n.id"""
+
+_NEW = {
+    flow: f"""'@startuml' || {NL} || ''' ' || md5({fill(template, text=text, script=f'script_{flow}',
+        analysis=f'analysis_{flow}')}) || {NL} || '@enduml'"""
+    for flow, template, text in (("orig", REGENERATE_ORIG, "original_srs_text"), ("dist", REGENERATE_DIST, "distilled_srs_text"))
+}
+
+
+def _findings(check: str) -> str:
+    return f"""'discrepancies:' || {NL} || md5({check}) || {NL} || {NL} || 'missing_elements:' || {NL} || {NL}
+        || {NL} || 'additional_elements:' || {NL}"""
+
+
+SQL["backfeed_until_accepted"] = f"""{WORK.replace('WITH ', 'WITH RECURSIVE ', 1)},
+    rounds AS (
+        SELECT {KEY}, original_srs_text, distilled_srs_text, plantuml_script_orig_srs AS script_orig,
+            plantuml_script_dist_srs AS script_dist, similarity_descr_orig_srs AS analysis_orig,
+            similarity_descr_dist_srs AS analysis_dist, CAST(NULL AS DOUBLE) AS score_dist, run_count, 0 AS rounds,
+            coalesce({strip('original_srs_text')}, '') <> '' AND coalesce({strip('distilled_srs_text')}, '') <> '' AS told,
+            false AS accepted
+        FROM work
+        UNION ALL
+        SELECT {KEY}, original_srs_text, distilled_srs_text, script_orig, script_dist, {_findings('check_orig')},
+            {_findings('check_dist')}, CAST(length(check_dist) AS DOUBLE), run_count + 1, rounds + 1, told,
+            md5(check_orig) < '6'
+        FROM (
+            SELECT *, {fill(SIMILARITY, script='script_orig', text='original_srs_text')} AS check_orig,
+                {fill(SIMILARITY, script='script_dist', text='distilled_srs_text')} AS check_dist
+            FROM (SELECT * REPLACE ({_NEW['orig']} AS script_orig, {_NEW['dist']} AS script_dist) FROM rounds
+                WHERE told AND NOT accepted AND rounds < 5)))
+    SELECT {KEY}, rounds, CASE WHEN NOT told THEN 'no_text' WHEN accepted THEN 'accepted' ELSE 'open' END AS verdict,
+        run_count, CASE WHEN rounds > 0 THEN 'BACKFEED_IMPROVEMENT_' || (run_count - 1) END AS event_type,
+        script_orig AS plantuml_script_orig_srs, script_dist AS plantuml_script_dist_srs,
+        analysis_orig AS similarity_descr_orig_srs, score_dist AS similarity_score_dist_srs
+    FROM rounds QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY rounds DESC) = 1"""
+SQL["stream_running"] = """WITH shown AS (SELECT conv_id AS request_id, turn AS seq,
+        string_agg(text, '') OVER (PARTITION BY conv_id ORDER BY turn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place,
+        max(turn) OVER (PARTITION BY conv_id) AS last_turn FROM conversations)
+    SELECT request_id, seq, length(running) AS end_at, md5(running) AS digest,
+        CASE WHEN seq = last_turn THEN 'done' ELSE 'running' END AS state FROM shown WHERE place = seq"""
+SQL["stream_matched"] = f"""WITH requests AS (
+        SELECT event_id AS request_id, event_type AS stage, ts AS asked_at FROM events WHERE event_id % 2 = 0),
+    replies AS (
+        SELECT event_id - 1 AS request_id, CASE WHEN event_type = 'view' THEN '[Error] ' || props ELSE props END AS response,
+            ts + to_minutes(CAST(trunc(value) AS INTEGER)) AS replied_at
+        FROM events WHERE event_id % 2 = 1 AND event_type <> 'error')
+    SELECT q.request_id, stage, response, CASE WHEN response IS NULL THEN 'pending'
+        WHEN {failed('response')} THEN 'error' ELSE 'ok' END AS response_status
+    FROM requests q LEFT JOIN replies r ON r.request_id = q.request_id AND replied_at >= asked_at
+        AND replied_at <= asked_at + INTERVAL 30 MINUTE"""

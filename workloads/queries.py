@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from runloom.functions import prompts
 from runloom.functions import report as rep
 from runloom.functions import text as txt
-from runloom.operators import catalog, chunks, completion, corpus, runlog
-from runloom.plans import backfeed, first_pass, retrieval, single_flow, stages
+from runloom.operators import asof, catalog, chunks, completion, corpus, runlog
+from runloom.plans import accept, backfeed, first_pass, retrieval, single_flow, stages
 from runloom.session import new_folder
-from runloom.sources import tables
+from runloom.sources import bucketed, tables
 from runloom.streaming import corpus as corpus_stream
+from runloom.streaming import matching, running
 from runloom.streaming import replies as reply_stream
 from runloom.streaming import runs as run_stream
 from runloom.streaming import sinks
@@ -152,6 +153,37 @@ def latest_run(spark, sf):
     return runlog.lookup_latest(keys, facade.run_log(spark, sf))
 
 
+@query
+def latest_run_bucketed(spark, sf):
+    """The same rows from a catalogue table whose buckets hold whole keys."""
+    folder = new_folder(spark, "bucketed")
+    table = f"usage_logs_{folder.rsplit('-', 1)[1]}"
+    bucketed.create_log(spark, table, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    log = facade.run_log(spark, sf)
+    bucketed.append_log(log.where("event_type <> 'error'"), table)
+    bucketed.append_log(log.where("event_type = 'error'"), table)
+    keys = catalog.effective_temperature(facade.requested_keys(spark, sf), facade.MODELS)
+    return bucketed.latest_bucketed(keys, spark.table(table))
+
+
+@query
+def latest_run_as_of(spark, sf):
+    """For every event the newest run, by then, of its user with the next model."""
+    asked = catalog.effective_temperature(
+        facade.table(spark, sf, "events").selectExpr(
+            "event_id as request_id",
+            "if(value > 480, null, cast(user_id as string)) as srs_id",
+            "if((event_id + 1) % 5 < 3, 'pA', 'pB') as llm_provider",
+            "concat('m', (event_id + 1) % 5) as llm_model",
+            "0.5D as temperature",
+            "ts as at",
+        ),
+        facade.MODELS,
+    )
+    found = asof.runs_as_of(asked, facade.run_log(spark, sf), ["original_srs_text", "similarity_score_orig_srs"])
+    return found.drop("at")
+
+
 @query
 def latest_run_by_rank(spark, sf):
     return runlog.latest_runs_by_rank(facade.run_log(spark, sf)).drop("created_at")
@@ -645,6 +677,22 @@ def backfeed_completed(spark, sf):
     )
 
 
+@query
+def backfeed_until_accepted(spark, sf):
+    """Back-feed until the digest among the findings begins with one of six digits, at most five rounds."""
+    work = backfeed.work_list(
+        facade.requested_keys(spark, sf), facade.run_log(spark, sf), facade.MODELS
+    )
+    ask = stages.ask_function(digest_client(), spark.sparkContext.defaultParallelism)
+    begin = F.substring("similarity_descr_orig_srs", len("discrepancies:\n") + 1, 1)
+    rows = accept.backfeed_until(work, ask, begin < "6", 5)
+    return rows.select(
+        "srs_id", "llm_provider", "llm_model", "temperature", "rounds", "verdict", "run_count", "event_type",
+        "plantuml_script_orig_srs", "plantuml_script_dist_srs", "similarity_descr_orig_srs",
+        "similarity_score_dist_srs",
+    )
+
+
 # --- streams ------------------------------------------------------------------------
 
 
@@ -676,6 +724,64 @@ def stream_responses(spark, sf):
     )
 
 
+def arrivals(rows: list[DataFrame], folder: str, files: int) -> DataFrame:
+    """The tables as a stream that brings them one after the other, each in a micro-batch of its own."""
+    for part in rows:
+        part.repartition(files).write.mode("append").parquet(folder)
+    spark = rows[0].sparkSession
+    return spark.readStream.schema(rows[0].schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+@query
+def stream_running(spark, sf):
+    """Replies whose chunks come in three parts, the first ones last."""
+    said = facade.chunks(spark, sf)
+    lasts = said.groupBy("request_id").agg(F.max("seq").alias("_last"))
+    marked = said.join(lasts, "request_id").select(
+        "request_id", "seq", "chunk", (F.col("seq") == F.col("_last")).alias("last"),
+        F.timestamp_seconds("seq").alias("at"),
+    )
+    parts = [marked.where(F.col("seq") % 3 == k) for k in (2, 1, 0)]
+    rows = arrivals(parts, new_folder(spark, "chunks"), spark.sparkContext.defaultParallelism)
+    shown = running.running(rows, "3650 days")
+    folder = new_folder(spark, "running")
+    sinks.start(shown, "append", folder, new_folder(spark, "running-state")).awaitTermination()
+    return corpus_stream.inserted(spark, shown.schema, folder)
+
+
+@query
+def stream_matched(spark, sf):
+    """Even events ask, odd ones reply to the event before; some replies take too long, some fail."""
+    events = facade.table(spark, sf, "events")
+    at = F.col("ts").cast("timestamp")
+    requests = events.where("event_id % 2 = 0").select(
+        F.col("event_id").alias("request_id"), F.col("event_type").alias("stage"), at.alias("asked_at")
+    )
+    late = F.make_dt_interval(mins=F.col("value").cast("int"))
+    replies = events.where("event_id % 2 = 1 and event_type <> 'error'").select(
+        (F.col("event_id") - 1).alias("request_id"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit("[Error] "), "props")).otherwise(F.col("props")).alias("response"),
+        (at + late).alias("replied_at"),
+    )
+    files = spark.sparkContext.defaultParallelism
+    # A last row of its own id moves the clock of each stream on, so that open requests come out.
+    end = events.agg(F.max(at) + F.expr("interval 90 days"))
+    asked = arrivals(
+        [requests.where("request_id % 4 = 0"), requests.where("request_id % 4 = 2"),
+         end.selectExpr("-1L", "cast(null as string)", "*").toDF(*requests.columns)],
+        new_folder(spark, "asked"), files,
+    )
+    replied = arrivals(
+        [replies.where("request_id % 3 = 0"), replies.where("request_id % 3 > 0"),
+         end.selectExpr("-2L", "cast(null as string)", "*").toDF(*replies.columns)],
+        new_folder(spark, "replied"), files,
+    )
+    matched = matching.match_streams(asked, replied, "30 minutes", "60 days").drop("asked_at", "replied_at")
+    folder = new_folder(spark, "matched")
+    sinks.start(matched, "append", folder, new_folder(spark, "matched-state")).awaitTermination()
+    return corpus_stream.inserted(spark, matched.schema, folder)
+
+
 def _stream_triples(spark: SparkSession, sf: str) -> DataFrame:
     return _stream(spark, sf, "documents").selectExpr(
         "doc_id as id",
