@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,39 +33,95 @@ def _temperature() -> Column:
     return (F.col("temperature") + F.lit(0.0)).cast("string")
 
 
-def gather_recorded(responses: DataFrame, asked: list[str], *by: str, fits: Column | None = None) -> DataFrame:
+# One aggregate for so many requests of a group; more of them are gathered in two steps.
+SLOTS = 64
+Run = tuple[str, str, float]  # provider, model, temperature
+
+
+def gather_recorded(
+    responses: DataFrame, asked: list[str], *by: str, fits: Column | None = None, runs: Sequence[Run] | None = None
+) -> DataFrame:
     """(by..., _said): the recorded answers of a document or a run as one list.
 
     Of the answers to one request only the newest by ``recorded_at`` is gathered, reduced before it
     moves; without that column, or among equally new ones that differ, it is an error text. What
     was not asked, or is not of a run that ``fits``, is left out first, so the list has at most one
     answer for each run and request, however often it was recorded.
+
+    Where the requests of a group are known, all of ``runs`` or those of the one run that ``by`` names,
+    each has its place in one aggregate over the group, and every answer moves once. Up to ``SLOTS`` of
+    them, that is; others are reduced by run and request first and gathered after.
     """
     when = F.col("recorded_at") if "recorded_at" in responses.columns else F.lit(None)
-    at = F.unix_micros(when.cast("timestamp"))
-    digest = F.unhex(F.sha2(F.col("response"), 256))
     rows = responses.withColumns(
-        {"_temperature": _temperature(), "request": F.concat_ws("_", "stage", "flow")}
+        {
+            "_temperature": _temperature(),
+            "request": F.concat_ws("_", "stage", "flow"),
+            "_at": F.unix_micros(when.cast("timestamp")),
+        }
     ).where(F.col("response").isNotNull() & F.col("srs_id").isNotNull() & F.col("request").isin(asked))
     if fits is not None:
         rows = rows.where(fits)
+    whole_key = {"llm_provider", "llm_model", "_temperature"} <= {*by}
+    if runs is not None and not whole_key and len({*runs}) * len(asked) <= SLOTS:
+        names = ["llm_provider", "llm_model", "_temperature", "request"]
+        places = [(*run, request) for run in dict.fromkeys(runs) for request in asked]
+        known = [
+            (F.lit(provider), F.lit(model), (F.lit(float(degrees)) + F.lit(0.0)).cast("string"), F.lit(request))
+            for provider, model, degrees, request in places
+        ]
+    elif whole_key:
+        names, known = ["request"], [(F.lit(request),) for request in asked]
+    else:
+        return _gathered_in_steps(rows, *by)
+    if not known:
+        return rows.limit(0).groupBy(*by).agg(F.array().cast(_SAID).alias("_said"))
+
+    def one(values) -> Column:
+        return F.struct(*[value.alias(name) for name, value in zip(names, values)])
+
+    place = F.array_position(F.array(*map(one, known)), one(map(F.col, names)))
+    aggregates = []
+    for k in range(len(known)):
+        newest, least = _newest(F.col("_place") == k + 1)
+        aggregates += [newest.alias(f"_newest_{k}"), least.alias(f"_least_{k}")]
+    reduced = rows.withColumn("_place", place).where(F.col("_place") > 0).groupBy(*by).agg(*aggregates)
+    said = []
+    for k, values in enumerate(known):
+        part = dict(zip(names, values))
+        told = _said(f"_newest_{k}", f"_least_{k}", lambda name: part.get(name, F.col(name)))
+        said.append(F.when(F.col(f"_newest_{k}").isNotNull(), told))
+    return reduced.select(*by, F.filter(F.array(*said), lambda one: one.isNotNull()).alias("_said"))
+
+
+_SAID = "array<struct<llm_provider:string,llm_model:string,temperature:string,request:string,response:string>>"
+
+
+def _newest(here: Column) -> tuple[Column, Column]:
+    """The newest answer with its digest, and the least digest among the newest, of the rows ``here``."""
+    digest = F.unhex(F.sha2(F.col("response"), 256)).alias("digest")
     # A missing time is older than any other.
-    up, down = F.coalesce(at, F.lit(-(1 << 63))), F.coalesce(-at, F.lit((1 << 63) - 1))
-    key = dict.fromkeys([*by, "llm_provider", "llm_model", "_temperature", "request"])
-    newest = rows.groupBy(*key).agg(
-        F.max(F.struct(up.alias("at"), F.col("response").alias("response"))).alias("_newest"),
-        F.max(F.struct(up.alias("at"), digest.alias("digest"))).alias("_most"),
-        F.min(F.struct(down.alias("at"), digest.alias("digest"))).alias("_least"),
+    up, down = F.coalesce("_at", F.lit(-(1 << 63))), F.coalesce(-F.col("_at"), F.lit((1 << 63) - 1))
+    newest = F.max(F.when(here, F.struct(up.alias("at"), digest, F.col("response").alias("response"))))
+    return newest, F.min(F.when(here, F.struct(down.alias("at"), digest)))
+
+
+def _said(newest: str, least: str, part: Callable[[str], Column]) -> Column:
+    several = F.col(f"{newest}.digest") != F.col(f"{least}.digest")
+    return F.struct(
+        part("llm_provider").alias("llm_provider"),
+        part("llm_model").alias("llm_model"),
+        part("_temperature").alias("temperature"),
+        part("request").alias("request"),
+        F.when(several, SEVERAL).otherwise(F.col(f"{newest}.response")).alias("response"),
     )
-    several = F.col("_most.digest") != F.col("_least.digest")
-    said = F.struct(
-        "llm_provider",
-        "llm_model",
-        F.col("_temperature").alias("temperature"),
-        "request",
-        F.when(several, SEVERAL).otherwise(F.col("_newest.response")).alias("response"),
-    )
-    return newest.groupBy(*by).agg(F.collect_list(said).alias("_said"))
+
+
+def _gathered_in_steps(rows: DataFrame, *by: str) -> DataFrame:
+    key = dict.fromkeys([*by, "llm_provider", "llm_model", "_temperature", "request"])
+    newest, least = _newest(F.lit(True))
+    reduced = rows.groupBy(*key).agg(newest.alias("_newest"), least.alias("_least"))
+    return reduced.groupBy(*by).agg(F.collect_list(_said("_newest", "_least", F.col)).alias("_said"))
 
 
 def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:

@@ -75,8 +75,11 @@ def first_pass_recorded(
     once, however long the catalogue.
     """
     documents = documents_to_run(corpus)
-    fits = is_run_of(models, temperature)
-    said = documents.join(gather_recorded(responses, ASKED, "srs_id", fits=fits), "srs_id", "left")
+    runs = [
+        (m.provider, m.model, temperature if m.fixed_temperature is None else m.fixed_temperature) for m in models
+    ]
+    answers = gather_recorded(responses, ASKED, "srs_id", fits=is_run_of(models, temperature), runs=runs)
+    said = documents.join(answers, "srs_id", "left")
     return first_pass(read_recorded(runs_of(said, models, temperature), ASKED))
 
 

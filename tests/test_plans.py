@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runloom.operators.catalog import Model, fan_out
+from runloom.operators import completion
 from runloom.operators.completion import complete, match_responses
 from runloom.operators.runlog import latest_ids
 from runloom.plans import backfeed, first_pass, single_flow, stages
@@ -240,3 +241,50 @@ def test_recorded_answers_are_reduced_before_they_are_gathered(spark):
     equal = spark.createDataFrame([(*row, "a"), (*row, "b")], RESPONSES)
     said = one(gather_recorded(equal, first_pass.ASKED, "srs_id"))["_said"]
     assert [r["response"] for r in said] == ["[Error] more than one recorded answer"]
+
+
+def test_answers_move_once(spark):
+    """One exchange carries answers, in the plans of a first pass and of a back-feed."""
+    docs = spark.createDataFrame([(1, "t", "text")], DOCS)
+    responses = spark.createDataFrame([], RESPONSES).withColumn("response", F.concat("response", F.lit("!")))
+    work = spark.createDataFrame([], "srs_id string, llm_provider string, llm_model string, temperature double")
+    for results in (
+        first_pass.first_pass_recorded(docs, responses, MODELS, 0.5),
+        completion.attach_recorded(work, responses, backfeed.ASKED),
+    ):
+        above = [line for line in plan_of(results).splitlines()]
+        partial = [at for at, line in enumerate(above) if "partial_max" in line]
+        assert len(partial) == 1
+        exchanges = [at for at, line in enumerate(above) if "Exchange" in line and at < partial[0]]
+        depth = lambda at: len(above[at]) - len(above[at].lstrip(" :+-*()0123456789"))
+        # Of the exchanges above the answers' aggregate only the one right over it lies on its branch.
+        branch, last = [], depth(partial[0])
+        for at in reversed(range(partial[0])):
+            if depth(at) < last:
+                last = depth(at)
+                branch.append(at)
+        assert len([at for at in exchanges if at in branch]) == 1
+
+
+@pytest.mark.parametrize("slots", [0, 64])
+def test_gathering_by_place_and_in_steps_say_the_same(spark, monkeypatch, slots):
+    monkeypatch.setattr(completion, "SLOTS", slots)
+    docs = spark.createDataFrame([(1, "t", "text"), (2, "u", "more")], DOCS)
+    rows = [
+        (f"{i}_{title}", "p", model, degrees, *name, f"{text}", f"2024-01-0{day}")
+        for i, title in ((1, "t"), (2, "u"))
+        for model, degrees in (("m", 0.5), ("m", 0.7), ("fixed", 1.0), ("other", 0.5))
+        for name, text in GOOD.items()
+        for day in (1, 2)
+    ]
+    rows.append(("2_u", "p", "m", 0.5, "distil", "orig", "differs", "2024-01-02"))
+    rows.append(("2_u", "p", "m", 0.5, "similarity", "orig", "no time", None))
+    responses = spark.createDataFrame(rows, RESPONSES + ", recorded_at string")
+    found = {
+        (r.srs_id, r.llm_model): (r.state_orig, r.state_dist, r.temperature)
+        for r in first_pass.first_pass_recorded(docs, responses, MODELS, 0.5).collect()
+    }
+    assert found == {
+        ("1_t", "m"): ("ok", "ok", 0.5), ("1_t", "fixed"): ("ok", "ok", 1.0),
+        ("2_u", "m"): ("ok", "failed_response", 0.5), ("2_u", "fixed"): ("ok", "ok", 1.0),
+    }
