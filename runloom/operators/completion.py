@@ -98,8 +98,11 @@ _SAID = "array<struct<llm_provider:string,llm_model:string,temperature:string,re
 
 
 def _newest(here: Column) -> tuple[Column, Column]:
-    """The newest answer with its digest, and the least digest among the newest, of the rows ``here``."""
-    digest = F.unhex(F.sha2(F.col("response"), 256)).alias("digest")
+    """The newest answer with its hash, and the least hash among the newest, of the rows ``here``.
+
+    A hash of 64 bits: it travels with every answer and does not compress.
+    """
+    digest = F.xxhash64("response").alias("digest")
     # A missing time is older than any other.
     up, down = F.coalesce("_at", F.lit(-(1 << 63))), F.coalesce(-F.col("_at"), F.lit((1 << 63) - 1))
     newest = F.max(F.when(here, F.struct(up.alias("at"), digest, F.col("response").alias("response"))))
