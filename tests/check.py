@@ -16,7 +16,7 @@ import __spark_entry__ as contract
 from runloom.session import build_session
 
 TABLES = Path("/root/testdata")
-SAME_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+SAME_TYPE = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
 
 
 def connect(sf: str) -> duckdb.DuckDBPyConnection:

@@ -34,7 +34,7 @@ def test_entry(spark):
 
 
 STREAMS = {name for name in queries.registered() if name.startswith("stream_")}
-PYTHON = {"completion_map", "first_pass_completed", "batch_of_ids", "backfeed_completed", "backfeed_until_accepted"}
+PYTHON = {"completion_map", "first_pass_completed", "batch_of_ids", "backfeed_completed", "backfeed_until_accepted", "completion_retried"}
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.registered()) - STREAMS))

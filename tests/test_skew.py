@@ -40,6 +40,7 @@ GROUPING = [
     "latest_run_as_of",
     "stream_running",
     "stream_matched",
+    "completion_once",
 ]
 
 

@@ -610,3 +610,31 @@ SQL["stream_matched"] = f"""WITH requests AS (
         WHEN {failed('response')} THEN 'error' ELSE 'ok' END AS response_status
     FROM requests q LEFT JOIN replies r ON r.request_id = q.request_id AND replied_at >= asked_at
         AND replied_at <= asked_at + INTERVAL 30 MINUTE"""
+
+_NOTED = f"""{REPLIES}, noted AS (SELECT id, CASE WHEN id % 3 = 0 THEN replace(replace(reply, '"similarity_score"',
+        '"note":{{"by":["a"]}},"sure":true,"similarity_score"'), '"missing_elements":[]',
+        '"missing_elements":[1.5,null,"x",[true]]') ELSE reply END AS reply FROM replies),
+    checked AS (SELECT id, reply, TRY_CAST({unfenced('reply')} AS JSON) AS body, {report_columns('reply')} FROM noted)"""
+SQL["report_items"] = f"WITH {_NOTED}, lists AS (" + " UNION ALL ".join(
+    f"SELECT id, '{name}' AS section, json_extract(body, '$.{name}[*]') AS items FROM checked WHERE ok"
+    for name in ("discrepancies", "missing_elements", "additional_elements")
+) + """) SELECT id, section, position, json_extract_string(items[position + 1], '$') AS item
+    FROM (SELECT *, unnest(range(len(items))) AS position FROM lists)"""
+SQL["report_extra_keys"] = f"""WITH {_NOTED}, keyed AS (
+        SELECT id, body, unnest(json_keys(body)) AS key FROM checked WHERE ok)
+    SELECT id, key, json_extract_string(body, '$.' || key) AS value FROM keyed
+    WHERE key NOT IN ('extracted_description', 'similarity_score', 'discrepancies', 'missing_elements', 'additional_elements')"""
+SQL["completion_retried"] = """WITH asked AS (SELECT doc_id AS id, md5(doc_id || ': ' || text) AS digest FROM documents),
+    failing AS (SELECT *, (instr('0123456789abcdef', left(digest, 1)) - 1) % 4 AS failures FROM asked)
+    SELECT id, CASE WHEN failures < 3 THEN 'api-m0 0.5 ' || digest ELSE 'Error processing pA request: busy' END AS reply,
+        CAST(least(failures + 1, 3) AS INTEGER) AS attempts FROM failing WHERE digest IS NOT NULL
+    UNION ALL SELECT id, NULL, 0 FROM asked WHERE digest IS NULL"""
+SQL["completion_once"] = """SELECT doc_id AS id, 'api-m0 0.5 ' || md5(text) AS reply,
+        coalesce(text IS NOT NULL AND doc_id = min(doc_id) OVER (PARTITION BY text)
+            AND NOT bool_or(doc_id % 2 = 0) OVER (PARTITION BY text), false) AS called
+    FROM documents"""
+SQL["sql_latest_run_of"] = f"""WITH {LOG}, {RANKED} SELECT c_custkey, id, original_srs_text,
+        'BACKFEED_IMPROVEMENT_' || c_custkey AS label
+    FROM customer JOIN ranked ON srs_id = CAST(c_custkey AS VARCHAR)
+    WHERE newest = 1 AND llm_provider = 'pA' AND llm_model = 'm0' AND temperature = 0.5"""
+SQL["sql_extract_script"] = SQL["extract_script"]

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from runloom.functions import prompts
 from runloom.functions import report as rep
 from runloom.functions import text as txt
-from runloom.operators import asof, catalog, chunks, completion, corpus, runlog
+from runloom.functions import variant
+from runloom.operators import asof, calls, catalog, chunks, completion, corpus, runlog
 from runloom.plans import accept, backfeed, first_pass, retrieval, single_flow, stages
 from runloom.session import new_folder
-from runloom.sources import bucketed, tables
+from runloom.sources import bucketed, functions, tables
 from runloom.streaming import corpus as corpus_stream
 from runloom.streaming import matching, running
 from runloom.streaming import replies as reply_stream
@@ -184,6 +185,26 @@ def latest_run_as_of(spark, sf):
     return found.drop("at")
 
 
+@query
+def sql_latest_run_of(spark, sf):
+    """The newest run of each customer's key with one model, by a table function of SQL."""
+    facade.run_log(spark, sf).createOrReplaceTempView("usage_logs")
+    functions.create_functions(spark)
+    facade.table(spark, sf, "customer").createOrReplaceTempView("customers")
+    return spark.sql(
+        """SELECT c_custkey, r.id, r.original_srs_text, improvement_label(c_custkey) AS label
+        FROM customers, LATERAL latest_run_of(cast(c_custkey as string), 'pA', 'm0', 0.5D) r"""
+    )
+
+
+@query
+def sql_extract_script(spark, sf):
+    facade.replies(spark, sf).createOrReplaceTempView("replies")
+    facade.run_log(spark, sf).createOrReplaceTempView("usage_logs")
+    functions.create_functions(spark)
+    return spark.sql("SELECT id, extract_script(script_reply) AS script FROM replies")
+
+
 @query
 def latest_run_by_rank(spark, sf):
     return runlog.latest_runs_by_rank(facade.run_log(spark, sf)).drop("created_at")
@@ -438,6 +459,27 @@ def report_rejects(spark, sf):
     return rejected.select("id", "reply", txt.reply_status(F.col("reply")).alias("status"))
 
 
+def _noted_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of which some have keys of their own and lists with items that are no texts."""
+    rows = facade.replies(spark, sf).select("id", "reply")
+    noted = F.replace(
+        F.replace("reply", F.lit('"similarity_score"'), F.lit('"note":{"by":["a"]},"sure":true,"similarity_score"')),
+        F.lit('"missing_elements":[]'),
+        F.lit('"missing_elements":[1.5,null,"x",[true]]'),
+    )
+    return variant.with_variant(rows.withColumn("reply", F.when(F.col("id") % 3 == 0, noted).otherwise(F.col("reply"))), F.col("reply"))
+
+
+@query
+def report_items(spark, sf):
+    return variant.report_items(_noted_reports(spark, sf), "id")
+
+
+@query
+def report_extra_keys(spark, sf):
+    return variant.extra_keys(_noted_reports(spark, sf), "id")
+
+
 @query
 def scoring_ready(spark, sf):
     rows = facade.replies(spark, sf).select(
@@ -677,6 +719,54 @@ def backfeed_completed(spark, sf):
     )
 
 
+def busy_client():
+    """A stand-in for a client that fails as often as the digest of the prompt says, at most three times."""
+
+    def make_client():
+        tried: dict[str, int] = {}
+
+        def answer(prompt: str, api_id: str, temperature: float) -> str:
+            digest = hashlib.md5(prompt.encode()).hexdigest()
+            tried[prompt] = tried.get(prompt, 0) + 1
+            if tried[prompt] <= int(digest[0], 16) % 4:
+                raise ValueError("busy")
+            return f"{api_id} {temperature} {digest}"
+
+        return answer
+
+    return make_client
+
+
+def _asked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return facade.documents(spark, sf).select(
+        F.col("doc_id").alias("id"), F.lit("pA").alias("llm_provider"), F.lit("api-m0").alias("api_id"),
+        F.lit(0.5).alias("temperature"), "text",
+    )
+
+
+@query
+def completion_retried(spark, sf):
+    """Documents asked for by number, in pools of calls that fail at first."""
+    prompt = F.concat("id", F.lit(": "), "text")
+    found = calls.complete_retried(
+        _asked_documents(spark, sf), prompt, busy_client(), backoff=0.001, calls=spark.sparkContext.defaultParallelism
+    )
+    return found.select("id", "reply", "attempts")
+
+
+@query
+def completion_once(spark, sf):
+    """Documents asked for in two runs: copies share a call, and the second run calls for new texts only."""
+    folder = new_folder(spark, "answers")
+    rows = _asked_documents(spark, sf)
+
+    def ask(rows: DataFrame, prompt) -> DataFrame:
+        return calls.complete_retried(rows, prompt, digest_client(), calls=spark.sparkContext.defaultParallelism)
+
+    calls.complete_once(rows.where("id % 2 = 0"), F.col("text"), "id", folder, ask)
+    return calls.complete_once(rows, F.col("text"), "id", folder, ask).select("id", "reply", "called")
+
+
 @query
 def backfeed_until_accepted(spark, sf):
     """Back-feed until the digest among the findings begins with one of six digits, at most five rounds."""
