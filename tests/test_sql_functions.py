@@ -49,7 +49,7 @@ def test_lookups(spark):
     asked.createOrReplaceTempView("asked_keys")
     every = spark.sql("SELECT srs, degrees, id FROM asked_keys, LATERAL latest_run_of(srs, 'p', 'm', degrees)")
     assert sorted(map(tuple, every.collect())) == [("a", 0.5, 3), ("a", 0.5, 3), ("a", 0.7, 4)]
-    assert plan_of(every).count("WindowGroupLimit") == 2
+    assert plan_of(every).count("WindowGroupLimit") >= 2
 
 
 def test_functions_over_stored_tables(spark, tmp_path):

@@ -638,3 +638,4 @@ SQL["sql_latest_run_of"] = f"""WITH {LOG}, {RANKED} SELECT c_custkey, id, origin
     FROM customer JOIN ranked ON srs_id = CAST(c_custkey AS VARCHAR)
     WHERE newest = 1 AND llm_provider = 'pA' AND llm_model = 'm0' AND temperature = 0.5"""
 SQL["sql_extract_script"] = SQL["extract_script"]
+SQL["stream_insert_indexed"] = f"SELECT srs_origin, srs_title, srs_content FROM ({SQL['stream_insert']})"

@@ -17,6 +17,7 @@ from runloom.plans import accept, backfeed, first_pass, retrieval, single_flow,
 from runloom.session import new_folder
 from runloom.sources import bucketed, functions, tables
 from runloom.streaming import corpus as corpus_stream
+from runloom.streaming import index as digest_index
 from runloom.streaming import matching, running
 from runloom.streaming import replies as reply_stream
 from runloom.streaming import runs as run_stream
@@ -890,6 +891,20 @@ def stream_insert(spark, sf):
     return corpus_stream.inserted(spark, rows.schema, folder)
 
 
+@query
+def stream_insert_indexed(spark, sf):
+    """The same rows with an index of digests, over several micro-batches."""
+    documents = facade.triples(spark, sf)
+    parts = [documents.where(F.col("id") % 3 == k) for k in range(3)]
+    rows = arrivals(parts, new_folder(spark, "entries"), spark.sparkContext.defaultParallelism)
+    folder = new_folder(spark, "inserted")
+    digest_index.insert_indexed(
+        rows, "id", folder, new_folder(spark, "index"), new_folder(spark, "inserted-state"), facade.labelled_triples(spark, sf)
+    ).awaitTermination()
+    # Which of several copies came first depends on the order of arrival.
+    return corpus_stream.inserted(spark, rows.schema, folder).drop("id")
+
+
 @query
 def stream_unseen(spark, sf):
     rows = corpus_stream.unseen(_stream_triples(spark, sf), "id")
