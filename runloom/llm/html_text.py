@@ -18,12 +18,13 @@ TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 # Elements of the public HTML vocabulary, by what they mean for text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt"
-    " ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    " ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics".split()
 )
 VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-RAW = frozenset("script style title textarea noscript iframe template svg math xmp".split())
+RAW = frozenset("script style title textarea noscript iframe template svg annotation".split())
 # Closed by the start of a sibling of the same kind.
 SIBLINGS = {
     "li": {"li"},
@@ -39,7 +40,7 @@ SCOPES = frozenset("ul ol dl table div section article body".split())
 DEPTH = 512
 
 # Elements, roles and name parts of what surrounds an article.
-AROUND = frozenset("nav aside footer form button select menu dialog object canvas head".split())
+AROUND = frozenset("nav aside footer button select menu dialog object canvas head".split())
 AROUND_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar"
     " toolbar".split()
@@ -57,15 +58,16 @@ HEADER_NAMES = frozenset("header head".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 # Their names say what they hold (slugs, anchors), not where they stand.
 UNNAMED = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd pre blockquote td th tr figcaption".split())
-# What a name of surroundings, or of readers' comments, leaves of a score.
-NAMED = {"": 1.0, "around": 0.5, "comments": 0.1}
+# Their names say that a paragraph tells about the article.
+META_NAMES = frozenset("meta byline author date dateline posted published credit credits tags".split())
+# What a name of surroundings, a form or a name of readers' comments leaves of a score.
+NAMED = {"": 1.0, "around": 0.5, "form": 0.1, "comments": 0.1}
 # An element with this share of the page's text is no surroundings, whatever its name.
 MOST = 0.5
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""",
-    re.S,
-)
+# Inside a tag: what neither ends it nor begins a quoted value.
+ORDINARY = re.compile(r"""[^<>"']+""")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>]*)")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PARTS = re.compile(r"[a-z]+")
@@ -94,8 +96,7 @@ class Block:
 class Page:
     """Blocks of text with their element and root-to-leaf path; linear in the page's length."""
 
-    def __init__(self, source: str, forms_out: bool):
-        self.forms_out = forms_out
+    def __init__(self, source: str):
         self.parents, self.tags, self.named, self.marked = [-1], ["#root"], [""], [False]
         self.paths: dict[tuple[int, str], int] = {}
         self.blocks: list[Block] = []
@@ -106,29 +107,74 @@ class Page:
         self._read(source)
 
     def _read(self, source: str) -> None:
+        """Go through the page once, from one ``<`` to the next; nothing is looked at twice."""
         at, end = 0, len(source)
+        last = source.rfind(">")
+        quotes = {mark: source.rfind(mark) for mark in "\"'"}
         while at < end:
-            token = TOKEN.search(source, at)
-            self._text(source[at : token.start() if token else end])
-            if token is None:
-                break
-            at = token.end()
-            if token[2] is None:
+            begin = source.find("<", at)
+            comment = source.startswith("<!--", begin)
+            if begin < 0 or begin > last and not comment:
+                break  # no tag ends any more
+            self._text(source[at:begin])
+            if comment:
+                closing = source.find("-->", begin + 4)
+                at = closing + 3 if closing >= 0 else end
+                continue
+            name = NAME.match(source, begin + 1)
+            if name is None:
+                if source[begin + 1] in "!?/":
+                    at = source.find(">", begin) + 1
+                else:
+                    self._text("<")
+                    at = begin + 1
                 continue
-            tag = token[2].lower()
-            if token[1]:
+            at, closed, quoted = self._end_of_tag(source, name.end(), quotes)
+            if not closed and not quoted:
+                self._text(source[begin:at])  # a bare < before a letter
+                continue
+            attributes = source[name.end() : at - closed]
+            tag = name[2].lower()
+            if name[1]:
                 self._close(tag)
+            elif tag == "xmp":
+                closing = re.compile("</xmp", re.I).search(source, at)
+                self._open(tag, attributes)
+                self._text(source[at : closing.start() if closing else end], False)
+                at = closing.start() if closing else end
             elif tag in RAW:
-                if not token[3].endswith("/"):
-                    closing = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(source, at)
-                    at = closing.end() if closing else end
+                if not attributes.endswith("/"):
+                    closing = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
+                    after = source.find(">", closing.end()) if closing else -1
+                    at = after + 1 if after >= 0 else end
             else:
-                self._open(tag, token[3])
+                self._open(tag, attributes)
+        self._text(source[at:end])
         self._end_block()
 
-    def _text(self, raw: str) -> None:
+    @staticmethod
+    def _end_of_tag(source: str, at: int, quotes: dict[str, int]) -> tuple[int, bool, bool]:
+        """(where the tag ends, whether by ``>``, whether a quoted value came): else at the next ``<``."""
+        end, quoted = len(source), False
+        while at < end:
+            mark = source[at]
+            if mark == ">":
+                return at + 1, True, quoted
+            if mark == "<":
+                return at, False, quoted
+            if mark in quotes:
+                # Only after = does a quote begin a value; the last quote of the page ends none.
+                if quotes[mark] > at and _after_equals(source, at):
+                    at, quoted = source.index(mark, at + 1) + 1, True
+                else:
+                    at += 1
+            else:
+                at = ORDINARY.match(source, at).end()
+        return end, False, quoted
+
+    def _text(self, raw: str, references: bool = True) -> None:
         if raw and not self.stack[-1][3]:
-            if "&" in raw:
+            if references and "&" in raw:
                 raw = html.unescape(raw)
             self.pieces.append(raw)
             if self.links:
@@ -174,7 +220,9 @@ class Page:
         self.parents.append(parent)
         self.tags.append(tag if names.get("role") != "main" else "main")
         self.named.append(named)
-        self.marked.append(bool(names.get("class") or names.get("id")))
+        # Most classes of a paragraph say how it looks (a lead, a question), not where it stands.
+        about = names.get("class", "") + " " + names.get("id", "")
+        self.marked.append(bool(_words(about) & META_NAMES if tag == "p" else about.strip()))
         if len(self.stack) > DEPTH:
             self.stack.pop()
         self.stack.append((tag, len(self.parents) - 1, path, why or own))
@@ -183,8 +231,10 @@ class Page:
         """Why the element is left out, and what its class and id say of it."""
         if tag == "head":
             return "around", ""
-        if tag in ("html", "body") or (tag == "form" and not self.forms_out):
+        if tag in ("html", "body"):
             return "", ""
+        if tag == "form" and not HIDDEN.search(attributes):
+            return "", "form"  # some pages are one form as a whole
         if not attributes and tag not in AROUND and tag != "header":
             return "", ""
         if tag in ("article", "main"):
@@ -202,6 +252,8 @@ class Page:
         if words & COMMENT_NAMES:
             slug = tag == "section" and not _words(names.get("class", "")) & COMMENT_NAMES
             return "", "around" if slug and len(words) > 1 else "comments"
+        if inside and tag == "section" and words - AROUND_NAMES:
+            return "", ""  # a chapter on social policy
         if words & AROUND_NAMES or (words & HEADER_NAMES and not inside and not words & MAIN_NAMES):
             return "", "around"
         return "", ""
@@ -223,6 +275,12 @@ class Page:
                 break  # an end tag without its start inside this list or block
 
 
+def _after_equals(source: str, at: int) -> bool:
+    while at and source[at - 1] in " \t\n\r\f":
+        at -= 1
+    return source[at - 1] == "="
+
+
 def _words(names: str) -> set[str]:
     return set(PARTS.findall(CAMEL.sub(" ", names).lower()))
 
@@ -304,6 +362,19 @@ def _content_root(page: Page, weight: np.ndarray) -> int:
     """The element that holds the content: an article, a main element, or the lowest with most of it."""
     held = _held(page, weight)
     whole = held[0]
+    inside = [False] * len(held)  # of another article
+    several = []
+    for k in range(1, len(held)):
+        above = page.parents[k]
+        inside[k] = inside[above] or page.tags[above] == "article"
+        if page.tags[k] == "article" and not inside[k] and held[k] >= 0.1 * whole:
+            several.append(k)
+    if len(several) > 1:
+        # Several articles of one main element belong together.
+        lines = [_line(page, k) for k in several]
+        common = max(set(lines[0]).intersection(*lines[1:]))
+        if any(page.tags[k] == "main" for k in _line(page, common)):
+            return common
     for tag in ("article", "main"):
         found = [k for k, t in enumerate(page.tags) if t == tag and held[k] >= 0.3 * whole]
         if found:
@@ -315,6 +386,15 @@ def _content_root(page: Page, weight: np.ndarray) -> int:
     return best
 
 
+def _line(page: Page, element: int) -> list[int]:
+    """The element and all around it."""
+    line = []
+    while element >= 0:
+        line.append(element)
+        element = page.parents[element]
+    return line
+
+
 def _inside(page: Page, root: int) -> np.ndarray:
     inside = np.zeros(len(page.parents), bool)
     inside[root] = True
@@ -324,11 +404,9 @@ def _inside(page: Page, root: int) -> np.ndarray:
 
 
 def main_blocks(source: str) -> list[str]:
-    page = Page(source, True)
+    page = Page(source)
     if not page.blocks:
-        page = Page(source, False)  # some pages are one form as a whole
-        if not page.blocks:
-            return []
+        return []
     blocks = page.blocks
     names, outer = name_weights(page)
     scores = path_scores(blocks, len(page.paths)) * names
@@ -387,17 +465,32 @@ def _surroundings(page: Page, root: int, chosen: np.ndarray, low: np.ndarray) ->
 
 
 def _menus(page: Page, inside: np.ndarray, linked: np.ndarray, names: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """Linked blocks of the article that are menus: on a path of several, all of them short.
+    """Linked blocks of the article that are menus: what a name calls surroundings, or several on one
+    path, all of them short, at the article's edge without a heading before them.
 
-    A title, a paragraph or a reference that is one link is text of the article. What a name calls
-    surroundings needs no second block.
+    A title, a paragraph, a reference or a list of references is text of the article.
     """
     of = np.array([b.path for b in page.blocks]) + 1
     count = np.bincount(of, inside, len(page.paths) + 1)
     links = np.bincount(of, inside & linked, len(page.paths) + 1)
-    whole = (links == count)[of] & ((count > 1)[of] | (names < 1))
     headings = np.array([b.heading for b in page.blocks])
-    return linked & whole & low & ~headings
+    short = inside & linked & (links == count)[of] & low & ~headings
+    places = np.flatnonzero(inside)
+    edge = np.zeros(len(of), bool)
+    listed = short & (count > 1)[of]
+    for k in places:
+        if not listed[k]:
+            break
+        edge[k] = True
+    tail = []
+    for k in places[::-1]:
+        if not listed[k]:
+            # The list belongs to the heading that it follows.
+            if not headings[k]:
+                edge[tail] = True
+            break
+        tail.append(k)
+    return short & (edge | (names < 1))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +509,7 @@ def main_text(
 
     Scripts, styles and what is marked as surroundings of an article by its element or role (menus,
     page headers, footers, asides, forms) take no part. A class or id that names surroundings (a
-    sidebar, an advert, reader comments) lowers the score of what is below it, unless that is most
+    sidebar, an advert, reader comments), or a form, lowers the score of what is below it, unless that is most
     of the page's text. For the blocks, characters and punctuation are summed per root-to-leaf tag
     path; the fused and smoothed ratio of the path decides whether its blocks are content, and
     content decides which element is the article. In there, blocks on a path that a class or id

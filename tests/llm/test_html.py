@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import time
+
+import pytest
+
 from runloom.llm.html_text import DEPTH, main_blocks, main_text
 
 PAGE = """<!doctype html><html><head><title>Title</title><style>p{}</style></head><body>
@@ -125,3 +129,50 @@ def test_low_paths_are_left_out_of_the_article():
     page += f'<p>Short.</p><p>{body}</p><ul class=u><li class=i>one</ul><div class="author-bio">Jane writes</div>'
     page += '<div class="teaser"><p>Other story</p></div></article>'
     assert main_blocks(page) == ["Title", body, "A lead, in one line.", "Short.", body, "one"]
+
+
+@pytest.mark.parametrize(
+    "part", ["a <b c ", '<p class="', "<a href='x ", "</script ", "<!x ", "a < b ", '="<i "', "<script ", "<b/ <", "</ x"]
+)
+def test_bad_markup_takes_linear_time(part):
+    begin = time.perf_counter()
+    main_blocks(part * (2_000_000 // len(part)))
+    main_blocks("<p>" + part * (1_000_000 // len(part)) + ">")
+    assert time.perf_counter() - begin < 10
+
+
+def test_text_beside_bare_angles_stays():
+    assert main_blocks("<p>if a <b and c <d, then 3 < 4</p>") == ["if a <b and c <d, then 3 < 4"]
+    assert main_blocks('<p>x</p><p class="a" <b>y</b></p>') == ["x", "y"]
+
+
+def test_an_article_in_a_form_stays():
+    paras = "".join(f"<p>{LONG}</p>" for _ in range(6))
+    assert main_blocks(f"<div>Skip to content</div><form><div class=c>{paras}</div></form>") == [LONG] * 6
+    inside = f"<article>{paras}<form><label>Your name</label><input><button>Send</button></form></article>"
+    assert main_blocks(inside) == [LONG] * 6
+
+
+def test_lists_of_references_stay():
+    refs = "<h2>References</h2><ul><li><a href=1>Smith 2001</a></li><li><a href=2>Jones 2002</a></li></ul>"
+    page = f"<article><h1>T</h1><p>{LONG}</p><p>{LONG}</p>{refs}</article>"
+    assert main_blocks(page) == ["T", LONG, LONG, "References", "Smith 2001", "Jones 2002"]
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+    assert main_blocks(f"<article>{menu}<p>{LONG}</p><p>{LONG}</p>{menu}</article>") == [LONG, LONG]
+
+
+def test_short_paragraphs_with_a_class_stay():
+    page = f'<article><p>{LONG}</p><p class="q">No.</p><p>{LONG}</p><p class="lead">Short.</p><p>{LONG}</p></article>'
+    assert main_blocks(page) == [LONG, "No.", LONG, "Short.", LONG]
+    section = '<section class="social-policy"><h2>Social policy</h2><p>It is short.</p></section>'
+    assert main_blocks(f"<article><p>{LONG}</p>{section}<p>{LONG}</p></article>") == [LONG, "Social policy", "It is short.", LONG]
+
+
+def test_formulas_and_literal_text_stay():
+    assert main_blocks("<p>The value <math><mi>x</mi></math> is 3</p>") == ["The value x is 3"]
+    assert main_blocks("<p>See</p><xmp><b>bold</b> &amp;</xmp><p>end</p>") == ["See", "<b>bold</b> &amp;", "end"]
+
+
+def test_several_articles_of_one_main_element():
+    two = f"<article><h2>A</h2><p>{LONG}</p></article><article><h2>B</h2><p>{LONG}</p></article>"
+    assert main_blocks(f"<nav>x</nav><main>{two}</main><footer>y</footer>") == ["A", LONG, "B", LONG]
