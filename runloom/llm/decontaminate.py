@@ -149,11 +149,16 @@ class Items:
         return cls([i for i, _ in found], [c for _, c in found], seeds)
 
 
-def matches(text: str | None, items: Items, coverage: float) -> list[tuple]:
-    """(item id, words, covered words, tiles) of each item of which enough is covered."""
+def matches(text: str | None, items: Items, coverage: float, shortest: int = 0) -> list[tuple]:
+    """(item id, words, covered words, tiles) of each item of which enough is covered.
+
+    An item of fewer than ``shortest`` words only counts if it is the whole text.
+    """
     codes = word_codes(text or "")
     out = []
     for size, (hashes, item, place) in items.seeds.items():
+        if size < shortest and size != len(codes):
+            continue
         grams = Rolling(codes).stretches(size)
         if not len(grams):
             continue
@@ -188,10 +193,10 @@ def _around(codes: np.ndarray, hit: np.ndarray, size: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _match(items: Items, coverage: float) -> Callable:
+def _match(items: Items, coverage: float, shortest: int) -> Callable:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            found = [matches(text, items, coverage) for text in batch.to_pylist()]
+            found = [matches(text, items, coverage, shortest) for text in batch.to_pylist()]
             rows = [dict(zip(MATCH.names, m)) for one in found for m in one]
             ends = np.cumsum([0, *map(len, found)])
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rows, MATCH))
@@ -211,13 +216,14 @@ def benchmark_blocks(
         yield Items.of([(r[0], r[1]) for r in part.collect()], shortest)
 
 
-def contaminations(items: Items, text: Column, coverage: float = COVERAGE) -> Column:
+def contaminations(items: Items, text: Column, coverage: float = COVERAGE, shortest: int = 0) -> Column:
     """array<struct(item_id, item_words, covered, tiles)>: the items that a whole text contains.
 
     An item counts if tiles of at least ``SHORTEST`` words (all of a shorter item's) cover
-    ``coverage`` of its words. Null texts, and items without words, match nothing.
+    ``coverage`` of its words; one of fewer than ``shortest`` words only as the whole text. Null texts,
+    and items without words, match nothing.
     """
-    found = F.arrow_udf(_match(items, coverage), MATCH_DDL, ArrowUDFType.SCALAR_ITER)
+    found = F.arrow_udf(_match(items, coverage, shortest), MATCH_DDL, ArrowUDFType.SCALAR_ITER)
     return found.asNondeterministic()(text)
 
 
@@ -239,7 +245,11 @@ def contaminated(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no item is found, with all their columns."""
+    """The rows of ``docs`` in which no item is found, with all their columns.
+
+    An item of fewer than ``SHORTEST`` words, which ``contaminated`` reports wherever it stands, takes
+    out only documents that are nothing else: a common word is no leak.
+    """
     for items in benchmark_blocks(benchmark):
-        docs = docs.where(F.size(contaminations(items, F.col(text))) == 0)
+        docs = docs.where(F.size(contaminations(items, F.col(text), shortest=SHORTEST)) == 0)
     return docs

@@ -87,3 +87,34 @@ def test_empty_tables(spark):
     assert deco.contaminated(docs, none).count() == 0
     assert deco.contaminated(documents(spark, []), benchmark(spark, [(1, "a b", "c", "c")])).count() == 0
     assert deco.clean(docs, none).count() == 1
+
+
+def test_a_common_word_as_an_item_takes_out_only_itself(spark):
+    docs = documents(spark, [(1, "Well, yes, we went home"), (2, "Yes!"), (3, "yes yes"), (4, None), (5, "no more than that")])
+    benchmark = spark.createDataFrame([(7, "yes"), (8, "no more than that, ever again")], "item_id long, text string")
+    found = deco.contaminated(docs, benchmark)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(1, 7), (2, 7), (3, 7)}
+    assert {r["doc_id"] for r in deco.clean(docs, benchmark).collect()} == {1, 3, 4, 5}
+
+
+def brute_contaminated(body: str | None, item: str) -> bool:
+    mine, other = ([w.lower() for w in deco.WORD.findall(t)] for t in (item, body or ""))
+    tiles = brute_tiles(mine, other, min(5, len(mine)))
+    return bool(mine) and sum(n for *_, n in tiles) >= 0.8 * len(mine)
+
+
+def test_random_documents_against_tiling_by_definition(spark):
+    draw = random.Random(9)
+    items = [(k, text(draw.randrange(1, 24), 100 + k, 60)) for k in range(12)]
+    rows = []
+    for k in range(120):
+        parts = words(draw.randrange(0, 12), 1000 + k, 60)
+        for _ in range(draw.randrange(3)):
+            item = draw.choice(items)[1].split()
+            cut = draw.randrange(len(item) + 1)
+            # Reordered, whole or shortened passages.
+            parts += draw.choice([[*item[cut:], *item[:cut]], item, item[: 3 + cut]])
+        rows.append((k, " ".join(parts) if k % 40 else None))
+    found = deco.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i) for d, t in rows for i, item in items if brute_contaminated(t, item)}
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want and len(want) > 20
