@@ -72,34 +72,45 @@ FROM texts t LEFT JOIN marked m ON m.doc_id = t.doc_id
 GROUP BY t.doc_id, len(t.words)
 """
 
+# Texts are cut into pieces of 512 bytes and what windows need beyond, as a place in a long text takes time
+# to reach. Windows are compared by hash first, and as text where their hash occurs in several documents.
 SQL["op9_repeated_bytes"] = """
-WITH texts AS (
+WITH texts AS MATERIALIZED (
     SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents
-), windows AS (
-    SELECT doc_id, i, substr(digits, 2 * i - 1, 100) AS window_digits
-    FROM (SELECT doc_id, digits, unnest(range(1, length(digits) // 2 - 48)) AS i FROM texts)
-), least AS (
-    SELECT window_digits, min(doc_id) AS least FROM windows GROUP BY window_digits
-), repeated AS (
-    SELECT w.doc_id, w.i FROM windows w JOIN least l USING (window_digits) WHERE l.least < w.doc_id
+), pieces AS MATERIALIZED (
+    SELECT doc_id, c, substr(digits, 1024 * c + 1, 1024 + 98) AS part
+    FROM (SELECT doc_id, digits, unnest(range(0, (length(digits) + 1023) // 1024)) AS c FROM texts)
+), hashed AS MATERIALIZED (
+    SELECT doc_id, c, k, hash(substr(part, 2 * k + 1, 100)) AS h
+    FROM (SELECT doc_id, c, part, unnest(range(0, least(512, length(part) // 2 - 49))) AS k FROM pieces)
+), shared AS MATERIALIZED (
+    SELECT h FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)
+), windows AS MATERIALIZED (
+    SELECT w.doc_id, 512 * w.c + w.k AS i, w.h, substr(p.part, 2 * w.k + 1, 100) AS window_digits
+    FROM hashed w SEMI JOIN shared USING (h) JOIN pieces p USING (doc_id, c)
+), least AS MATERIALIZED (
+    SELECT h, window_digits, min(doc_id) AS least FROM windows GROUP BY h, window_digits
+), repeated AS MATERIALIZED (
+    SELECT w.doc_id, w.i FROM windows w JOIN least l USING (h, window_digits) WHERE l.least < w.doc_id
 ), bytes AS (
-    SELECT t.doc_id, t.j, substr(t.digits, 2 * t.j - 1, 2) AS byte,
-        max(r.i) OVER (PARTITION BY t.doc_id ORDER BY t.j) AS last_start
-    FROM (SELECT doc_id, digits, unnest(range(1, length(digits) // 2 + 1)) AS j FROM texts) t
+    SELECT t.doc_id, t.j, t.byte, max(r.i) OVER (PARTITION BY t.doc_id ORDER BY t.j) AS last_start
+    FROM (SELECT doc_id, 512 * c + k AS j, substr(part, 2 * k + 1, 2) AS byte
+        FROM (SELECT doc_id, c, part, unnest(range(0, least(512, length(part) // 2))) AS k
+            FROM pieces SEMI JOIN repeated USING (doc_id))) t
     LEFT JOIN repeated r ON r.doc_id = t.doc_id AND r.i = t.j
 ), marked AS (
     SELECT *, coalesce(j - last_start < 50, false) AS removed FROM bytes
 ), edges AS (
     SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id ORDER BY j), false) AS edge
     FROM marked
+), changed AS (
+    SELECT doc_id, count(*) FILTER (WHERE removed) AS n_removed, count(*) FILTER (WHERE edge) AS n_spans,
+        coalesce(string_agg(byte, '' ORDER BY j) FILTER (WHERE NOT removed), '') AS kept
+    FROM edges GROUP BY doc_id
 )
-SELECT t.doc_id,
-    length(t.digits) // 2 AS n_bytes,
-    count(m.j) FILTER (WHERE m.removed) AS n_removed,
-    count(m.j) FILTER (WHERE m.edge) AS n_spans,
-    sha256(from_hex(coalesce(string_agg(m.byte, '' ORDER BY m.j) FILTER (WHERE NOT m.removed), ''))) AS kept_sha256
-FROM texts t LEFT JOIN edges m ON m.doc_id = t.doc_id
-GROUP BY t.doc_id, t.digits
+SELECT doc_id, length(digits) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(from_hex(coalesce(kept, digits))) AS kept_sha256
+FROM texts LEFT JOIN changed USING (doc_id)
 """
 
 
