@@ -116,4 +116,4 @@ def test_query_equals_sql(spark, con, name):
 def test_queries_are_registered():
     names = set(queries.registered())
     assert names <= set(contract.queries()) and "pipeline" in names
-    assert {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n != "pipeline"} == {f"op{k}" for k in range(1, 14)}
