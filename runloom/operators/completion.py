@@ -52,13 +52,10 @@ def gather_recorded(
     each has its place in one aggregate over the group, and every answer moves once. Up to ``SLOTS`` of
     them, that is; others are reduced by run and request first and gathered after.
     """
-    when = F.col("recorded_at") if "recorded_at" in responses.columns else F.lit(None)
+    dated = "recorded_at" in responses.columns
+    when = {"_at": F.unix_micros(F.col("recorded_at").cast("timestamp"))} if dated else {}
     rows = responses.withColumns(
-        {
-            "_temperature": _temperature(),
-            "request": F.concat_ws("_", "stage", "flow"),
-            "_at": F.unix_micros(when.cast("timestamp")),
-        }
+        {"_temperature": _temperature(), "request": F.concat_ws("_", "stage", "flow"), **when}
     ).where(F.col("response").isNotNull() & F.col("srs_id").isNotNull() & F.col("request").isin(asked))
     if fits is not None:
         rows = rows.where(fits)
@@ -73,7 +70,7 @@ def gather_recorded(
     elif whole_key:
         names, known = ["request"], [(F.lit(request),) for request in asked]
     else:
-        return _gathered_in_steps(rows, *by)
+        return _gathered_in_steps(rows, dated, *by)
     if not known:
         return rows.limit(0).groupBy(*by).agg(F.array().cast(_SAID).alias("_said"))
 
@@ -83,13 +80,13 @@ def gather_recorded(
     place = F.array_position(F.array(*map(one, known)), one(map(F.col, names)))
     aggregates = []
     for k in range(len(known)):
-        newest, least = _newest(F.col("_place") == k + 1)
+        newest, least = _newest(F.col("_place") == k + 1, dated)
         aggregates += [newest.alias(f"_newest_{k}"), least.alias(f"_least_{k}")]
     reduced = rows.withColumn("_place", place).where(F.col("_place") > 0).groupBy(*by).agg(*aggregates)
     said = []
     for k, values in enumerate(known):
         part = dict(zip(names, values))
-        told = _said(f"_newest_{k}", f"_least_{k}", lambda name: part.get(name, F.col(name)))
+        told = _said(f"_newest_{k}", f"_least_{k}", dated, lambda name: part.get(name, F.col(name)))
         said.append(F.when(F.col(f"_newest_{k}").isNotNull(), told))
     return reduced.select(*by, F.filter(F.array(*said), lambda one: one.isNotNull()).alias("_said"))
 
@@ -97,20 +94,23 @@ def gather_recorded(
 _SAID = "array<struct<llm_provider:string,llm_model:string,temperature:string,request:string,response:string>>"
 
 
-def _newest(here: Column) -> tuple[Column, Column]:
+def _newest(here: Column, dated: bool) -> tuple[Column, Column]:
     """The newest answer with its hash, and the least hash among the newest, of the rows ``here``.
 
-    A hash of 64 bits: it travels with every answer and does not compress.
+    A hash of 64 bits: it travels with every answer and does not compress. Answers that are not
+    ``dated`` are equally new, and no time travels with them.
     """
-    digest = F.xxhash64("response").alias("digest")
+    digest, response = F.xxhash64("response").alias("digest"), F.col("response").alias("response")
+    if not dated:
+        return F.max(F.when(here, F.struct(digest, response))), F.min(F.when(here, digest))
     # A missing time is older than any other.
     up, down = F.coalesce("_at", F.lit(-(1 << 63))), F.coalesce(-F.col("_at"), F.lit((1 << 63) - 1))
-    newest = F.max(F.when(here, F.struct(up.alias("at"), digest, F.col("response").alias("response"))))
+    newest = F.max(F.when(here, F.struct(up.alias("at"), digest, response)))
     return newest, F.min(F.when(here, F.struct(down.alias("at"), digest)))
 
 
-def _said(newest: str, least: str, part: Callable[[str], Column]) -> Column:
-    several = F.col(f"{newest}.digest") != F.col(f"{least}.digest")
+def _said(newest: str, least: str, dated: bool, part: Callable[[str], Column]) -> Column:
+    several = F.col(f"{newest}.digest") != F.col(f"{least}.digest" if dated else least)
     return F.struct(
         part("llm_provider").alias("llm_provider"),
         part("llm_model").alias("llm_model"),
@@ -120,11 +120,11 @@ def _said(newest: str, least: str, part: Callable[[str], Column]) -> Column:
     )
 
 
-def _gathered_in_steps(rows: DataFrame, *by: str) -> DataFrame:
+def _gathered_in_steps(rows: DataFrame, dated: bool, *by: str) -> DataFrame:
     key = dict.fromkeys([*by, "llm_provider", "llm_model", "_temperature", "request"])
-    newest, least = _newest(F.lit(True))
+    newest, least = _newest(F.lit(True), dated)
     reduced = rows.groupBy(*key).agg(newest.alias("_newest"), least.alias("_least"))
-    return reduced.groupBy(*by).agg(F.collect_list(_said("_newest", "_least", F.col)).alias("_said"))
+    return reduced.groupBy(*by).agg(F.collect_list(_said("_newest", "_least", dated, F.col)).alias("_said"))
 
 
 def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:
