@@ -80,13 +80,12 @@ def gather_recorded(
     place = F.array_position(F.array(*map(one, known)), one(map(F.col, names)))
     aggregates = []
     for k in range(len(known)):
-        newest, least = _newest(F.col("_place") == k + 1, dated)
-        aggregates += [newest.alias(f"_newest_{k}"), least.alias(f"_least_{k}")]
+        aggregates += _newest(F.col("_place") == k + 1, dated, f"_{k}")
     reduced = rows.withColumn("_place", place).where(F.col("_place") > 0).groupBy(*by).agg(*aggregates)
     said = []
     for k, values in enumerate(known):
         part = dict(zip(names, values))
-        told = _said(f"_newest_{k}", f"_least_{k}", dated, lambda name: part.get(name, F.col(name)))
+        told = _said(dated, f"_{k}", lambda name: part.get(name, F.col(name)))
         said.append(F.when(F.col(f"_newest_{k}").isNotNull(), told))
     return reduced.select(*by, F.filter(F.array(*said), lambda one: one.isNotNull()).alias("_said"))
 
@@ -94,37 +93,46 @@ def gather_recorded(
 _SAID = "array<struct<llm_provider:string,llm_model:string,temperature:string,request:string,response:string>>"
 
 
-def _newest(here: Column, dated: bool) -> tuple[Column, Column]:
-    """The newest answer with its hash, and the least hash among the newest, of the rows ``here``.
+def _newest(here: Column, dated: bool, tail: str = "") -> list[Column]:
+    """The newest answer of the rows ``here``, and what tells whether others as new differ from it.
 
-    A hash of 64 bits: it travels with every answer and does not compress. Answers that are not
-    ``dated`` are equally new, and no time travels with them.
+    That is a hash of 64 bits, which travels with every answer and does not compress. Answers that are
+    not ``dated`` are equally new: they are equal if the least hash is the greatest, which compress to
+    one, and neither a time nor a struct travels.
     """
     digest, response = F.xxhash64("response").alias("digest"), F.col("response").alias("response")
-    if not dated:
-        return F.max(F.when(here, F.struct(digest, response))), F.min(F.when(here, digest))
-    # A missing time is older than any other.
-    up, down = F.coalesce("_at", F.lit(-(1 << 63))), F.coalesce(-F.col("_at"), F.lit((1 << 63) - 1))
-    newest = F.max(F.when(here, F.struct(up.alias("at"), digest, response)))
-    return newest, F.min(F.when(here, F.struct(down.alias("at"), digest)))
+    if dated:
+        # A missing time is older than any other.
+        up, down = F.coalesce("_at", F.lit(-(1 << 63))), F.coalesce(-F.col("_at"), F.lit((1 << 63) - 1))
+        newest = F.max(F.when(here, F.struct(up.alias("at"), digest, response)))
+        least = F.min(F.when(here, F.struct(down.alias("at"), digest)))
+        return [newest.alias(f"_newest{tail}"), least.alias(f"_least{tail}")]
+    return [
+        F.max(F.when(here, response)).alias(f"_newest{tail}"),
+        F.min(F.when(here, digest)).alias(f"_least{tail}"),
+        F.max(F.when(here, digest)).alias(f"_most{tail}"),
+    ]
 
 
-def _said(newest: str, least: str, dated: bool, part: Callable[[str], Column]) -> Column:
-    several = F.col(f"{newest}.digest") != F.col(f"{least}.digest" if dated else least)
+def _said(dated: bool, tail: str, part: Callable[[str], Column]) -> Column:
+    newest, least = f"_newest{tail}", f"_least{tail}"
+    if dated:
+        several, response = F.col(f"{newest}.digest") != F.col(f"{least}.digest"), F.col(f"{newest}.response")
+    else:
+        several, response = F.col(f"_most{tail}") != F.col(least), F.col(newest)
     return F.struct(
         part("llm_provider").alias("llm_provider"),
         part("llm_model").alias("llm_model"),
         part("_temperature").alias("temperature"),
         part("request").alias("request"),
-        F.when(several, SEVERAL).otherwise(F.col(f"{newest}.response")).alias("response"),
+        F.when(several, SEVERAL).otherwise(response).alias("response"),
     )
 
 
 def _gathered_in_steps(rows: DataFrame, dated: bool, *by: str) -> DataFrame:
     key = dict.fromkeys([*by, "llm_provider", "llm_model", "_temperature", "request"])
-    newest, least = _newest(F.lit(True), dated)
-    reduced = rows.groupBy(*key).agg(newest.alias("_newest"), least.alias("_least"))
-    return reduced.groupBy(*by).agg(F.collect_list(_said("_newest", "_least", dated, F.col)).alias("_said"))
+    reduced = rows.groupBy(*key).agg(*_newest(F.lit(True), dated))
+    return reduced.groupBy(*by).agg(F.collect_list(_said(dated, "", F.col)).alias("_said"))
 
 
 def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:
