@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from runloom.llm.repeats import HOT_CHUNKS, HOT_RUNS, Unit, remove_repeats
+from runloom.llm.repeats import HOT_CHUNKS, HOT_RUNS, PLACE_BYTES, Unit, remove_repeats
 
 GRAM = 8
 
@@ -152,10 +152,13 @@ def remove_repeated_words(
     text: str = "text",
     hot_chunks: int = HOT_CHUNKS,
     hot_runs: int = HOT_RUNS,
+    place_bytes: int = PLACE_BYTES,
 ) -> DataFrame:
     """Remove words covered by ``width`` consecutive words that a smaller document also has.
 
     Words are runs of characters other than ASCII white space. See ``remove_repeats`` for the
     columns and for nulls; ``kept`` are the remaining words joined by one space.
     """
-    return remove_repeats(docs, Unit(True, width, gram), least_documents, doc_id, text, hot_chunks, hot_runs)
+    return remove_repeats(
+        docs, Unit(True, width, gram), least_documents, doc_id, text, hot_chunks, hot_runs, place_bytes
+    )

@@ -43,6 +43,8 @@ HOT_RUNS = 1 << 15
 # It is also hot if it lies in so many chunks and in so large a share of them.
 HOT_CHUNKS = 1024
 HOT_SHARE = 0.01
+# Text that a bucket, a group of documents and a shard hold of the input, on average.
+PLACE_BYTES = 32 << 20
 
 TAIL = np.uint64(0xFFFFFFFF)
 U64 = np.uint64
@@ -266,10 +268,15 @@ def _find_anchors(unit: Unit, buckets: int, groups: int) -> Callable:
             for place, at in slices(bucket[asks]):
                 at = np.flatnonzero(asks)[at]
                 rows.append((place, "ask", _ask(runs, at, doc, version, start, tail)))
-            for place, at in slices(bucket[witness]):
-                number, at = times[at], witness[at]
-                rows.append((place, "seen", pack(own[at], tail[at], number)))
             at = np.flatnonzero(known)
+            holder, group = _holders(runs.key[at], group_of(own[at], version[runs.part][at], groups), groups)
+            begin = np.searchsorted(holder, runs.key[witness], "left")
+            held = np.searchsorted(holder, runs.key[witness], "right") - begin
+            for place, which in slices(bucket[witness]):
+                number, mine, many = times[which], witness[which], held[which]
+                inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                holders = group[np.repeat(begin[which], many) + inside].astype(np.int32)
+                rows.append((place, "seen", pack(own[mine], tail[mine], number, many, holders)))
             rows += _hits(own[at], version[runs.part][at], start[at], runs.count[at],
                           runs.offset[at], bucket[at], tail[at], groups)
             yield _routed(rows)
@@ -277,6 +284,14 @@ def _find_anchors(unit: Unit, buckets: int, groups: int) -> Callable:
     return run
 
 
+def _holders(key: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of a key and a group, by key."""
+    order = np.lexsort((group, key))
+    key, group = key[order], group[order]
+    first = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))[: len(key)]
+    return key[first], group[first]
+
+
 def _ask(runs: Runs, at, doc, version, start, tail) -> bytes:
     parts, inside = np.unique(runs.part[at], return_inverse=True)
     return pack(
@@ -295,7 +310,10 @@ def _hits(doc, version, start, count, offset, bucket, tail, groups: int) -> list
 
 
 def _answer(groups: int, hot_chunks: int, hot_runs: int) -> Callable:
-    """What one bucket knows: anchors in several documents, and the hot ones among them."""
+    """What one bucket knows: anchors in several documents, and the hot ones among them.
+
+    The groups that hold a hot anchor are told so, each one those that it holds.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows, asks, seen = [], [], []
@@ -307,7 +325,7 @@ def _answer(groups: int, hot_chunks: int, hot_runs: int) -> Callable:
             else:
                 asks.append(unpack(blob))
         doc = [a[0][a[2]] for a in asks] + [d for d, *_ in seen]
-        tail = [a[6] for a in asks] + [t for _, t, _ in seen]
+        tail = [a[6] for a in asks] + [t for _, t, *_ in seen]
         if doc:
             doc, tail = np.concatenate(doc), np.concatenate(tail)
             # A witness stands for several documents: it is enough to know of one other.
@@ -325,18 +343,25 @@ def _answer(groups: int, hot_chunks: int, hot_runs: int) -> Callable:
                               tail[at], groups)
             chunk = np.repeat(
                 np.arange(len(asks) + len(seen)),
-                [len(a[2]) for a in asks] + [len(t) for _, t, _ in seen],
+                [len(a[2]) for a in asks] + [len(t) for _, t, *_ in seen],
             )
             pairs = np.unique(tail.astype(np.int64) << 31 | chunk) >> 31
             values, counts = np.unique(pairs, return_counts=True)
             least = max(hot_chunks, HOT_SHARE * max(len(asks), len(seen)))
-            times = np.concatenate([np.ones(asked, np.int64), *(n for *_, n in seen)])
+            times = np.concatenate([np.ones(asked, np.int64), *(n for _, _, n, *_ in seen)])
             _, of = np.unique(tail, return_inverse=True)
             runs = np.bincount(of, times)
             hot = (counts >= least) | (runs >= hot_runs)
             hot &= np.isin(values, tail[shared])
-            for value in values[hot]:
-                rows.append((table.column(0)[0].as_py(), "hot", int(value).to_bytes(8, "little")))
+            if hot.any():
+                marks = [(tail[:asked], group_of(doc[:asked], version, groups))] if asks else []
+                marks += [(np.repeat(t, many), holders) for _, t, _, many, holders in seen]
+                held, holder = (np.concatenate(x).astype(np.int64) for x in zip(*marks))
+                is_hot = np.isin(held, values[hot])
+                own = table.column(0)[0].as_py()
+                for group, at in slices(holder[is_hot]):
+                    mark = own << 32 | np.unique(held[is_hot][at])
+                    rows.append((group, "hot", pack(mark)))
         return pa.Table.from_batches([_routed(rows)])
 
     return run
@@ -391,11 +416,13 @@ def _spans(doc, version, start, end, groups: int) -> list[tuple]:
     return rows
 
 
-def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]]) -> Callable:
-    def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        if not len(docs) or not len(hits):
+def _cut_pieces(unit: Unit, groups: int, shards: int) -> Callable:
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        found, marks = [], [np.empty(0, np.int64)]
+        for kind, blob in zip(told.column("kind").to_pylist(), told.column("blob").to_pylist()):
+            (found if kind == "hit" else marks).append(unpack(blob) if kind == "hit" else unpack(blob)[0])
+        if not len(docs) or not found:
             return pa.Table.from_batches([_routed([])])
-        found = [unpack(b) for b in hits.column("blob").to_pylist()]
         doc, version, start, count, offset, bucket, tail = (
             np.concatenate([f[k] for f in found]) for k in range(7)
         )
@@ -405,8 +432,7 @@ def _cut_pieces(unit: Unit, groups: int, shards: int, hot: set[tuple[int, int]])
             (int(doc[p[0]]), int(version[p[0]])): p
             for p in np.split(order, np.flatnonzero(~same) + 1)
         }
-        hot_keys = np.array([b << 32 | t for b, t in hot], np.int64)
-        is_hot = np.isin(bucket.astype(np.int64) << 32 | tail.astype(np.int64), hot_keys)
+        is_hot = np.isin(bucket.astype(np.int64) << 32 | tail.astype(np.int64), np.concatenate(marks))
         # A piece's text says all about it: its windows, its anchor and where that is.
         first: dict[bytes, int] = {}
         source: list[tuple[int, int, int, int]] = []  # shard, tail, windows, offset of each
@@ -667,6 +693,16 @@ def merge(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def places_of(slim: DataFrame, place_bytes: int) -> int:
+    """How many buckets, groups of documents and shards there are: enough for ``place_bytes`` of text each.
+
+    At least as many as shuffle partitions, so that small inputs keep all tasks busy. What one place
+    sends to another is one row a chunk, so places much smaller than a chunk would send single runs.
+    """
+    size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(partitions(slim), -(-size // place_bytes))
+
+
 def remove_repeats(
     docs: DataFrame,
     unit: Unit,
@@ -675,6 +711,7 @@ def remove_repeats(
     text: str = "text",
     hot_chunks: int = HOT_CHUNKS,
     hot_runs: int = HOT_RUNS,
+    place_bytes: int = PLACE_BYTES,
 ) -> DataFrame:
     """(doc_id, version, n, n_removed, n_spans, kept) of every row.
 
@@ -683,34 +720,34 @@ def remove_repeats(
     nor loses anything. Rows that repeat an id do not act on each other; ``version``, a hash of
     the text, tells them apart. Other columns are not read.
     """
-    # As many buckets, groups of documents and shards as shuffle partitions: what one sends to
-    # another is one row, so more of them would cost the square in rows.
-    places = partitions(docs)
     slim = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         F.xxhash64(text).alias("version"),
         F.col(text).cast("string").alias("text"),
     )
+    places = places_of(slim, place_bytes)
+
+    def placed(df: DataFrame) -> DataFrame:
+        # One task for each place where there are more than the session's shuffles would make.
+        return df.repartition(places, "place") if places > partitions(df) else df
+
     asked = slim.where("doc_id IS NOT NULL").mapInArrow(
         _find_anchors(unit, places, places), ROUTED_DDL
     )
-    answers = durable(asked.groupBy("place").applyInArrow(_answer(places, hot_chunks, hot_runs), ROUTED_DDL), "kind")
-    # One number for thousands of runs: these are far fewer than the runs' own blobs.
-    hot = {
-        (row["place"], int.from_bytes(row["blob"], "little"))
-        for row in answers.where("kind = 'hot'").collect()
-    }
-    texts = zipped(slim, places)
+    answer = _answer(places, hot_chunks, hot_runs)
+    # Written, so that the questions' shuffle files can go before the documents meet the answers.
+    answers = durable(placed(asked).groupBy("place").applyInArrow(answer, ROUTED_DDL))
+    texts = placed(zipped(slim, places))
     pieces = (
         texts.groupBy("place")
-        .cogroup(answers.where("kind = 'hit'").select("place", "blob").groupBy("place"))
-        .applyInArrow(_cut_pieces(unit, places, places, hot), ROUTED_DDL)
+        .cogroup(placed(answers).groupBy("place"))
+        .applyInArrow(_cut_pieces(unit, places, places), ROUTED_DDL)
     )
-    spans = pieces.groupBy("place").applyInArrow(_search_shard(unit, places, index), ROUTED_DDL)
+    spans = placed(pieces).groupBy("place").applyInArrow(_search_shard(unit, places, index), ROUTED_DDL)
     kept = "string" if unit.words else "binary"
     return (
         texts.groupBy("place")
-        .cogroup(spans.select("place", "blob").groupBy("place"))
+        .cogroup(placed(spans.select("place", "blob")).groupBy("place"))
         .applyInArrow(
             _apply(unit),
             f"doc_id long, version long, n long, n_removed long, n_spans long, kept {kept}",

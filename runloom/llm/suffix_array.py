@@ -7,7 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import DataFrame
 
-from runloom.llm.repeats import HOT_CHUNKS, HOT_RUNS, Unit, remove_repeats
+from runloom.llm.repeats import HOT_CHUNKS, HOT_RUNS, PLACE_BYTES, Unit, remove_repeats
 
 GRAM = 16
 # Buckets are worked off as a whole if they hold so many symbols on average.
@@ -200,10 +200,13 @@ def remove_repeated_bytes(
     text: str = "text",
     hot_chunks: int = HOT_CHUNKS,
     hot_runs: int = HOT_RUNS,
+    place_bytes: int = PLACE_BYTES,
 ) -> DataFrame:
     """Remove UTF-8 bytes covered by ``width`` bytes that a smaller document also has.
 
     See ``remove_repeats`` for the columns and for nulls; ``kept`` is binary, as a cut may fall
     inside a character.
     """
-    return remove_repeats(docs, Unit(False, width, gram), least_documents, doc_id, text, hot_chunks, hot_runs)
+    return remove_repeats(
+        docs, Unit(False, width, gram), least_documents, doc_id, text, hot_chunks, hot_runs, place_bytes
+    )
