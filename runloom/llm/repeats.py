@@ -12,7 +12,8 @@ symbols apart; its *piece* is the text that its windows cover.
    one group of documents only the one of the smallest document travels; in the others all of it
    is repeated, which is known there and then.
 3. A shard joins equal pieces, leaves out pieces that share too little with any other, and indexes
-   the rest: a function given by the operator returns the least document of every window.
+   the rest, some anchors at a time: a function given by the operator returns the least document of
+   every window.
 4. Documents meet their spans.
 
 An anchor with very many runs is *hot*: the contexts around its passage could fill a shard, so its
@@ -45,6 +46,8 @@ HOT_CHUNKS = 1024
 HOT_SHARE = 0.01
 # Text that a bucket, a group of documents and a shard hold of the input, on average.
 PLACE_BYTES = 32 << 20
+# Text that a shard indexes at a time; only one anchor's pieces may be more, and those are bounded.
+INDEX_BYTES = 1 << 20
 
 TAIL = np.uint64(0xFFFFFFFF)
 U64 = np.uint64
@@ -566,6 +569,28 @@ def _partners(pieces: list[Sequence], tails, counts, offsets, unit: Unit) -> lis
     return [k for k in several if any(seen[side] > 1 for side in sides(k))]
 
 
+def _by_anchor(tails: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Pieces in parts of about ``INDEX_BYTES``, all those of an anchor in one: equal windows have one anchor."""
+    order = np.argsort(tails, kind="stable")
+    before = np.cumsum(size[order]) - size[order]
+    first = np.append(True, tails[order][1:] != tails[order][:-1])
+    # Every anchor belongs to the part in which its first piece begins.
+    part = before[np.flatnonzero(first)][np.cumsum(first) - 1] // INDEX_BYTES
+    yield from np.split(order, np.flatnonzero(np.diff(part)) + 1)
+
+
+def _covered(lowest: np.ndarray, own: np.ndarray, least: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """(piece, begin, end) of the stretches of each piece whose windows a smaller document has."""
+    covered = lowest < np.repeat(least, n)
+    ends = np.cumsum(n)
+    inside = np.arange(len(covered)) - np.repeat(ends - n, n)
+    of = np.repeat(own, n)
+    other = of[1:] != of[:-1]
+    begin = covered & np.append(True, ~covered[:-1] | other)
+    finish = covered & np.append(~covered[1:] | other, True)
+    return np.column_stack([of[begin], inside[begin], inside[finish] + width])
+
+
 def _search_shard(unit: Unit, groups: int, index: Index) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         rows, first = [], {}
@@ -598,34 +623,28 @@ def _search_shard(unit: Unit, groups: int, index: Index) -> Callable:
                 [where[later], where[later, 2] + count[piece[later]] + unit.width - 1]
             )
         ]
-        pieces = [unit.split(text) for text in texts]
-        kept = _partners(pieces, tails, counts, offsets, unit)
-        if kept:
-            found = index([pieces[k] for k in kept], least[kept], unit)
-            n = count[kept]
-            covered = found < np.repeat(least[kept], n)
-            ends = np.cumsum(n)
-            inside = np.arange(len(covered)) - np.repeat(ends - n, n)
-            of = np.repeat(np.arange(len(kept)), n)
-            begin = covered & np.append(True, ~covered[:-1] | (of[1:] != of[:-1]))
-            finish = covered & np.append(~covered[1:] | (of[1:] != of[:-1]), True)
-            number = np.full(len(texts), -1)
-            number[kept] = np.arange(len(kept))
-            part = np.column_stack(
-                [of[begin], inside[begin], inside[finish] + unit.width]
-            )
-            mine = ~later & (number[piece] >= 0)
-            starts = np.searchsorted(part[:, 0], number[piece[mine]], "left")
-            ends = np.searchsorted(part[:, 0], number[piece[mine]], "right")
-            times = ends - starts
-            row = np.repeat(np.flatnonzero(mine), times)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-            at += np.repeat(starts, times)
-            spans.append(
-                np.column_stack(
-                    [where[row, :2], where[row, 2] + part[at, 1], where[row, 2] + part[at, 2]]
-                )
+        found = [np.empty((0, 3), np.int64)]
+        tail, offset = np.array(tails), np.array(offsets)
+        for at in _by_anchor(tail, np.array([len(text) for text in texts])):
+            pieces = [unit.split(texts[k]) for k in at.tolist()]
+            kept = _partners(pieces, tail[at], count[at], offset[at], unit)
+            if kept:
+                own = at[kept]
+                lowest = index([pieces[k] for k in kept], least[own], unit)
+                found.append(_covered(lowest, own, least[own], count[own], unit.width))
+        part = np.concatenate(found)
+        part = part[np.argsort(part[:, 0], kind="stable")]
+        mine = np.flatnonzero(~later)
+        starts = np.searchsorted(part[:, 0], piece[mine], "left")
+        times = np.searchsorted(part[:, 0], piece[mine], "right") - starts
+        row = np.repeat(mine, times)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        at += np.repeat(starts, times)
+        spans.append(
+            np.column_stack(
+                [where[row, :2], where[row, 2] + part[at, 1], where[row, 2] + part[at, 2]]
             )
+        )
         all_spans = np.concatenate(spans)
         if len(all_spans):
             rows += _spans(*all_spans.T, groups)

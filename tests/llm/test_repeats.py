@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runloom.llm import fm_index, repeats, suffix_array
@@ -216,3 +217,48 @@ def test_a_passage_of_many_documents_does_not_fill_a_shard(by_words):
             for tail in tails.tolist():
                 by_tail[tail] = by_tail.get(tail, 0) + 1
     assert max(by_tail.values()) < 1 << 12
+
+
+def in_one_place(rows: list[tuple], unit: Unit, index) -> list[tuple]:
+    """The steps of ``remove_repeats`` in this process, with a single place."""
+    docs = [(d, k, t) for k, (d, t) in enumerate(rows)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*docs), (pa.int64(), pa.int64(), pa.string()))],
+        names=["doc_id", "version", "text"],
+    )
+    asked = pa.Table.from_batches(repeats._find_anchors(unit, 1, 1)(iter([batch])))
+    told = repeats._answer(1, 1024, 1 << 15)(asked)
+    texts = pa.Table.from_batches(repeats._zip_texts(1)(iter([batch])))
+    spans = repeats._search_shard(unit, 1, index)(repeats._cut_pieces(unit, 1, 1)(texts, told))
+    kept = repeats._apply(unit)(texts, spans)
+    return list(zip(*(kept.column(k).to_pylist() for k in (0, 2, 3, 4, 5))))
+
+
+@pytest.mark.parametrize("most", [1, 700, 1 << 20])
+@pytest.mark.parametrize("by_words,index", [(True, fm_index.least_documents), (False, suffix_array.least_documents)])
+def test_shards_are_indexed_in_parts(by_words, index, most, monkeypatch):
+    monkeypatch.setattr(repeats, "INDEX_BYTES", most)
+    parts: list[int] = []
+
+    def counted(pieces, least, unit):
+        parts.append(sum(map(len, pieces)))
+        return index(pieces, least, unit)
+
+    # Without nulls and repeated ids: those are settled before and after.
+    rows = list({d: (d, t) for d, t in mixed(by_words, 6) if d is not None and t is not None}.values())
+    got = in_one_place(rows, Unit(by_words, 50, 8 if by_words else 16), counted)
+    assert sorted(got) == sorted(without_repeats(rows, by_words, 50))
+    assert len(parts) == 1 if most == 1 << 20 else len(parts) > 5
+
+
+def test_parts_hold_whole_anchors():
+    draw = np.random.default_rng(8)
+    for _ in range(50):
+        tails = draw.integers(0, 30, int(draw.integers(1, 400)))
+        size = draw.integers(1, 300_000, len(tails))
+        parts = list(repeats._by_anchor(tails, size))
+        assert sorted(np.concatenate(parts).tolist()) == list(range(len(tails)))
+        held = [set(tails[p].tolist()) for p in parts]
+        assert sum(map(len, held)) == len(set(tails.tolist()))
+        most = max(size[tails == t].sum() for t in tails)
+        assert max(size[p].sum() for p in parts) < repeats.INDEX_BYTES + most
