@@ -41,9 +41,19 @@ WITH_CHECKSUMS = 0x80
 
 FRAME_IDS = 1 << 20
 LEVEL = 3
+# A file is closed when it holds so many documents, or so many bytes of ids, whatever comes first:
+# that bounds its two tables, which writer and reader hold whole.
+FILE_DOCUMENTS = 1 << 18
+FILE_BYTES = 1 << 30
 
 MANIFEST = pa.schema(
-    [("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]
+    [
+        ("shard", pa.int64()),
+        ("number", pa.int64()),
+        ("path", pa.string()),
+        ("documents", pa.int64()),
+        ("ids", pa.int64()),
+    ]
 )
 DIGESTS = pa.schema(
     [
@@ -138,39 +148,54 @@ class Reader:
         return b"".join(map(self.frame, range(int(self.first[k]), int(self.first[k + 1]))))
 
 
-def _write_shards(folder: str, tokenizer: str, end_id: int) -> Callable:
+def _write_shards(
+    folder: str, tokenizer: str, end_id: int, file_documents: int, file_bytes: int
+) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, end, total = None, pack([end_id]), 0
+        writer, end, number = None, pack([end_id]), 0
         shard = TaskContext.get().partitionId()
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            row = [[shard], [number], [path], [len(writer.doc_ids)], [total]]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(row, MANIFEST)], schema=MANIFEST
+            )
+
         for batch in batches:
-            if writer is None:
-                # A name of its own per attempt: what a lost attempt left is never listed.
-                path = f"{folder}/ids-{shard:06d}-{uuid.uuid4().hex}.zst"
-                fs.FileSystem.from_uri(folder)[0].create_dir(
-                    fs.FileSystem.from_uri(folder)[1], recursive=True
-                )
-                writer, encoder = Writer(path), WordEncoder.of_worker(tokenizer)
             for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                if writer is None:
+                    # A name of its own per attempt: what a lost attempt left is never listed.
+                    path = f"{folder}/ids-{shard:06d}-{number:06d}-{uuid.uuid4().hex}.zst"
+                    system, name = fs.FileSystem.from_uri(folder)
+                    system.create_dir(name, recursive=True)
+                    writer, encoder, total = Writer(path), WordEncoder.of_worker(tokenizer), 0
                 ids = encoder.encode(text) + end
                 writer.add(doc_id, ids)
                 total += len(ids) // 4
+                if len(writer.doc_ids) >= file_documents or 4 * total >= file_bytes:
+                    yield closed()
+                    writer, number = None, number + 1
         if writer is not None:
-            writer.close()
-            row = [[shard], [path], [len(writer.doc_ids)], [total]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(row, MANIFEST)], schema=MANIFEST
-            )
+            yield closed()
 
     return write
 
 
 def write_token_files(
-    docs: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    file_documents: int = FILE_DOCUMENTS,
+    file_bytes: int = FILE_BYTES,
 ) -> DataFrame:
     """Encode every text and write the ids in ascending ``doc_id`` order; returns the manifest.
 
-    One row per file: ``shard`` (files in this order hold the documents in order), ``path``,
-    ``documents``, ``ids``. Null texts are empty; a null id sorts first; rows with equal ids
+    One row per file: ``shard`` and ``number`` in it (files in this order hold the documents in
+    order), ``path``, ``documents``, ``ids``. The next file is begun when one holds
+    ``file_documents`` documents or ``file_bytes`` of ids; a document lies in one file. Null texts are empty; a null id sorts first; rows with equal ids
     keep all their rows, ordered by text. Other columns are not read. The files lie in the
     shared folder; the manifest names only files of attempts that ended well.
     """
@@ -182,8 +207,8 @@ def write_token_files(
     )
     return durable(
         placed.mapInArrow(
-            _write_shards(folder, tokenizer, end_id),
-            "shard long, path string, documents long, ids long",
+            _write_shards(folder, tokenizer, end_id, file_documents, file_bytes),
+            "shard long, number long, path string, documents long, ids long",
         )
     )
 
@@ -214,7 +239,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     ``start`` counts the ids of all documents before it. The running sum is over one row per
     file.
     """
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard", "number").rowsBetween(Window.unboundedPreceding, -1)
     start: Column = F.coalesce(F.sum("ids").over(before), F.lit(0))
     files = manifest.select("path", start.alias("start"))
     return files.repartition(partitions(manifest), "path").mapInArrow(

@@ -61,6 +61,18 @@ def test_token_files(spark, library):
     assert token_file.read_digests(token_file.write_token_files(documents(spark, []), tokenizer_path(), 2)).count() == 0
 
 
+@pytest.mark.parametrize("limits,least", [({"file_documents": 3}, 5), ({"file_bytes": 400}, 3), ({}, 1)])
+def test_files_are_bounded(spark, limits, least):
+    df = documents(spark, CASES)
+    manifest = token_file.write_token_files(df, tokenizer_path(), 2, **limits)
+    files = manifest.orderBy("shard", "number").collect()
+    assert len(files) >= least and sum(f["documents"] for f in files) == len(CASES)
+    assert all(f["documents"] <= limits.get("file_documents", 1 << 18) for f in files)
+    assert len({f["path"] for f in files}) == len(files)
+    whole = token_file.read_digests(token_file.write_token_files(df, tokenizer_path(), 2))
+    assert rows(token_file.read_digests(manifest), *whole.columns) == rows(whole, *whole.columns)
+
+
 def test_file_gives_single_documents_and_notices_damage(tmp_path, monkeypatch):
     import zstandard
 
