@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,49 +84,92 @@ def _products(q: np.ndarray, c: np.ndarray, exact_floats: bool) -> np.ndarray:
     return np.array([min(max(s, LONG.min), LONG.max) for s in sums], np.int64)
 
 
+def _spread(values: np.ndarray, squares: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Statistics at each resolution, and what their own squares leave of the rows'."""
+    found = [segment_statistics(values, segments) for segments in RESOLUTIONS]
+    return [(s, squares * (1 + 2e-9) - (s * s).sum(axis=1)) for s in found]
+
+
 def best_in_block(
-    q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c_null: np.ndarray, c: np.ndarray, k: int
+    q_ids: np.ndarray,
+    q: np.ndarray,
+    c_ids: np.ndarray,
+    c_null: np.ndarray,
+    c: np.ndarray,
+    k: int,
+    best: np.ndarray | None = None,
 ) -> Iterator[tuple[int, int, int]]:
-    """(place of the query, place of the candidate, score): each query's k best in one block."""
+    """(place of the query, place of the candidate, score): each query's k best in one block.
+
+    ``best`` are the k highest scores that each query has met so far, in falling order; a candidate
+    below the last of them is left out. They are brought up to date in place.
+    """
+    if best is None:
+        best = np.full((len(q), k), -np.inf)
     q2, c2 = (q * q).sum(axis=1), (c * c).sum(axis=1)
-    own = (q_ids[:, None] == c_ids[None, :]) & ~c_null[None, :]
     order = np.where(c_null, LONG.max, c_ids)
     # Floats hold whole numbers up to 2^53, so up to there no sum is rounded.
     top = max(np.abs(q).max(initial=0), np.abs(c).max(initial=0))
     exact_floats = top * top * max(q.shape[1], 1) < 2.0**53
-    limit = np.full(len(q), -np.inf)
-    alive = ~own
-    for segments in RESOLUTIONS:
-        qs, cs = segment_statistics(q, segments), segment_statistics(c, segments)
-        # Lower bound of the squared distance, and what it leaves for the inner product.
-        near = (qs * qs).sum(axis=1)[:, None] + (cs * cs).sum(axis=1)[None, :] - 2 * qs @ cs.T
-        bound = (q2[:, None] + c2[None, :] - near) / 2
-        bound += 1e-9 * (q2[:, None] + c2[None, :]) + 1e-6
-        bound[np.isnan(bound)] = np.inf
-        bound[~alive] = -np.inf
-        # The k most promising candidates set the score to beat.
-        few = min(k, len(c))
-        seeds = np.argpartition(-bound, few - 1, axis=1)[:, :few]
-        scores = np.array(
-            [_products(q[i], c[seeds[i]], exact_floats) for i in range(len(q))], float
-        ).reshape(len(q), few)
-        scores[~np.take_along_axis(alive, seeds, axis=1)] = -np.inf
-        if few == k:
-            limit = np.maximum(limit, scores.min(axis=1))
-        alive &= bound >= limit[:, None]
+    (coarse_q, left_q), *finer_q = _spread(q, q2)
+    (coarse_c, left_c), *finer_c = _spread(c, c2)
+    # What the lower bound of the squared distance leaves for the inner product, and a margin for
+    # rounding: (q2 + c2 - |sq - sc|^2) / 2 is half of what each leaves, and the product sq sc.
+    bounds = coarse_q @ coarse_c.T + (left_q[:, None] + left_c[None, :]) / 2 + 1e-6
+    bounds[np.isnan(bounds)] = np.inf
+    np.maximum(bounds, float(LONG.min), out=bounds)  # where scores stay
+    bounds[(q_ids[:, None] == c_ids[None, :]) & ~c_null[None, :]] = -np.inf
+    few = min(k, len(c))
+    seeds = np.argpartition(-bounds, few - 1, axis=1)[:, :few]
     for row in range(len(q)):
-        places = np.flatnonzero(alive[row])
+        limit = best[row, -1]
+        if few == k and bounds[row, seeds[row]].min() > -np.inf:
+            # The k most promising candidates of the block set a score to beat, too.
+            limit = max(limit, float(_products(q[row], c[seeds[row]], exact_floats).min()))
+        places = np.flatnonzero((bounds[row] >= limit) & (bounds[row] > -np.inf))
+        for (sq, left), (sc, others) in zip(finer_q, finer_c):
+            # Only those that the coarser resolution has left.
+            bound = sc[places] @ sq[row] + (left[row] + others[places]) / 2 + 1e-6
+            places = places[~(np.maximum(bound, float(LONG.min)) < limit)]
+        if not len(places):
+            continue
         scores = _products(q[row], c[places], exact_floats)
+        near = scores >= best[row, -1]
+        places, scores = places[near], scores[near]
         if len(places) > k:
             near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
             places, scores = places[near], scores[near]
         # The complement orders from large to small without leaving the range of a long.
         ranked = np.lexsort((c_null[places], order[places], ~scores))[:k]
-        yield from zip([row] * len(ranked), places[ranked].tolist(), scores[ranked].tolist())
+        places, scores = places[ranked], scores[ranked]
+        both = np.concatenate([best[row], scores.astype(np.float64)])
+        best[row] = -np.sort(-both)[:k]
+        yield from zip([row] * len(places), places.tolist(), scores.tolist())
+
+
+class Scores:
+    """The best scores so far of the queries of a task, block by block.
+
+    At most ``most`` queries' are kept; the blocks used longest ago start anew, which only costs time.
+    """
+
+    def __init__(self, k: int, most: int = 1 << 18):
+        self.k, self.most, self.held = k, most, 0
+        self.blocks: OrderedDict[int, np.ndarray] = OrderedDict()
+
+    def of(self, block: int, queries: int) -> np.ndarray:
+        if block not in self.blocks:
+            self.blocks[block] = np.full((queries, self.k), -np.inf)
+            self.held += queries
+        self.blocks.move_to_end(block)
+        while self.held > self.most and len(self.blocks) > 1:
+            self.held -= len(self.blocks.popitem(last=False)[1])
+        return self.blocks[block]
 
 
 def _search(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Scores(k)
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
@@ -135,7 +179,8 @@ def _search(k: int) -> Callable:
                 c_null = np.frombuffer(row["nulls"], bool)
                 q = np.frombuffer(row["q_values"]).reshape(len(q_ids), dim)
                 c = np.frombuffer(row["values"]).reshape(len(c_ids), dim)
-                for asked, place, score in best_in_block(q_ids, q, c_ids, c_null, c, k):
+                best = known.of(row["q_block"], len(q_ids))
+                for asked, place, score in best_in_block(q_ids, q, c_ids, c_null, c, k, best):
                     vec_id = None if c_null[place] else int(c_ids[place])
                     found.append((row["q_block"], asked, int(q_ids[asked]), vec_id, score))
                 columns = list(zip(*found)) or [()] * len(FOUND)
@@ -157,8 +202,8 @@ def top_k(
 
     Components become floor(256 x). ``is_query`` is a condition on ``vec_id``; queries are held,
     in blocks, against all rows, in blocks. Within a pair of blocks, segment means and
-    deviations bound the distances from below, first on few, then on more segments; only
-    candidates that may still be among the k best are computed. Ties go to the smaller id, a
+    deviations bound the distances from below, first on few segments, then, for what these leave, on
+    more; only candidates that may still beat the k best scores that the task has met are computed. Ties go to the smaller id, a
     null id last. Rows with the query's id are its own and no candidates of it; further rows
     with equal ids are rows of their own. Vectors that are null or hold a null or non-finite
     component take no part, and vectors of different lengths do not meet. Scores beyond a long

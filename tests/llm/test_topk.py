@@ -62,6 +62,35 @@ def test_scores_beyond_a_long_stay_at_its_limit(spark):
     assert got == [(0, 1, 1, (1 << 63) - 1), (0, 2, 2, -(1 << 63))]
 
 
+def test_scores_at_the_lower_limit_are_ties(spark):
+    data = [(0, [1e30]), (1, [-1e40]), (2, [-1e40]), (3, [-1e30]), (4, [-1e30]), (5, [-1e30])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, lambda c: c == 0, 2).orderBy("rank").collect()]
+    assert got == [(0, 1, 1, -(1 << 63)), (0, 2, 2, -(1 << 63))]
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 18])
+def test_blocks_go_on_from_the_scores_before(most):
+    rows, k, width = np.floor(256 * np.array(vectors(500, 16, 9))), 5, 40
+    rows[100:140] = rows[60:100]
+    ids, null = np.arange(500), np.zeros(500, bool)
+    known, found, given = topk.Scores(k, most), {}, [0, 0]
+    for c in range(0, 500, width):
+        part = slice(c, c + width)
+        for block in range(0, 50, 10):
+            q = slice(block, block + 10)
+            for carried in (True, False):
+                best = known.of(block, 10) if carried else None
+                for at, place, score in topk.best_in_block(ids[q], rows[q], ids[part], null[part], rows[part], k, best):
+                    given[carried] += 1
+                    if carried:
+                        found.setdefault(block + at, []).append((-score, c + place))
+    for q in range(50):
+        want = sorted((-int(rows[q] @ rows[c]), c) for c in range(500) if c != q)[:k]
+        assert sorted(found[q])[:k] == want
+    assert given[True] < given[False] if most == 1 << 18 else given[True] <= given[False]
+
+
 def test_statistics_bound_the_distance():
     draw = np.random.default_rng(0)
     a, b = np.floor(draw.normal(0, 50, (40, 37))), np.floor(draw.normal(0, 50, (40, 37)))
