@@ -153,9 +153,13 @@ def read_recorded(runs: DataFrame, asked: list[str]) -> DataFrame:
 
 
 def attach_recorded(runs: DataFrame, responses: DataFrame, asked: list[str]) -> DataFrame:
-    """Add ``reply_{stage}_{flow}`` from recorded (run key, stage, flow, response): one join."""
+    """Add ``reply_{stage}_{flow}`` from recorded (run key, stage, flow, response): one join.
+
+    Answers grow with the runs. An estimate of them that is too low, as after an explode, must not
+    have them all collected for a broadcast.
+    """
     key = [*[name for name in RUN_KEY if name != "temperature"], "_temperature"]
-    said = gather_recorded(responses, asked, *key)
+    said = gather_recorded(responses, asked, *key).hint("merge")
     joined = runs.withColumn("_temperature", _temperature()).join(said, key, "left")
     return read_recorded(joined.drop("_temperature"), asked)
 

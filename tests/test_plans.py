@@ -243,6 +243,20 @@ def test_recorded_answers_are_reduced_before_they_are_gathered(spark):
     assert [r["response"] for r in said] == ["[Error] more than one recorded answer"]
 
 
+def test_answers_are_not_broadcast_on_an_estimate(spark):
+    """An explode makes ten rows of one and is estimated as one."""
+    many = spark.range(3).select(F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"))
+    responses = many.select(
+        F.col("k").cast("string").alias("srs_id"), F.lit("p").alias("llm_provider"), F.lit("m").alias("llm_model"),
+        F.lit(0.5).alias("temperature"), F.lit("generate").alias("stage"), F.lit("orig").alias("flow"),
+        F.lit("said").alias("response"),
+    )
+    work = responses.select("srs_id", "llm_provider", "llm_model", "temperature").distinct()
+    found = completion.attach_recorded(work, responses, backfeed.ASKED)
+    assert "Broadcast" not in plan_of(found)
+    assert set(column(found, "reply_generate_orig")) == {"said"} and found.count() == 10
+
+
 def test_answers_move_once(spark):
     """One exchange carries answers, in the plans of a first pass and of a back-feed."""
     docs = spark.createDataFrame([(1, "t", "text")], DOCS)
