@@ -125,9 +125,19 @@ def runs_of(documents: DataFrame, models: Sequence[Model], temperature: float) -
     )
 
 
-def fan_out(corpus: DataFrame, models: Sequence[Model], temperature: float) -> DataFrame:
-    """One run per document and model. Blank documents give no run."""
-    return runs_of(documents_to_run(corpus), models, temperature)
+def fan_out(
+    corpus: DataFrame, models: Sequence[Model], temperature: float, tasks: int | None = None
+) -> DataFrame:
+    """One run per document and model. Blank documents give no run.
+
+    ``tasks`` spreads the documents over that many tasks first: a text moves once however long the
+    catalogue, and its runs stay next to each other, where they compress to one.
+    """
+    documents = documents_to_run(corpus)
+    if tasks is not None:
+        # By the text too, or all documents without an id would gather.
+        documents = documents.repartition(tasks, "srs_id", F.xxhash64("original_srs_text"))
+    return runs_of(documents, models, temperature)
 
 
 def effective_temperature(df: DataFrame, models: Sequence[Model]) -> DataFrame:

@@ -164,6 +164,19 @@ def attach_recorded(runs: DataFrame, responses: DataFrame, asked: list[str]) ->
     return read_recorded(joined.drop("_temperature"), asked)
 
 
+# Text of the rows that one task asks about, on average.
+TASK_BYTES = 32 << 20
+
+
+def tasks_for(rows: DataFrame, *texts: str, least: int) -> int:
+    """How many tasks to ask about ``rows`` in: ``least``, or more where each would read over ``TASK_BYTES``.
+
+    Reads the lengths of ``texts`` once. A row counts as 64 bytes besides its texts.
+    """
+    size = sum((F.coalesce(F.octet_length(name), F.lit(0)).cast("long") for name in texts), F.lit(64))
+    return max(least, -(-(rows.agg(F.sum(size)).first()[0] or 0) // TASK_BYTES))
+
+
 def complete(
     df: DataFrame,
     prompts: Mapping[str, Column],
@@ -175,8 +188,9 @@ def complete(
     ``df`` has ``llm_provider``, ``api_id`` and ``temperature``. ``make_client`` runs
     once per task. A NULL prompt gives a NULL reply; a ``lookup_error`` or an exception
     becomes the reply text, so that one bad request does not end the job. ``calls``
-    spreads the rows over that many tasks, which is how many calls run at a time;
-    make the result durable before reading it twice.
+    spreads the rows over that many tasks, which is how many calls run at a time, as far
+    as there are cores; ``tasks_for`` gives a number that follows the input, and runs that
+    ``fan_out`` has spread need none. Make the result durable before reading it twice.
     """
     if calls is not None:
         df = df.repartition(calls, *RUN_KEY)

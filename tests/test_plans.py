@@ -13,7 +13,9 @@ from runloom.operators.runlog import latest_ids
 from runloom.plans import backfeed, first_pass, single_flow, stages
 from runloom.schemas import RUN_KEY
 from runloom.sources import tables
+from tests.check import TABLES
 from tests.helpers import column, one, plan_of
+from workloads import queries
 
 MODELS = (Model("p", "m", "api"), Model("p", "fixed", "api-f", 1.0))
 DOCS = "id long, srs_title string, srs_content string"
@@ -302,3 +304,31 @@ def test_gathering_by_place_and_in_steps_say_the_same(spark, monkeypatch, slots)
         ("1_t", "m"): ("ok", "ok", 0.5), ("1_t", "fixed"): ("ok", "ok", 1.0),
         ("2_u", "m"): ("ok", "failed_response", 0.5), ("2_u", "fixed"): ("ok", "ok", 1.0),
     }
+
+
+TABLES_001 = str(TABLES / "sf0.001")
+
+
+def tasks_of(df):
+    return df.select(F.spark_partition_id()).distinct().count()
+
+
+def test_tasks_follow_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(completion, "TASK_BYTES", 1000)
+    rows = spark.createDataFrame([("x" * 936,), ("\u00e9" * 468,), (None,)], "text string")
+    assert completion.tasks_for(rows, "text", least=1) == 3
+    assert completion.tasks_for(rows, "text", least=8) == 8
+    assert completion.tasks_for(rows.limit(0), "text", least=2) == 2
+
+
+def test_a_map_over_documents_has_more_tasks_with_more_text(spark, monkeypatch):
+    monkeypatch.setattr(completion, "TASK_BYTES", 1 << 14, raising=False)
+    assert tasks_of(queries.completion_map(spark, TABLES_001)) > spark.sparkContext.defaultParallelism
+
+
+def test_documents_are_spread_before_they_are_fanned_out(spark):
+    docs = spark.createDataFrame([(None, "t", f"text {k}") for k in range(64)], DOCS)
+    runs = fan_out(docs, MODELS, 0.5, 8)
+    plan = plan_of(runs)
+    assert plan.index("explode") < plan.index("Exchange") and plan.count("Exchange") == 1
+    assert tasks_of(runs) > 4 and runs.count() == 64 * len(MODELS)

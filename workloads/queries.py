@@ -681,14 +681,18 @@ def digest_client():
     return make_client
 
 
+def _spread_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document once per model, in as many tasks as the texts need."""
+    docs = facade.batch_documents(spark, sf)
+    tasks = completion.tasks_for(docs, "srs_content", least=spark.sparkContext.defaultParallelism)
+    return catalog.fan_out(docs, facade.MODELS, 0.5, tasks)
+
+
 @query
 def completion_map(spark, sf):
-    runs = catalog.fan_out(facade.batch_documents(spark, sf), facade.MODELS, 0.5)
+    runs = _spread_runs(spark, sf)
     asked = completion.complete(
-        runs,
-        {"distil": prompts.distil(F.col("original_srs_text"))},
-        digest_client(),
-        spark.sparkContext.defaultParallelism,
+        runs, {"distil": prompts.distil(F.col("original_srs_text"))}, digest_client()
     )
     return asked.select("srs_id", "llm_model", F.col("reply_distil").alias("response"))
 
