@@ -332,3 +332,11 @@ def test_documents_are_spread_before_they_are_fanned_out(spark):
     plan = plan_of(runs)
     assert plan.index("explode") < plan.index("Exchange") and plan.count("Exchange") == 1
     assert tasks_of(runs) > 4 and runs.count() == 64 * len(MODELS)
+
+
+def test_the_texts_of_a_first_pass_are_shuffled_once(spark, monkeypatch):
+    """All three rounds in one plan: nothing but the spread of the documents is an exchange."""
+    monkeypatch.setattr(stages, "durable", lambda df: df)
+    plan = plan_of(queries.first_pass_completed(spark, TABLES_001))
+    assert plan.count("MapInArrow") == 3 and plan.count("Exchange") == 1
+    assert plan.index("explode") < plan.index("Exchange")

@@ -700,9 +700,7 @@ def completion_map(spark, sf):
 @query
 def first_pass_completed(spark, sf):
     """First pass with the function instead of recorded answers."""
-    runs = catalog.fan_out(facade.batch_documents(spark, sf), facade.MODELS, 0.5)
-    ask = stages.ask_function(digest_client(), spark.sparkContext.defaultParallelism)
-    results = first_pass.first_pass(runs, ask)
+    results = first_pass.first_pass(_spread_runs(spark, sf), stages.ask_function(digest_client()))
     return results.select(
         "srs_id", "llm_provider", "llm_model", "temperature", "plantuml_script_orig_srs",
         "distilled_srs_text", "plantuml_script_dist_srs", "similarity_score_orig_srs",
