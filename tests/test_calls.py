@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from runloom.operators import calls
+from runloom.operators import calls, completion
+from tests.check import TABLES
+from workloads import queries
 
 ASKED = "id long, llm_provider string, api_id string, temperature double, text string"
 
@@ -119,3 +122,18 @@ def test_failures_are_not_stored(spark, once, tmp_path):
     assert once(rows, attempts=2) == {0: ("Error processing p request: busy 2", True), 1: ("Error processing p request: busy 2", False)}
     assert calls.answers(spark, str(tmp_path / "store")).count() == 0
     assert once(rows, attempts=2)[0][1]
+
+
+def test_a_client_does_not_keep_its_prompts():
+    answer = queries.busy_client()()
+    for k in range(16):
+        with contextlib.suppress(ValueError):
+            answer(f"{k}" * 4096, "api", 0.5)
+    (tried,) = [cell.cell_contents for cell in answer.__closure__ if isinstance(cell.cell_contents, dict)]
+    assert len(tried) == 16 and max(map(len, tried)) <= 64
+
+
+def test_calls_are_made_in_more_tasks_with_more_text(spark, monkeypatch):
+    monkeypatch.setattr(completion, "TASK_BYTES", 1 << 14, raising=False)
+    found = queries.completion_retried(spark, str(TABLES / "sf0.001"))
+    assert found.select(F.spark_partition_id()).distinct().count() > spark.sparkContext.defaultParallelism

@@ -708,13 +708,20 @@ def first_pass_completed(spark, sf):
     )
 
 
+def _ask_for_runs(spark: SparkSession, sf: str) -> stages.Ask:
+    """The function, asked in as many tasks as the texts of the run log need; a back-feed has no more."""
+    texts = ("original_srs_text", "distilled_srs_text")
+    tasks = completion.tasks_for(facade.run_log(spark, sf), *texts, least=spark.sparkContext.defaultParallelism)
+    return stages.ask_function(digest_client(), tasks)
+
+
 @query
 def backfeed_completed(spark, sf):
     """Back-feed with the function instead of recorded answers."""
     work = backfeed.work_list(
         facade.requested_keys(spark, sf), facade.run_log(spark, sf), facade.MODELS
     )
-    ask = stages.ask_function(digest_client(), spark.sparkContext.defaultParallelism)
+    ask = _ask_for_runs(spark, sf)
     return backfeed.backfeed(work, ask).select(
         "srs_id", "llm_provider", "llm_model", "temperature", "event_type",
         "plantuml_script_orig_srs", "plantuml_script_dist_srs", "similarity_score_orig_srs",
@@ -726,12 +733,14 @@ def busy_client():
     """A stand-in for a client that fails as often as the digest of the prompt says, at most three times."""
 
     def make_client():
-        tried: dict[str, int] = {}
+        # By digest: the prompts of a task would stay in memory.
+        tried: dict[bytes, int] = {}
 
         def answer(prompt: str, api_id: str, temperature: float) -> str:
             digest = hashlib.md5(prompt.encode()).hexdigest()
-            tried[prompt] = tried.get(prompt, 0) + 1
-            if tried[prompt] <= int(digest[0], 16) % 4:
+            key = bytes.fromhex(digest)
+            tried[key] = tried.get(key, 0) + 1
+            if tried[key] <= int(digest[0], 16) % 4:
                 raise ValueError("busy")
             return f"{api_id} {temperature} {digest}"
 
@@ -751,9 +760,9 @@ def _asked_documents(spark: SparkSession, sf: str) -> DataFrame:
 def completion_retried(spark, sf):
     """Documents asked for by number, in pools of calls that fail at first."""
     prompt = F.concat("id", F.lit(": "), "text")
-    found = calls.complete_retried(
-        _asked_documents(spark, sf), prompt, busy_client(), backoff=0.001, calls=spark.sparkContext.defaultParallelism
-    )
+    rows = _asked_documents(spark, sf)
+    tasks = completion.tasks_for(rows, "text", least=spark.sparkContext.defaultParallelism)
+    found = calls.complete_retried(rows, prompt, busy_client(), backoff=0.001, calls=tasks)
     return found.select("id", "reply", "attempts")
 
 
@@ -762,9 +771,10 @@ def completion_once(spark, sf):
     """Documents asked for in two runs: copies share a call, and the second run calls for new texts only."""
     folder = new_folder(spark, "answers")
     rows = _asked_documents(spark, sf)
+    tasks = completion.tasks_for(rows, "text", least=spark.sparkContext.defaultParallelism)
 
     def ask(rows: DataFrame, prompt) -> DataFrame:
-        return calls.complete_retried(rows, prompt, digest_client(), calls=spark.sparkContext.defaultParallelism)
+        return calls.complete_retried(rows, prompt, digest_client(), calls=tasks)
 
     calls.complete_once(rows.where("id % 2 = 0"), F.col("text"), "id", folder, ask)
     return calls.complete_once(rows, F.col("text"), "id", folder, ask).select("id", "reply", "called")
@@ -776,7 +786,7 @@ def backfeed_until_accepted(spark, sf):
     work = backfeed.work_list(
         facade.requested_keys(spark, sf), facade.run_log(spark, sf), facade.MODELS
     )
-    ask = stages.ask_function(digest_client(), spark.sparkContext.defaultParallelism)
+    ask = _ask_for_runs(spark, sf)
     begin = F.substring("similarity_descr_orig_srs", len("discrepancies:\n") + 1, 1)
     rows = accept.backfeed_until(work, ask, begin < "6", 5)
     return rows.select(
