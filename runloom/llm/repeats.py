@@ -5,12 +5,13 @@ an *anchor*: its least n-gram by hash, the leftmost on ties, so equal windows ha
 at equal offsets. Consecutive windows with the same anchor occurrence are a *run*, some twenty
 symbols apart; its *piece* is the text that its windows cover.
 
-1. Tasks cut their documents into runs. Anchors go, packed, to buckets by hash, which tell those
-   that lie in several documents from the others. Anchors known to lie in several documents of
-   one chunk need no answer: one witness of them travels.
-2. Documents meet the answers. Pieces of shared anchors go to shards by anchor. Of equal pieces in
-   one group of documents only the one of the smallest document travels; in the others all of it
-   is repeated, which is known there and then.
+1. Tasks cut their documents into runs. Anchors go, packed, to buckets by hash, each with a code of
+   what stands before it and after it. A window holds one of these two sides, so buckets tell the
+   sides that lie in several documents from the others. Runs whose sides all lie in several
+   documents of one chunk need no answer: one witness of them travels.
+2. Documents meet the answers. Pieces, as far as windows with a shared side reach, go to shards by
+   anchor. Of equal pieces in one group of documents only the one of the smallest document travels;
+   in the others all of it is repeated, which is known there and then.
 3. A shard joins equal pieces, leaves out pieces that share too little with any other, and indexes
    the rest, some anchors at a time: a function given by the operator returns the least document of
    every window.
@@ -46,6 +47,9 @@ HOT_CHUNKS = 1024
 HOT_SHARE = 0.01
 # Text that a bucket, a group of documents and a shard hold of the input, on average.
 PLACE_BYTES = 32 << 20
+# Values of the code of an anchor's side; 0 stands for no side.
+SIDE_CODES = (1 << 16) - 1
+LEFT, RIGHT = 1, 2
 # Text that a shard indexes at a time; only one anchor's pieces may be more, and those are bounded.
 INDEX_BYTES = 1 << 20
 
@@ -83,16 +87,41 @@ class Unit:
 # --- blobs ------------------------------------------------------------------
 
 
-def pack(*values) -> bytes:
+def _flat(value: np.ndarray | list[bytes]) -> tuple:
+    """Integers by place value, rising ones as their steps, and texts in one: these compress well."""
+    if isinstance(value, list):
+        return _flat(np.array(list(map(len, value)), np.uint32)), b"".join(value)
+    rising = bool((value[1:] >= value[:-1]).all())
+    if rising:
+        value = np.concatenate([value[:1], np.diff(value)])
+    size = value.dtype.itemsize
+    planes = np.ascontiguousarray(value).view(np.uint8).reshape(len(value), size).T
+    return value.dtype.str, rising, planes.tobytes()
+
+
+def _unflat(flat: tuple) -> np.ndarray | list[bytes]:
+    if len(flat) == 2:
+        ends = np.cumsum(_unflat(flat[0]), dtype=np.int64).tolist()
+        return [flat[1][begin:end] for begin, end in zip([0, *ends], ends)]
+    kind, rising, data = flat
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(data, np.uint8).reshape(size, len(data) // size)
+    value = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.cumsum(value, dtype=kind) if rising else value
+
+
+def pack(*values: np.ndarray | list[bytes]) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(
+        pickle.dumps(tuple(map(_flat, values)), protocol=5)
+    )
 
 
 def unpack(blob: bytes) -> tuple:
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return tuple(map(_unflat, pickle.loads(zstandard.ZstdDecompressor().decompress(blob))))
 
 
 ROUTED = pa.schema([("place", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
@@ -160,11 +189,20 @@ class Runs:
     count: np.ndarray
     offset: np.ndarray
     key: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def _side(hashes: np.ndarray, place: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Code of the n-gram at each place, 0 where a run has no window that holds it."""
+    code = _mix(hashes[np.where(there, place, 0)]) % U64(SIDE_CODES) + U64(1)
+    return np.where(there, code, U64(0)).astype(np.uint16)
 
 
 def cut_runs(symbols: np.ndarray, lengths: np.ndarray, unit: Unit) -> Runs | None:
     """Runs of parts that lie one after the other: their part, first window in it, number of
-    windows, the anchor's offset in the first window, and the anchor's hash."""
+    windows, the anchor's offset in the first window, the anchor's hash, and codes of its sides:
+    of the n-grams ``reach`` before it and after it."""
     windows = len(symbols) - unit.width + 1
     if windows < 1:
         return None
@@ -189,7 +227,9 @@ def cut_runs(symbols: np.ndarray, lengths: np.ndarray, unit: Unit) -> Runs | Non
     last = np.flatnonzero(change[1:] & valid)
     place = (anchor[first] & low).astype(np.int64)
     part = np.searchsorted(ends, first, "right")
-    return Runs(part, first - begin[part], last - first + 1, place - first, hashes[place])
+    left = _side(hashes, place - unit.reach, place - unit.reach >= first)
+    right = _side(hashes, place + unit.reach, place + unit.reach + unit.gram <= last + unit.width)
+    return Runs(part, first - begin[part], last - first + 1, place - first, hashes[place], left, right)
 
 
 def _runs_of(lengths: np.ndarray, symbols: np.ndarray, unit: Unit) -> Runs | None:
@@ -208,7 +248,7 @@ def _runs_of(lengths: np.ndarray, symbols: np.ndarray, unit: Unit) -> Runs | Non
         at = max(at, upto)
     if not found:
         return None
-    names = ("part", "start", "count", "offset", "key")
+    names = ("part", "start", "count", "offset", "key", "left", "right")
     return Runs(*(np.concatenate([getattr(r, name) for r in found]) for name in names))
 
 
@@ -243,15 +283,37 @@ def _arrays(ids, versions, offsets, parts):
     return *numbers, np.array([len(p) for p in parts]), np.concatenate(parts)
 
 
-def _several(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each place: whether its key lies in several documents; and one witness place per key."""
+def _several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each place: whether its key lies in several documents."""
     order = np.lexsort((doc, key))
     starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
     ends = np.append(starts[1:], len(order)) - 1
     shared = doc[order[starts]] < doc[order[ends]]
     out = np.empty(len(key), bool)
     out[order] = np.repeat(shared, ends - starts + 1)
-    return out, order[starts]
+    return out
+
+
+def _settled(runs: Runs, doc: np.ndarray) -> np.ndarray:
+    """Runs whose sides, or whose only side, lie in several documents."""
+    at = np.flatnonzero(_several(runs.key, doc))
+    if not len(at):
+        return at
+    settled = np.ones(len(at), bool)
+    for side in (runs.left[at], runs.right[at]):
+        # Sides that only look alike are sent in vain.
+        settled &= (side == 0) | _several(_mix(runs.key[at]) + side.astype(U64), doc[at])
+    return at[settled]
+
+
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row among the distinct ones, and a place that holds each of these."""
+    order = np.lexsort(columns)
+    first = np.ones(len(order), bool)
+    first[1:] = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return number, order[first]
 
 
 def _find_anchors(unit: Unit, buckets: int, groups: int) -> Callable:
@@ -264,24 +326,28 @@ def _find_anchors(unit: Unit, buckets: int, groups: int) -> Callable:
             tail = (runs.key & TAIL).astype(np.uint32)
             start = (runs.start + offset[runs.part]).astype(np.int64)
             own = doc[runs.part]
-            known, witness = _several(runs.key, own)
-            asks, rows = ~known, []
-            witness = witness[known[witness]]  # by key, like the numbers of runs
-            times = np.unique(runs.key[known], return_counts=True)[1]
-            for place, at in slices(bucket[asks]):
-                at = np.flatnonzero(asks)[at]
-                rows.append((place, "ask", _ask(runs, at, doc, version, start, tail)))
-            at = np.flatnonzero(known)
-            holder, group = _holders(runs.key[at], group_of(own[at], version[runs.part][at], groups), groups)
-            begin = np.searchsorted(holder, runs.key[witness], "left")
-            held = np.searchsorted(holder, runs.key[witness], "right") - begin
+            at, rows = _settled(runs, own), []
+            asks = np.ones(len(own), bool)
+            asks[at] = False
+            asks = np.flatnonzero(asks)
+            for place, which in slices(bucket[asks]):
+                rows.append((place, "ask", _ask(runs, asks[which], doc, version, start, tail)))
+            # One witness of alike runs, with their number and the groups that hold them.
+            alike, first = _numbered(runs.right[at], runs.left[at], runs.key[at])
+            witness, times = at[first], np.bincount(alike, minlength=len(first))
+            holder, group = _holders(alike, group_of(own[at], version[runs.part][at], groups), groups)
+            begin = np.searchsorted(holder, np.arange(len(first)), "left")
+            held = np.searchsorted(holder, np.arange(len(first)), "right") - begin
             for place, which in slices(bucket[witness]):
-                number, mine, many = times[which], witness[which], held[which]
+                mine, many = witness[which], held[which]
                 inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 holders = group[np.repeat(begin[which], many) + inside].astype(np.int32)
-                rows.append((place, "seen", pack(own[mine], tail[mine], number, many, holders)))
+                blob = pack(own[mine], runs.left[mine], runs.right[mine], tail[mine],
+                            times[which].astype(np.uint32), many.astype(np.uint32), holders)
+                rows.append((place, "seen", blob))
+            sides = LEFT * (runs.left[at] > 0) + RIGHT * (runs.right[at] > 0)
             rows += _hits(own[at], version[runs.part][at], start[at], runs.count[at],
-                          runs.offset[at], bucket[at], tail[at], groups)
+                          runs.offset[at], sides, bucket[at], tail[at], groups)
             yield _routed(rows)
 
     return run
@@ -299,21 +365,22 @@ def _ask(runs: Runs, at, doc, version, start, tail) -> bytes:
     parts, inside = np.unique(runs.part[at], return_inverse=True)
     return pack(
         doc[parts], version[parts], inside.astype(np.uint32), start[at].astype(np.uint32 if start[at].max() < 1 << 32 else np.int64),
-        runs.count[at].astype(np.uint8), runs.offset[at].astype(np.uint8), tail[at],
+        runs.count[at].astype(np.uint8), runs.offset[at].astype(np.uint8), runs.left[at], runs.right[at], tail[at],
     )
 
 
-def _hits(doc, version, start, count, offset, bucket, tail, groups: int) -> list[tuple]:
+def _hits(doc, version, start, count, offset, sides, bucket, tail, groups: int) -> list[tuple]:
     rows = []
     for group, at in slices(group_of(doc, version, groups)):
         blob = pack(doc[at], version[at], start[at], count[at].astype(np.uint8),
-                    offset[at].astype(np.uint8), bucket[at].astype(np.int32), tail[at])
+                    offset[at].astype(np.uint8), sides[at].astype(np.uint8),
+                    bucket[at].astype(np.int32), tail[at])
         rows.append((group, "hit", blob))
     return rows
 
 
 def _answer(groups: int, hot_chunks: int, hot_runs: int) -> Callable:
-    """What one bucket knows: anchors in several documents, and the hot ones among them.
+    """What one bucket knows: anchors with a side in several documents, and the hot ones among them.
 
     The groups that hold a hot anchor are told so, each one those that it holds.
     """
@@ -327,39 +394,43 @@ def _answer(groups: int, hot_chunks: int, hot_runs: int) -> Callable:
                 seen.append(unpack(blob))
             else:
                 asks.append(unpack(blob))
-        doc = [a[0][a[2]] for a in asks] + [d for d, *_ in seen]
-        tail = [a[6] for a in asks] + [t for _, t, *_ in seen]
-        if doc:
-            doc, tail = np.concatenate(doc), np.concatenate(tail)
-            # A witness stands for several documents: it is enough to know of one other.
+        if asks or seen:
+            doc = np.concatenate([*(a[0][a[2]] for a in asks), *(w[0] for w in seen)])
+            left, right, tail = (
+                np.concatenate([*(a[k] for a in asks), *(w[k - 5] for w in seen)]) for k in (6, 7, 8)
+            )
             asked = sum(len(a[2]) for a in asks)
-            shared, _ = _several(tail, doc)
-            shared |= np.isin(tail, tail[asked:])
-            version = np.concatenate([a[1][a[2]] for a in asks]) if asks else None
-            at = np.flatnonzero(shared[:asked])
+            sides = np.zeros(len(doc), np.uint8)
+            for flag, side in ((LEFT, left), (RIGHT, right)):
+                code = tail.astype(np.int64) << 16 | side
+                # A witness stands for several documents: it is enough to know of one other.
+                shared = _several(code, doc) | np.isin(code, code[asked:])
+                sides |= (flag * (shared & (side > 0))).astype(np.uint8)
+            at = np.flatnonzero(sides[:asked])
+            group = np.empty(0, np.int64)
             if len(at):
+                version = np.concatenate([a[1][a[2]] for a in asks])[at]
                 start, count, offset = (
-                    np.concatenate([a[k].astype(np.int64) for a in asks]) for k in (3, 4, 5)
+                    np.concatenate([a[k].astype(np.int64) for a in asks])[at] for k in (3, 4, 5)
                 )
                 bucket = np.full(len(at), table.column(0)[0].as_py())
-                rows += _hits(doc[at], version[at], start[at], count[at], offset[at], bucket,
-                              tail[at], groups)
+                group = group_of(doc[at], version, groups)
+                rows += _hits(doc[at], version, start, count, offset, sides[at], bucket, tail[at], groups)
             chunk = np.repeat(
                 np.arange(len(asks) + len(seen)),
-                [len(a[2]) for a in asks] + [len(t) for _, t, *_ in seen],
+                [len(a[2]) for a in asks] + [len(w[0]) for w in seen],
             )
-            pairs = np.unique(tail.astype(np.int64) << 31 | chunk) >> 31
+            sent = np.append(at, np.arange(asked, len(doc)))
+            pairs = np.unique(tail[sent].astype(np.int64) << 31 | chunk[sent]) >> 31
             values, counts = np.unique(pairs, return_counts=True)
             least = max(hot_chunks, HOT_SHARE * max(len(asks), len(seen)))
-            times = np.concatenate([np.ones(asked, np.int64), *(n for _, _, n, *_ in seen)])
-            _, of = np.unique(tail, return_inverse=True)
+            times = np.concatenate([np.ones(len(at), np.int64), *(w[4] for w in seen)])
+            _, of = np.unique(tail[sent], return_inverse=True)
             runs = np.bincount(of, times)
             hot = (counts >= least) | (runs >= hot_runs)
-            hot &= np.isin(values, tail[shared])
             if hot.any():
-                marks = [(tail[:asked], group_of(doc[:asked], version, groups))] if asks else []
-                marks += [(np.repeat(t, many), holders) for _, t, _, many, holders in seen]
-                held, holder = (np.concatenate(x).astype(np.int64) for x in zip(*marks))
+                held = np.concatenate([tail[at], *(np.repeat(w[3], w[5]) for w in seen)]).astype(np.int64)
+                holder = np.concatenate([group, *(w[6] for w in seen)]).astype(np.int64)
                 is_hot = np.isin(held, values[hot])
                 own = table.column(0)[0].as_py()
                 for group, at in slices(holder[is_hot]):
@@ -374,48 +445,54 @@ def _answer(groups: int, hot_chunks: int, hot_runs: int) -> Callable:
 
 
 def _zip_texts(groups: int) -> Callable:
-    """Documents by group, their texts compressed for the way."""
+    """Documents by group, those of a batch packed for the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        zstd = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            named = np.array(batch.column(0).is_valid(), np.uint8)
             ids = np.array([i or 0 for i in batch.column(0).to_pylist()], np.int64)
             versions = np.array(batch.column(1).to_pylist(), np.int64)
-            place = group_of(ids, versions, groups).astype(np.int32)
+            texts, rows = utf8(batch.column(2)), []
+            for place, at in slices(group_of(ids, versions, groups)):
+                head = pack(named[at], ids[at], versions[at])
+                rows.append((place, head, pack([texts[k] for k in at.tolist()])))
+            columns = list(zip(*rows)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(place),
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([zstd.compress(t) for t in utf8(batch.column(2))], pa.binary()),
-                ],
-                names=["place", "doc_id", "version", "text"],
+                [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))],
+                names=["place", "head", "texts"],
             )
 
     return run
 
 
 def zipped(docs: DataFrame, groups: int) -> DataFrame:
-    return docs.mapInArrow(
-        _zip_texts(groups), "place int, doc_id long, version long, text binary"
-    )
+    return docs.mapInArrow(_zip_texts(groups), "place int, head binary, texts binary")
 
 
-def _unzip(texts: list[bytes]) -> Iterator[bytes]:
-    import zstandard
+def _headers(docs: pa.Table) -> dict[tuple, int]:
+    """The rows of a group, without null ids, and which of the texts with its id each has, by version."""
+    known: dict[int, set] = {}
+    for head in docs.column("head").to_pylist():
+        named, ids, versions = unpack(head)
+        for doc_id, version in zip(ids[named > 0].tolist(), versions[named > 0].tolist()):
+            known.setdefault(doc_id, set()).add(version)
+    return {(d, v): k for d, versions in known.items() for k, v in enumerate(sorted(versions))}
 
-    zstd = zstandard.ZstdDecompressor()
-    return (zstd.decompress(t) if t else b"" for t in texts)
 
+def _unzip(docs: pa.Table) -> Iterator[tuple[int | None, int, bytes]]:
+    """Id, version and text of the rows of a group."""
+    for head, blob in zip(*(docs.column(name).to_pylist() for name in ("head", "texts"))):
+        columns = [c.tolist() for c in unpack(head)]
+        for there, doc_id, version, text in zip(*columns, *unpack(blob)):
+            yield doc_id if there else None, version, text
 
-def _spans(doc, version, start, end, groups: int) -> list[tuple]:
+
+def _spans(group, doc, copy, start, end) -> list[tuple]:
+    """Spans by group; a group's documents are told apart by id and the number of the text with it."""
     rows = []
-    doc, version = np.asarray(doc, np.int64), np.asarray(version, np.int64)
-    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
-    for group, at in slices(group_of(doc, version, groups)):
-        rows.append((group, "span", pack(doc[at], version[at], start[at], end[at])))
+    for place, at in slices(np.asarray(group)):
+        at = at[np.lexsort((start[at], copy[at], doc[at]))]
+        rows.append((place, "span", pack(doc[at], copy[at], start[at], end[at])))
     return rows
 
 
@@ -426,28 +503,32 @@ def _cut_pieces(unit: Unit, groups: int, shards: int) -> Callable:
             (found if kind == "hit" else marks).append(unpack(blob) if kind == "hit" else unpack(blob)[0])
         if not len(docs) or not found:
             return pa.Table.from_batches([_routed([])])
-        doc, version, start, count, offset, bucket, tail = (
-            np.concatenate([f[k] for f in found]) for k in range(7)
+        doc, version, start, count, offset, sides, bucket, tail = (
+            np.concatenate([f[k].astype(np.int64) for f in found]) for k in range(8)
         )
+        # Windows with the side that is shared, where only one is.
+        skip = np.where(sides == RIGHT, np.maximum(offset + unit.gram + unit.reach - unit.width, 0), 0)
+        count = np.where(sides == LEFT, np.minimum(count, offset - unit.reach + 1), count - skip)
+        start, offset = start + skip, offset - skip
         order = np.lexsort((start, version, doc))
         same = (np.diff(doc[order]) == 0) & (np.diff(version[order]) == 0)
         by_doc = {
             (int(doc[p[0]]), int(version[p[0]])): p
             for p in np.split(order, np.flatnonzero(~same) + 1)
         }
-        is_hot = np.isin(bucket.astype(np.int64) << 32 | tail.astype(np.int64), np.concatenate(marks))
+        is_hot = np.isin(bucket << 32 | tail, np.concatenate(marks))
         # A piece's text says all about it: its windows, its anchor and where that is.
         first: dict[bytes, int] = {}
         source: list[tuple[int, int, int, int]] = []  # shard, tail, windows, offset of each
         piece_of: list[int] = []
         places: list[np.ndarray] = []  # of each document: its hits, in the order of piece_of
         hot_piece: list[bool] = []
-        zipped_texts = _unzip(docs.column("text").to_pylist())
-        ids, versions = docs.column("doc_id").to_pylist(), docs.column("version").to_pylist()
-        for doc_id, own, text in zip(ids, versions, zipped_texts):
+        group, copies, copy = docs.column("place")[0].as_py(), _headers(docs), []
+        for doc_id, own, text in _unzip(docs):
             at = by_doc.pop((doc_id, own), None)  # rows that repeat a document say nothing new
             if at is None:
                 continue
+            copy.append(np.full(len(at), copies[doc_id, own]))
             symbols = unit.split(text)
             places.append(at)
             begin = start[at]
@@ -461,8 +542,8 @@ def _cut_pieces(unit: Unit, groups: int, shards: int) -> Callable:
                 piece_of.append(number)
         rows: list[tuple] = []
         if source:
-            at = np.concatenate(places) if places else np.empty(0, np.int64)
-            where = np.column_stack([doc[at], version[at], start[at]]).astype(np.int64)
+            at = np.concatenate(places)
+            where = np.column_stack([doc[at], np.concatenate(copy), start[at]])
             piece = np.array(piece_of, np.int64)
             about = np.array(source, np.int64)
             least = np.full(len(source), np.iinfo(np.int64).max)
@@ -470,10 +551,10 @@ def _cut_pieces(unit: Unit, groups: int, shards: int) -> Callable:
             later = where[:, 0] > least[piece]
             if later.any():
                 end = where[later, 2] + about[piece[later], 2] + unit.width - 1
-                rows += _spans(*where[later].T, end, groups)
+                rows += _spans(np.full(len(end), group), *where[later].T, end)
             piece, where, texts = piece[~later], where[~later], list(first)
             loose = np.array(hot_piece)[piece]
-            rows += _sent(texts, about, piece[~loose], where[~loose])
+            rows += _sent(texts, about, piece[~loose], where[~loose], group)
             if loose.any():
                 windows, about, piece, where = _as_windows(
                     unit, shards, texts, about[:, 2], piece[loose], where[loose]
@@ -482,25 +563,31 @@ def _cut_pieces(unit: Unit, groups: int, shards: int) -> Callable:
                 np.minimum.at(least, piece, where[:, 0])
                 later = where[:, 0] > least[piece]
                 if later.any():
-                    rows += _spans(*_joined(where[later], unit.width).T, groups)
-                rows += _sent(windows, about, piece[~later], where[~later])
+                    joined = _joined(where[later], unit.width)
+                    rows += _spans(np.full(len(joined), group), *joined.T)
+                rows += _sent(windows, about, piece[~later], where[~later], group)
         return pa.Table.from_batches([_routed(rows)])
 
     return run
 
 
-def _sent(texts: list[bytes], about: np.ndarray, piece: np.ndarray, where: np.ndarray) -> list[tuple]:
-    """Pieces by shard, each text once, with the places where they are."""
+def _sent(texts: list[bytes], about: np.ndarray, piece: np.ndarray, where: np.ndarray, group: int) -> list[tuple]:
+    """Pieces by shard, each text once and those of an anchor together, with the places where they are."""
     rows = []
     for place, at in slices(about[piece, 0]):
         own, of = np.unique(piece[at], return_inverse=True)
+        order = np.lexsort((about[own, 3], about[own, 1]))
+        rank = np.argsort(order)[of]
+        at = at[np.lexsort((where[at, 2], where[at, 0], rank))]
+        own, times = own[order], np.bincount(rank)
         blob = pack(
             [texts[k] for k in own.tolist()],
             about[own, 1].astype(np.uint32),
             about[own, 2].astype(np.uint8),
             about[own, 3].astype(np.uint8),
-            of.astype(np.uint32),
-            where[at],
+            times.astype(np.uint32),
+            np.array([group]),
+            *np.ascontiguousarray(where[at].T),
         )
         rows.append((place, "piece", blob))
     return rows
@@ -532,7 +619,7 @@ def _as_windows(unit: Unit, shards: int, texts: list[bytes], counts, piece, wher
 
 
 def _joined(where: np.ndarray, width: int) -> np.ndarray:
-    """Windows that start one after the other, as (document, version, start, end) of each stretch."""
+    """Windows that start one after the other, as (document, copy, start, end) of each stretch."""
     where = where[np.lexsort(where.T[::-1])]
     cut = np.flatnonzero(np.any(np.diff(where, axis=0) != [0, 0, 1], axis=1)) + 1
     begin, last = np.append(0, cut), np.append(cut, len(where)) - 1
@@ -594,12 +681,12 @@ def _covered(lowest: np.ndarray, own: np.ndarray, least: np.ndarray, n: np.ndarr
 def _search_shard(unit: Unit, groups: int, index: Index) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         rows, first = [], {}
-        texts, tails, counts, offsets, places = [], [], [], [], []
+        texts, tails, counts, offsets, places, holders = [], [], [], [], [], []
         for place, kind, blob in zip(*(c.to_pylist() for c in table.columns)):
             if kind == "span":
                 rows.append((place, kind, blob))
                 continue
-            own, tail, count, offset, of, where = unpack(blob)
+            own, tail, count, offset, times, group, *where = unpack(blob)
             numbers = []
             for text, t, n, a in zip(own, tail.tolist(), count.tolist(), offset.tolist()):
                 k = first.setdefault((t, n, text), len(texts))
@@ -609,11 +696,12 @@ def _search_shard(unit: Unit, groups: int, index: Index) -> Callable:
                     counts.append(n)
                     offsets.append(a)
                 numbers.append(k)
-            places.append((np.array(numbers)[of], where))
+            places.append((np.repeat(numbers, times), np.column_stack(where)))
+            holders.append(np.repeat(group, len(where[0])))
         if not texts:
             return pa.Table.from_batches([_routed(rows)])
         piece = np.concatenate([p for p, _ in places])
-        where = np.concatenate([w for _, w in places])
+        where, group = np.concatenate([w for _, w in places]), np.concatenate(holders)
         least = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(least, piece, where[:, 0])
         count = np.array(counts)
@@ -645,9 +733,8 @@ def _search_shard(unit: Unit, groups: int, index: Index) -> Callable:
                 [where[row, :2], where[row, 2] + part[at, 1], where[row, 2] + part[at, 2]]
             )
         )
-        all_spans = np.concatenate(spans)
-        if len(all_spans):
-            rows += _spans(*all_spans.T, groups)
+        holder = np.concatenate([group[later], group[row]])
+        rows += _spans(holder, *np.concatenate(spans).T)
         return pa.Table.from_batches([_routed(rows)])
 
     return run
@@ -673,16 +760,15 @@ def _apply(unit: Unit) -> Callable:
         by_doc: dict[tuple, np.ndarray] = {}
         found = [unpack(b) for b in spans.column("blob").to_pylist()]
         if found:
-            doc, version, start, end = (np.concatenate([f[k] for f in found]) for k in range(4))
-            order = np.lexsort((start, version, doc))
-            same = (np.diff(doc[order]) == 0) & (np.diff(version[order]) == 0)
+            doc, copy, start, end = (np.concatenate([f[k] for f in found]) for k in range(4))
+            order = np.lexsort((start, copy, doc))
+            same = (np.diff(doc[order]) == 0) & (np.diff(copy[order]) == 0)
             for p in np.split(order, np.flatnonzero(~same) + 1):
-                by_doc[int(doc[p[0]]), int(version[p[0]])] = merge(start[p], end[p])
-        rows = []
-        ids, versions = docs.column("doc_id").to_pylist(), docs.column("version").to_pylist()
-        for doc_id, version, text in zip(ids, versions, _unzip(docs.column("text").to_pylist())):
+                by_doc[int(doc[p[0]]), int(copy[p[0]])] = merge(start[p], end[p])
+        rows, copies = [], _headers(docs)
+        for doc_id, version, text in _unzip(docs):
             symbols, at, kept, removed = unit.split(text), 0, [], 0
-            merged = by_doc.get((doc_id, version), ())
+            merged = by_doc.get((doc_id, copies.get((doc_id, version))), ())
             for start, end in merged:
                 kept.append(symbols[at:start])
                 removed += end - start

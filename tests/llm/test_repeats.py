@@ -262,3 +262,70 @@ def test_parts_hold_whole_anchors():
         assert sum(map(len, held)) == len(set(tails.tolist()))
         most = max(size[tails == t].sum() for t in tails)
         assert max(size[p].sum() for p in parts) < repeats.INDEX_BYTES + most
+
+
+def steps(rows: list[tuple], unit: Unit) -> tuple[list, list]:
+    """What the buckets tell and the pieces that the documents send, with a single place."""
+    docs = [(d, k, t) for k, (d, t) in enumerate(rows)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs)], names=["doc_id", "version", "text"])
+    asked = pa.Table.from_batches(repeats._find_anchors(unit, 1, 1)(iter([batch])))
+    told = repeats._answer(1, 1024, 1 << 15)(asked)
+    texts = pa.Table.from_batches(repeats._zip_texts(1)(iter([batch])))
+    sent = repeats._cut_pieces(unit, 1, 1)(texts, told)
+    return tuple(list(zip(*(c.to_pylist() for c in t.columns))) for t in (told, sent))
+
+
+@pytest.mark.parametrize("chunk", [1 << 22, 300])
+@pytest.mark.parametrize("by_words", [True, False])
+def test_anchors_without_a_shared_side_do_not_travel(by_words, chunk, monkeypatch):
+    """Documents that have an n-gram in common, and nothing more, send no text."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    unit, draw = Unit(by_words, 50, 8 if by_words else 16), random.Random(7)
+    rows = []
+    for k in range(120):
+        gram = text(8, k) if by_words else "".join(draw.choices("abcdefgh", k=16))
+        for _ in range(2):
+            sides = [text(60, draw.random(), 10**6) for _ in range(2)]
+            rows.append((len(rows), f" {gram} ".join(sides) if by_words else gram.join(sides)))
+    told, sent = steps(rows, unit)
+    assert not sent and not any(kind == "hit" and len(repeats.unpack(b)[0]) for _, kind, b in told)
+
+
+@pytest.mark.parametrize("by_words", [True, False])
+def test_only_windows_with_a_shared_side_travel(by_words):
+    """Less than a window is shared: each window that is sent has, besides its anchor, an end of a side in two documents."""
+    unit, draw = Unit(by_words, 50, 8 if by_words else 16), random.Random(8)
+    rows = []
+    for _ in range(60):
+        passage = text(49, draw.random(), 10**6)
+        for _ in range(2):
+            sides = [text(60, draw.random(), 10**6) for _ in range(2)]
+            rows.append((len(rows), f" {passage} ".join(sides) if by_words else passage[:49].join(sides)))
+    _, sent = steps(rows, unit)
+    windows = 0
+    for _, kind, blob in sent:
+        if kind == "piece":
+            texts, _, counts, offsets, *_ = repeats.unpack(blob)
+            for piece, count, offset in zip(texts, counts.tolist(), offsets.tolist()):
+                symbols, ends = unit.split(piece), []
+                assert len(symbols) == count + unit.width - 1
+                if offset >= count - 1 + unit.reach:  # every window holds the left side
+                    ends.append(offset - unit.reach)
+                if offset + unit.reach + unit.gram <= unit.width:
+                    ends.append(offset + unit.reach)
+                ends = [unit.join(symbols[e : e + unit.gram]).decode() for e in ends]
+                assert len(ends) == 0 or any(sum(e in t for _, t in rows) > 1 for e in ends)
+                windows += count if ends else 0
+    assert windows > 100
+
+
+def test_blobs_give_back_what_they_hold():
+    draw = np.random.default_rng(5)
+    for kind in (np.uint8, np.uint16, np.int32, np.uint32, np.int64):
+        low, high = np.iinfo(kind).min, np.iinfo(kind).max
+        for size in (0, 1, 2, 1000):
+            values = draw.integers(low, high, size, kind, endpoint=True)
+            for array in (values, np.sort(values)):
+                texts = [bytes([k % 256]) * (k % 7) for k in range(size)]
+                back, again = repeats.unpack(repeats.pack(array, texts))
+                assert back.dtype == kind and back.tolist() == array.tolist() and again == texts
